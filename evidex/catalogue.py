@@ -1,4 +1,4 @@
-"""All queries of the library, with the SQL that checks them."""
+"""All queries of the library outside the training-data operators, with the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: name -> (query, SQL or None)
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from evidex.plans import corpus_queries, evidence_queries
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for k, (q, _) in _ALL.items()}
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return {**evidence_queries.QUERIES, **corpus_queries.QUERIES}
+
+
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _ALL.items() if s}
+    return {k: s for k, (_, s) in _all().items() if s}
