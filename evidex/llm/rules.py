@@ -124,7 +124,8 @@ def _votes() -> list[Column]:
 
 #: Bounds of a vote's log-odds for "good": a bad vote weighs, good votes and abstentions alone don't outweigh it.
 BOUNDS = {-1: (-9.0, -3.0), 0: (-0.3, 0.3), 1: (0.0, 0.15)}
-PRIOR_BOUNDS = (0.3, 0.9)
+#: At least one half: however much junk there is, a document no rule speaks against is kept.
+PRIOR_BOUNDS = (0.55, 0.9)
 
 
 def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> dict:
