@@ -33,6 +33,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Keeps Arrow batches of texts small in the session of ``df``: whole texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table in the shared folder, where lost executors don't matter."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -29,7 +29,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import held_out, table
+from evidex.llm.common import bounded_batches, held_out, table
 
 DIMENSIONS = 4096
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca")}
@@ -152,7 +152,7 @@ def fit(rows: DataFrame, per_language: int = 1000, families: dict[str, tuple[str
 
 def predict(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([picked.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import stored, table
+from evidex.llm.common import bounded_batches, stored, table
 from evidex.llm.pieces import in_runs, pieces
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, open boolean"
@@ -70,7 +70,7 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, windows: int = 256, merge: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and its ids."""
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

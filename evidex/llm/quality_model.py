@@ -25,7 +25,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import checkpointed, held_out, id_bucket, table
+from evidex.llm.common import bounded_batches, checkpointed, held_out, id_bucket, table
 
 FEATURES = 160
 RIDGE = 1e-3
@@ -75,7 +75,7 @@ def with_statistics(docs: DataFrame, text_col: str, carry: dict[str, str]) -> Da
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * N_STATS)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.ListArray.from_arrays(offsets, pa.array(stats))], [*names, "stats"])
 
-    picked = docs.select(*(docs[c].alias(n) for n, c in carry.items()), docs[text_col].cast("string").alias("_text"))
+    picked = bounded_batches(docs).select(*(docs[c].alias(n) for n, c in carry.items()), docs[text_col].cast("string").alias("_text"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField("stats", T.ArrayType(T.DoubleType()))])
     return picked.mapInArrow(compute, schema)
 

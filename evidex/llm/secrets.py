@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidex.llm.common import table
+from evidex.llm.common import bounded_batches, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -122,7 +122,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scanner.spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(SPAN))], ["id", "secrets"])
 
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(scan, f"id {kind}, secrets array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
 
@@ -150,7 +150,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[REDACT
             arrays[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return bounded_batches(docs).mapInArrow(redact, docs.schema)
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import checkpointed, table
+from evidex.llm.common import bounded_batches, checkpointed, table
 
 BITS = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return picked.mapInArrow(compute, f"id {picked.schema['id'].dataType.simpleString()}, fp bigint")
 
 
