@@ -194,8 +194,14 @@ def judge(docs: DataFrame, text_col: str = "text", stats: DataFrame | None = Non
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judge(docs, text_col).where(F.col(f"{PREFIX}kept")).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with the columns of ``docs``.
+
+    The row mark keeps the filter above the statistics: pushed below, it would repeat the
+    steps of :func:`with_statistics` within each other.
+    """
+    mark = F.col(f"{PREFIX}mark")
+    stats = with_statistics(docs, text_col).withColumn(f"{PREFIX}mark", F.monotonically_increasing_id())
+    return judge(docs, text_col, stats).where(F.col(f"{PREFIX}kept") & (mark >= 0)).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
