@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.operators.retrieval import in_blocks
+
 #: Kilopascals per unit.
 KPA = {"kPa": 1.0, "psi": 6.89476, "atm": 101.325, "bar": 100.0}
 
@@ -43,9 +45,9 @@ def distance(a: Column, b: Column) -> Column:
 def knn_votes(rows: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     """(query, label, share): classes of the k nearest, weighing 1 / (distance + .001).
 
-    ``queries`` (query, qv) is a stated short list; nobody is their own neighbour.
+    ``queries`` (query, qv) is a stated set; nobody is their own neighbour.
     """
-    near = rows.crossJoin(F.broadcast(queries)).where("id <> query").select("query", "id", "label", distance(F.col("v"), F.col("qv")).alias("d"))
+    near = in_blocks(rows, queries, "id").where("id <> query").select("query", "id", "label", distance(F.col("v"), F.col("qv")).alias("d"))
     best = Window.partitionBy("query").orderBy("d", "id")
     kept = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).withColumn("w", 1 / (F.col("d") + 1e-3))
     sums = kept.groupBy("query", "label").agg(F.sum("w").alias("w"))

@@ -63,7 +63,7 @@ def support(claim: Column, passage: Column) -> Column:
     """Share of the claim's words of four letters or more whose first six letters occur in the passage."""
     words = F.array_distinct(F.filter(F.split(F.lower(claim), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
     low = F.lower(passage)
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(low, F.substring(w, 1, 6)))) / F.size(words))
+    return F.when((F.size(words) > 0) & passage.isNotNull(), F.size(F.filter(words, lambda w: F.contains(low, F.substring(w, 1, 6)))) / F.size(words))
 
 
 def citations(answer: Column, n: Column) -> Column:
