@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import checkpointed, table
+from evidex.llm.common import bounded_batches, checkpointed, table
 from evidex.llm.pieces import Pieces, in_runs
 
 BUCKETS = 16384
@@ -127,8 +127,16 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    words = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").count()
+    """(word, count) over all texts; each task adds up its own before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words({}, pattern)
+        for batch in batches:
+            for _, run in in_runs(batch.column(0).to_pylist()):
+                yield from words.counted(run)
+        yield from words.counted(None)
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> DataFrame:
@@ -148,7 +156,7 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 class Words(Pieces):
     """Pieces whose ids come from the table of frequent words; words outside it leave a hole."""
 
-    def __init__(self, known: dict[str, bytes], pattern: str, limit: int = 600_000):
+    def __init__(self, known: dict[str, bytes], pattern: str, limit: int = 300_000):
         self.known, self.find = known, regex.compile(pattern).findall
         self.keeps_spaces, self.limit = True, limit
         self.clear()
@@ -156,29 +164,61 @@ class Words(Pieces):
     def clear(self) -> None:
         super().clear()
         self.rare: list[str] = []
-
-    def _ids(self, keys: list[str], space: str) -> list[np.ndarray | list[int]]:
-        out = []
+        self.times = np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        self.clear()  # holes are numbered anew
+
+    def cut(self, piece: str) -> list[str]:
+        """The pattern's matches; letters after at most one space are one match, as is a mark after letters."""
+        body = piece[1:] if piece.startswith(" ") else piece
+        if body.isalpha():
+            return [piece]
+        if body[:-1].isalpha() and body[-1] in ".,;:!?":
+            return [piece[:-1], piece[-1]]
+        return self.find(piece)
+
+    def _ids(self, keys: list[str], space: str) -> list[np.ndarray]:
+        out, get = [], self.known.get
         for k in keys:
-            ids = b""
-            for w in self.find(space + k):
-                got = self.known.get(w)
+            ids = []
+            for w in self.cut(space + k):
+                got = get(w)
                 if got is None:
                     got = (int(HOLE) + len(self.rare)).to_bytes(4, "little")
                     self.rare.append(w)
-                ids += got
-            out.append(np.frombuffer(ids, "<u4"))
+                ids.append(got)
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
+    def counted(self, texts: list[str] | None) -> Iterator[pa.RecordBatch]:
+        """Counts words of texts, all of which are new holes here; gives the counts up when the table is full or at the end."""
+        if texts is not None and self.used <= self.limit:
+            ids, _ = self.encode(texts)
+            seen = np.bincount((ids - HOLE).astype(np.int64), minlength=len(self.rare))
+            seen[: len(self.times)] += self.times
+            self.times = seen
+            return
+        total: dict[str, int] = {}
+        for w, n in zip(self.rare, self.times.tolist(), strict=True):
+            total[w] = total.get(w, 0) + n
+        self.clear()
+        names = list(total)
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[w] for w in part], pa.int64())], ["word", "n"])
+        if texts is not None:
+            yield from self.counted(texts)
+
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 600_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 300_000) -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers."""
-    sc = docs.sparkSession.sparkContext
+    sc = bounded_batches(docs).sparkSession.sparkContext
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     literal = rank_map(ranks)
     folded = frequent_words(word_counts(picked, pattern), frequent).select("word", bound(literal, lambda m: fold(F.col("word"), m)).alias("ids"))
-    blob = folded.mapInArrow(_packed_words, "word string, ids binary")
-    known = sc.broadcast({r["word"]: bytes(r["ids"]) for r in blob.toLocalIterator()})
+    listed = folded.mapInArrow(_packed_words, "word string, ids binary").toArrow()
+    known = sc.broadcast(dict(zip(*(c.to_pylist() for c in listed.columns), strict=True)))
     all_ranks = sc.broadcast(ranks)
     kind = picked.schema["id"]
     with_rare = T.StructType([kind, T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
@@ -189,26 +229,36 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             for at, run in in_runs(batch.column(1).to_pylist()):
                 ids, begin = words.encode(run)
                 holes = ids >= HOLE
-                rare = np.array(words.rare, object)[(ids[holes] - HOLE).astype(np.int64)].tolist() if holes.any() else []
+                rare = [words.rare[i] for i in (ids[holes] - HOLE).tolist()]
                 counts = np.concatenate(([0], np.cumsum(holes)))[begin]
                 raw = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([raw[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), pa.array([rare[a:b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)], pa.list_(pa.string()))], ["id", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, rare, found in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if rare:
-                    flat = np.frombuffer(ids, "<u4")
-                    parts = [f if f is not None else merge_long(w.encode(), all_ranks.value) for w, f in zip(rare, found, strict=True)]
-                    lengths = np.ones(len(flat), np.int64)
-                    holes = flat >= HOLE
-                    lengths[holes] = [len(p) for p in parts]
-                    full = np.repeat(flat, lengths)
-                    full[np.repeat(holes, lengths)] = np.concatenate([np.array(p, np.uint32) for p in parts])
-                    ids = full.astype("<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "ids"])
+            blobs = batch.column(1).to_pylist()
+            flat = np.frombuffer(b"".join(blobs), "<u4")
+            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            holes = flat >= HOLE
+            if holes.any():
+                words, found = batch.column(2).flatten(), batch.column(3).flatten()
+                lengths = np.ones(len(flat), np.int64)
+                own = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = found.flatten().to_numpy(zero_copy_only=False)
+                long = {i: merge_long(words[i].as_py().encode(), all_ranks.value) for i in np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False)).tolist()}
+                if long:
+                    parts = np.split(values, np.cumsum(own)[:-1])
+                    for i, ids in long.items():
+                        parts[i], own[i] = np.array(ids), len(ids)
+                    values = np.concatenate(parts)
+                lengths[holes] = own
+                ends = np.cumsum(lengths)
+                full = np.repeat(flat, lengths)
+                full[np.repeat(holes, lengths)] = values
+                bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+                raw = full.astype("<u4").tobytes()
+                blobs = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "ids"])
 
     # a null instead of ids for words that are too long for the fold
     found = bound(literal, lambda m: F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, m))))
@@ -229,10 +279,16 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id")
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        tokens = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.binary())], [*batch.schema.names, "bytes"])
+            blobs = batch.column(1).to_pylist()
+            ids = np.frombuffer(b"".join(blobs), "<u4")
+            joined = tokens.take(pa.array(ids))  # the pieces lie one after another in its buffer
+            at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)))
+            _, offsets, data = joined.buffers()
+            ends = np.frombuffer(offsets, np.int64)[at].tolist() if len(ids) else [0] * len(at)
+            raw = data.to_pybytes() if data is not None and len(ids) else b""
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], [*batch.schema.names, "bytes"])
 
     picked = encoded.select(id_col, "ids")
     return picked.mapInArrow(join, T.StructType([*picked.schema.fields, T.StructField("bytes", T.BinaryType())]))
