@@ -20,13 +20,15 @@ import pyarrow.compute as pc
 
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Marks that begin a token of their own after a letter.
+_MARKS = tuple(".,;:!?")
 _OWN: dict[tuple[str, bool], Pieces] = {}
 #: Characters encoded at once.
 AT_ONCE = 4_000_000
 
 
 class Pieces:
-    def __init__(self, path: str, keeps_spaces: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, keeps_spaces: bool, limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,25 +42,79 @@ class Pieces:
         self.bare: dict[str, int] = {}  # of pieces without
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.used, self.filled = np.zeros(1 << 16, np.uint32), 0, 0
+        self.uses = np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        """Forgets the pieces that were used least, more than half of the table."""
+        least = max(2, int(np.partition(self.uses, len(self.uses) * 3 // 5)[len(self.uses) * 3 // 5]) + 1)
+        kept = np.flatnonzero(self.uses >= least)
+        place, bare, ids, length, uses = self.place, self.bare, self._gather(kept), self.length[kept], self.uses[kept]
+        at = np.full(self.used, -1, np.int64)
+        at[kept] = np.arange(len(kept))
+        self.clear()
+        self._keep([""] * len(kept), {}, ids, length)
+        where = at.tolist()
+        self.place = {k: where[i] for k, i in place.items() if where[i] >= 0}
+        self.bare = {k: where[i] for k, i in bare.items() if where[i] >= 0}
+        self.uses = uses // 2
 
     def _ids(self, keys: list[str], space: str) -> list:
         return [e.ids for e in self.tokenizer.encode_batch_fast([space + k for k in keys], add_special_tokens=False)]
 
+    @staticmethod
+    def _atoms(key: str) -> list[str] | None:
+        """Parts between which no token spans: lines, and a mark after letters; None for a single part."""
+        lines = key.split("\n")
+        if len(lines) > 1 and not (all(lines) and len(key.split()) == len(lines)):
+            return None
+        out = []
+        for i, x in enumerate(lines):
+            if i:
+                out.append("\n")
+            out += [x[:-1], x[-1]] if x[-1:] in _MARKS and x[:-1].isalpha() else [x]
+        return out if len(out) > 1 else None
+
+    def _keep(self, keys: list[str], table: dict[str, int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.used + len(keys) > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        end = self.used + len(keys)
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.start[self.used : end] = self.filled + np.cumsum(lengths) - lengths
+        self.length[self.used : end] = lengths
+        table.update(zip(keys, range(self.used, end), strict=True))
+        self.used, self.filled = end, self.filled + len(ids)
+
     def _learn(self, keys: list[str], table: dict[str, int], space: str) -> None:
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            found = self._ids(part, space)
+        single, joint, parts = [], [], []
+        for k in keys:
+            atoms = self._atoms(k)
+            if atoms is None:
+                single.append(k)
+            else:
+                joint.append(k)
+                parts.append(atoms)
+        for at in range(0, len(single), 20_000):
+            some = single[at : at + 20_000]
+            found = self._ids(some, space)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(lengths.sum())
-            while self.filled + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while self.used + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-            self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            self.start[self.used : self.used + len(part)] = self.filled + np.cumsum(lengths) - lengths
-            self.length[self.used : self.used + len(part)] = lengths
-            table.update(zip(part, range(self.used, self.used + len(part)), strict=True))
-            self.used, self.filled = self.used + len(part), self.filled + total
+            self._keep(some, table, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+        if joint:
+            first = self._places([p[0] for p in parts], table, space)
+            rest = self._places([x for p in parts for x in p[1:]], self.bare, "")
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            begin = np.cumsum(sizes) - sizes
+            codes = np.empty(int(sizes.sum()), np.int64)
+            is_first = np.zeros(len(codes), bool)
+            is_first[begin] = True
+            codes[is_first], codes[~is_first] = first, rest
+            self._keep(joint, table, self._gather(codes), np.add.reduceat(self.length[codes], begin))
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        length = self.length[codes]
+        ends = np.cumsum(length)
+        return self.ids[np.repeat(self.start[codes] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def _places(self, keys: list[str], table: dict[str, int], space: str) -> np.ndarray:
         new = [k for k in dict.fromkeys(keys) if k not in table]
@@ -68,7 +124,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin, and the end)."""
         if self.used > self.limit:
-            self.clear()
+            self.make_room()
         space = " " if self.keeps_spaces else ""
         odd = [i for i, t in enumerate(texts) if _RUN.search(t)] if self.keeps_spaces else []
         plain = list(texts)
@@ -85,11 +141,10 @@ class Pieces:
             for i in odd:  # runs of white space: cut only where a space follows something else
                 parts[i] = np.concatenate([self._places([p[1:]], self.place, " ") if p.startswith(" ") else self._places([p], self.bare, "") for p in _CUT.split(texts[i]) if p])
             codes, begin = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        length = self.length[codes]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[codes] - (ends - length), length) + np.arange(total)]
-        return ids, np.concatenate(([0], ends))[begin]
+        seen = np.bincount(codes, minlength=self.used)
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
+        return self._gather(codes), np.concatenate(([0], np.cumsum(self.length[codes])))[begin]
 
 
 def pieces(path: str, keeps_spaces: bool) -> Pieces:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidex.llm.common import ensure_checkpoint_dir, table
+from evidex.llm.common import bounded_batches, ensure_checkpoint_dir, table
 from evidex.llm.pieces import in_runs, pieces
 
 #: Selector s packs COUNT[s] ids of WIDTH[s] bits; the last selector is the escape.
@@ -35,6 +35,10 @@ COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1], np.int6
 WIDTH = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 60], np.uint64)
 ESCAPE = 15
 BLOCK = 4096
+#: The first selector that holds an id, for ids below 65536.
+_NEED = (np.arange(1 << 16, dtype=np.uint64)[:, None] >> WIDTH[:14] != 0).sum(axis=1).astype(np.uint8)
+#: How windows are put together: size, sizes of the first and second part (which may overlap).
+_PARTS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30)}
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,34 +54,41 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     wide = ids[wide_at]
     blocks = -(-n // block)
     ends = np.minimum(np.arange(1, blocks + 1) * block, n)
-    # reach[s][i]: the first position from i on whose value is wider than WIDTH[s]
-    selector = np.full(n, ESCAPE, np.int64)
-    chosen = np.zeros(n, bool)
-    room = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(n)
-    for s in range(14):
-        over = np.where(ids >> WIDTH[s] != 0, np.arange(n), n)
-        reach = np.minimum.accumulate(over[::-1])[::-1] - np.arange(n)
-        # a word may end short only at the end of its block
-        fits = ~chosen & (reach >= np.minimum(COUNT[s], room))
-        selector[fits], chosen = s, chosen | fits
-    selector[wide_at] = ESCAPE
+    # the first selector whose width each id fits; blocks are rows, with room for windows past their ends:
+    # a word may end short only there
+    need = _NEED[np.minimum(ids, np.uint64(len(_NEED) - 1)).astype(np.int64)]
+    large = np.flatnonzero(ids >= len(_NEED))
+    need[large] = (ids[large, None] >> WIDTH[:14] != 0).sum(axis=1)
+    rows = np.zeros((blocks, block + 60), np.uint8)
+    padded = np.zeros(blocks * block, np.uint8)
+    padded[:n] = need
+    rows[:, :block] = padded.reshape(blocks, block)
+    most = {1: rows}  # the greatest need in a window, from those of its parts
+    for count, (left, right) in _PARTS.items():
+        most[count] = most[left].copy()
+        most[count][:, :-left] = np.maximum(most[left][:, :-left], most[right][:, left:])
+    choice = np.full((blocks, block), ESCAPE, np.uint8)
+    for s in range(13, -1, -1):
+        np.copyto(choice, np.uint8(s), where=most[int(COUNT[s])][:, :block] <= s)
+    selector = choice.reshape(-1)[:n].astype(np.int64)
     at = ends - np.diff(np.concatenate(([0], ends)))
-    live, steps = np.arange(blocks), []
+    live, starts = np.arange(blocks), np.zeros(n, bool)
+    step = COUNT[selector]
     while len(live):
-        steps.append((live, at[live].copy()))
-        at[live] += np.minimum(COUNT[selector[at[live]]], ends[live] - at[live])
-        live = live[at[live] < ends[live]]
-    owner, begin = (np.concatenate([s[k] for s in steps]) for k in (0, 1))
-    order = np.lexsort((begin, owner))
-    owner, begin = owner[order], begin[order]
+        here = at[live]
+        starts[here] = True
+        here += step[here]
+        at[live] = here
+        live = live[here < ends[live]]
+    begin = np.flatnonzero(starts)
     sel = selector[begin]
-    taken = np.minimum(COUNT[sel], ends[owner] - begin)
-    slot = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
+    taken = np.diff(np.append(begin, n))
+    shift = ((np.arange(n) - np.repeat(begin, taken)) * np.repeat(WIDTH[sel].astype(np.int64), taken)).astype(np.uint64)
     value = ids.copy()
     value[wide_at] = np.arange(len(wide), dtype=np.uint64)
-    words = np.bitwise_or.reduceat(value << (slot.astype(np.uint64) * np.repeat(WIDTH[sel], taken)), np.cumsum(taken) - taken)
+    words = np.bitwise_or.reduceat(value << shift, begin)
     words |= sel.astype(np.uint64) << np.uint64(60)
-    return words, np.concatenate((np.searchsorted(owner, np.arange(blocks)), [len(words)])), wide
+    return words, np.concatenate((np.searchsorted(begin, np.arange(blocks) * block), [len(words)])), wide
 
 
 def decode(words: np.ndarray, total: int, offsets: np.ndarray, wide: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -104,7 +115,7 @@ ROW = "part int, seq bigint, docs array<bigint>, lengths array<bigint>, words bi
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keeps_spaces: bool = False) -> None:
     """Writes the ids of all texts to ``path``, in ascending order of id over its files."""
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
