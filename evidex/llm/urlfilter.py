@@ -85,6 +85,8 @@ def ship(spark: SparkSession, strings: Sequence[str]) -> str:
     """Hands the digest file to all executors, present and to come; its name there."""
     blob = DigestArray.build(strings)
     name = f"digests-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
+    if any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        return name  # the same content is there already
     path = os.path.join(tempfile.mkdtemp(prefix="evidex-digests-"), name)
     with open(path, "wb") as f:
         f.write(blob)
