@@ -57,17 +57,18 @@ def features(text: str) -> np.ndarray:
     return (root / norm if norm else root).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 150) -> np.ndarray:
+def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 100) -> np.ndarray:
     """A linear support vector machine (squared hinge, both classes weighing alike); the bias comes last."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    step = 1.0 / (1.0 + 2 * 2 * c)
+    y = y.astype(np.float32)  # one precision throughout: mixed, each product would copy the whole matrix
+    weight = (np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c).astype(np.float32)
+    w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    step = np.float32(1.0 / (1.0 + 2 * 2 * c))
     for t in range(rounds):  # Nesterov's accelerated gradient
         slack = np.maximum(0.0, 1 - y * (x @ v))
         grad = v - 2 * x.T @ (weight * slack * y)
         following = v - step * grad
-        v = following + (t / (t + 3)) * (following - w)
+        v = following + np.float32(t / (t + 3)) * (following - w)
         w = following
     return w
 
