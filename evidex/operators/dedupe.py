@@ -35,28 +35,29 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
-def similar_titles(reports: DataFrame, least: float = 95.0, band: int = 4) -> DataFrame:
-    """(id, other): reports of one first author whose sorted titles are alike to ``least`` per cent.
+def title_classes(reports: DataFrame) -> DataFrame:
+    """(s, t, c): the distinct pairs of first author and sorted title; c is the least id that bears it.
 
-    Equal titles are merged first, so copies never pair up.  Different titles meet by author and
-    by one of their rarest words: titles alike to 95 per cent share all but a few characters, so
-    they share a word unless every word is touched, and those go by equal length bands instead.
+    A missing author or title counts as the empty one.
     """
-    named = reports.select("id", surname(F.col("author")).alias("s"), token_sort(F.col("title")).alias("t"))
-    distinct = named.groupBy("s", "t").agg(F.min("id").alias("id"))
-    copies = named.join(distinct.withColumnRenamed("id", "kept"), ["s", "t"]).where("id <> kept").select("id", F.col("kept").alias("other"))
-    keys = F.array_distinct(F.concat(F.slice(F.reverse(F.array_sort(F.transform(F.split("t", " "), lambda w: F.concat(F.lpad(F.length(w).cast("string"), 3, "0"), w)))), 1, band)))
-    keyed = distinct.select("s", "t", "id", F.explode(keys).alias("k"))
-    left, right = keyed.alias("l"), keyed.alias("r")
-    met = left.join(right, ["s", "k"]).where((F.col("l.id") > F.col("r.id")) & (F.abs(F.length("l.t") - F.length("r.t")) <= 0.1 * F.greatest(F.length("l.t"), F.length("r.t"))))
-    pairs = met.select(F.col("l.id").alias("id"), F.col("r.id").alias("other"), F.col("l.t").alias("a"), F.col("r.t").alias("b")).dropDuplicates(["id", "other"])
+    empty = lambda name: F.coalesce(F.col(name), F.lit(""))
+    named = reports.select("id", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t"))
+    return named.groupBy("s", "t").agg(F.min("id").alias("c"))
+
+
+def similar_titles(classes: DataFrame, least: float = 95.0, band: int = 4) -> DataFrame:
+    """(a, b), a < b: classes of one first author whose titles are alike to ``least`` per cent and share one of their ``band`` longest words."""
+    keys = F.array_distinct(F.slice(F.reverse(F.array_sort(F.transform(F.split("t", " "), lambda w: F.concat(F.lpad(F.length(w).cast("string"), 3, "0"), w)))), 1, band))
+    keyed = classes.select("s", "t", "c", F.explode(keys).alias("k"))
+    met = keyed.alias("l").join(keyed.alias("r"), ["s", "k"]).where("l.c < r.c").select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
+    named = met.join(classes.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            keep = [indel_ratio(a, b) >= least for a, b in zip(part["a"], part["b"], strict=True)]
-            yield part.loc[keep, ["id", "other"]]
+            keep = [indel_ratio(x, y) >= least for x, y in zip(part["ta"], part["tb"], strict=True)]
+            yield part.loc[keep, ["a", "b"]]
 
-    return copies.union(pairs.mapInPandas(alike, "id long, other long"))
+    return named.mapInPandas(alike, "a long, b long")
 
 
 def same_identifier(reports: DataFrame) -> DataFrame:
@@ -65,22 +66,35 @@ def same_identifier(reports: DataFrame) -> DataFrame:
     return reports.join(first, "doi").where("id <> other").select("id", "other")
 
 
-def mark(reports: DataFrame, least: float = 95.0, rounds: int = 6) -> DataFrame:
+def mark(reports: DataFrame, least: float = 95.0) -> DataFrame:
     """(id, duplicate_of): greedy by id: a report is a duplicate of the first kept report it is like.
 
-    A report is kept once every earlier report it is like is itself a duplicate; a few rounds of
-    joins settle chains, since each round decides all reports whose earlier ones are decided.
+    Reports are alike by identifier, by an equal title or by similar titles of one first author;
+    titles are compared once per class of equal ones.  Each round keeps every open report that is
+    before all open reports it is like, and settles those like it.  At least the first open report
+    is settled in a round, and rounds end when none is open; ids are taken to be unique.
     """
-    pairs = similar_titles(reports, least).union(same_identifier(reports)).distinct().checkpoint()
-    open_ids = reports.select("id").distinct()
-    state = open_ids.join(pairs.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("long").alias("duplicate_of"))
-    rest = open_ids.join(state, "id", "left_anti")
-    for _ in range(rounds):
-        decided = pairs.join(rest, "id").join(state.select(F.col("id").alias("other"), F.col("duplicate_of").isNull().alias("kept")), "other", "left")
-        told = decided.groupBy("id").agg(F.min(F.when(F.col("kept"), F.col("other"))).alias("to"), F.max(F.col("kept").isNull().cast("int")).alias("waits"), F.min(F.when(F.col("kept").isNull(), F.col("other"))).alias("first_open"))
-        ready = told.where("waits = 0 or to < first_open").select("id", F.col("to").alias("duplicate_of")).checkpoint()
-        if ready.isEmpty():
-            break
-        state = state.unionByName(ready)
-        rest = rest.join(ready, "id", "left_anti")
-    return state
+    classes = title_classes(reports).checkpoint()
+    similar = similar_titles(classes, least).checkpoint()
+    near = similar.select(F.col("a").alias("c"), F.col("b").alias("n")).union(similar.select("b", "a"))
+    empty = lambda name: F.coalesce(F.col(name), F.lit(""))
+    rows = reports.select("id", "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(classes, ["s", "t"]).select("id", "c", "doi").checkpoint()
+    still, kept, step = rows, rows.limit(0), 0
+    while not still.isEmpty():
+        step += 1
+        first = still.groupBy("c").agg(F.min("id").alias("id"))
+        around = near.join(first.select(F.col("c").alias("n"), F.col("id").alias("g")), "n").groupBy("c").agg(F.min("g").alias("g"))
+        by_doi = still.where("doi is not null").groupBy("doi").agg(F.min("id").alias("h"))
+        new = still.join(first, ["c", "id"]).join(around, "c", "left").where("g is null or id < g").join(by_doi, "doi", "left").where("h is null or id = h").select("id", "c", "doi").checkpoint()
+        if new.isEmpty():
+            raise RuntimeError("no open report could be settled")
+        gone = new.select("c").union(near.join(new, "c").select("n")).distinct()
+        still = still.join(gone, "c", "left_anti").join(new.where("doi is not null").select("doi").distinct(), "doi", "left_anti").select("id", "c", "doi").checkpoint()
+        kept = kept.unionByName(new)
+        if step % 10 == 0:
+            kept = kept.checkpoint()
+    kept = kept.checkpoint()
+    by_title = kept.select("c", "id").union(near.join(kept, "c").select("n", "id")).groupBy("c").agg(F.min("id").alias("x"))
+    by_doi = kept.where("doi is not null").groupBy("doi").agg(F.min("id").alias("y"))
+    told = rows.join(by_title, "c", "left").join(by_doi, "doi", "left").withColumn("to", F.least("x", "y"))
+    return told.select("id", F.when(F.col("to") != F.col("id"), F.col("to")).alias("duplicate_of"))

@@ -1,6 +1,7 @@
 """Edge cases of the evidence operators on small tables."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -109,6 +110,35 @@ def test_greedy_near_duplicates(spark):
     assert got == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: 5}
 
 
+def greedy(rows):
+    """(id, author, title, doi) rows, every pair compared: the plain meaning of mark."""
+    kept, out = [], {}
+    norm = lambda t: " ".join(sorted(re.findall("[a-z0-9]+", t.lower())))
+    for i, author, title, doi in sorted(rows):
+        like = (k for k, a, t, d in kept if (doi and doi == d) or (a == author and dedupe.indel_ratio(t, norm(title)) >= 95))
+        out[i] = next(like, None)
+        if out[i] is None:
+            kept.append((i, author, norm(title), doi))
+    return out
+
+
+def marked(spark, rows, tmp_path):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    got = dedupe.mark(spark.createDataFrame(rows, "id long, author string, title string, doi string")).collect()
+    assert len(got) == len(rows)
+    return {r["id"]: r["duplicate_of"] for r in got}
+
+
+def test_copies_and_chains_are_settled_like_the_greedy_rule(spark, tmp_path):
+    base = "abcdefghij klmnopqrst uvwxyzabcd efghijklmn"
+    chain = [base[:k] + "0" * k + base[k:] for k in range(20)]  # each like the next few only: many rounds
+    rows = [(k + 1, "lee", t, None) for k, t in enumerate(chain)]
+    rows += [(100 + k, "lee", t, None) for k, t in enumerate(chain)]  # copies, also of duplicates
+    rows += [(200, "lee", chain[1], "d"), (201, "ng", "else", "d"), (202, "ng", "else", None)]
+    assert marked(spark, rows, tmp_path) == greedy(rows)
+
+
 def test_indel_ratio_is_lcs():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
