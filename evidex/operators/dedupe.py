@@ -45,11 +45,30 @@ def title_classes(reports: DataFrame) -> DataFrame:
     return named.groupBy("s", "t").agg(F.min("id").alias("c"))
 
 
-def similar_titles(classes: DataFrame, least: float = 95.0, band: int = 4) -> DataFrame:
-    """(a, b), a < b: classes of one first author whose titles are alike to ``least`` per cent and share one of their ``band`` longest words."""
-    keys = F.array_distinct(F.slice(F.reverse(F.array_sort(F.transform(F.split("t", " "), lambda w: F.concat(F.lpad(F.length(w).cast("string"), 3, "0"), w)))), 1, band))
-    keyed = classes.select("s", "t", "c", F.explode(keys).alias("k"))
-    met = keyed.alias("l").join(keyed.alias("r"), ["s", "k"]).where("l.c < r.c").select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
+def similar_titles(classes: DataFrame, least: float = 95.0) -> DataFrame:
+    """(a, b), a < b: classes of one first author whose titles are alike to ``least`` per cent, all of them.
+
+    Alike titles of lengths m <= l differ by at most d = 2 l (1 - least / 100) insertions and
+    deletions.  Cut into d + 1 segments, the longer title has one that no change touches, and the
+    shorter one holds it too, at most d places away: titles meet by equality on author and segment.
+    """
+    if not 50 < least <= 100:
+        raise ValueError("least must be above 50 and at most 100")
+    off = (100.0 - least) / 100.0
+    changes = lambda n: F.floor(2 * n * off + 1e-9).cast("int")
+    size = lambda n: F.floor(n / (changes(n) + 1)).cast("int")
+    sized = classes.select("s", "t", "c", F.length("t").alias("n"))
+    segments = sized.where(changes(F.col("n")) > 0).withColumn("g", size(F.col("n")))
+    cut = F.transform(F.sequence(F.lit(0), changes(F.col("n"))), lambda i: F.struct((i * F.col("g")).alias("at"), F.substring(F.col("t"), i * F.col("g") + 1, F.col("g")).alias("part")))
+    longer = segments.select("s", F.col("c").alias("x"), F.col("n").alias("l"), F.explode(cut).alias("k")).select("s", "x", "l", "k.*")
+    # a title meets titles of its own length and above, up to the length at which it can still be alike
+    reach = F.floor(F.col("n") * (1 + off) / (1 - off) + 1e-9).cast("int")
+    sizes = F.array_distinct(F.transform(F.sequence(F.col("n"), reach), size))
+    probes = sized.where("n > 0").select("s", F.col("c").alias("y"), F.col("n").alias("m"), "t", F.explode(sizes).alias("g")).where("g <= m")
+    every = F.transform(F.sequence(F.lit(0), F.col("m") - F.col("g")), lambda i: F.struct(i.alias("from"), F.substring(F.col("t"), i + 1, F.col("g")).alias("part")))
+    shorter = probes.select("s", "y", "m", F.explode(every).alias("k")).select("s", "y", "m", "k.*")
+    near = (F.col("m") <= F.col("l")) & (F.col("x") != F.col("y")) & (F.col("l") - F.col("m") <= off * (F.col("l") + F.col("m")) + 1e-9) & (F.abs(F.col("at") - F.col("from")) <= changes(F.col("l")))
+    met = longer.join(shorter, ["s", "part"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     named = met.join(classes.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -139,6 +139,23 @@ def test_copies_and_chains_are_settled_like_the_greedy_rule(spark, tmp_path):
     assert marked(spark, rows, tmp_path) == greedy(rows)
 
 
+def test_titles_changed_in_every_long_word_meet(spark, tmp_path):
+    words = ["characterisation", "extinguishment", "microgravitational", "thermogravimetric"]
+    long = " ".join([*words, *(f"w{i}x" for i in range(22))])
+    changed = " ".join([*(w[:4] + "q" + w[5:] for w in words), *(f"w{i}x" for i in range(22))])
+    rng = random.Random(5)
+    rows = [(1, "lee", long, None), (2, "lee", changed, None), (3, "ng", changed, None)]
+    for i in range(4, 120):
+        t = list(rng.choice((long, changed))[: rng.randrange(5, 160)])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice(("", "z", t[at] + "z"))
+        rows.append((i, "lee", "".join(t), None))
+    want = greedy(rows)
+    assert want[2] == 1 and sum(v is not None for v in want.values()) > 5
+    assert marked(spark, rows, tmp_path) == want
+
+
 def test_indel_ratio_is_lcs():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
