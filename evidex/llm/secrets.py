@@ -4,8 +4,10 @@ Base kinds are leftmost, non-overlapping pattern matches that pass a length
 test.  The entropy method then looks at candidate strings (long runs of key
 characters that mix letters and digits), slides a window of fixed length over
 each, keeps the window's entropy up to date from incremental character counts
-and reports the union of the windows above the threshold of the candidate's
-character class, unless an allow-list pattern covers the candidate.
+and reports the parts of the candidate (cut after ``=``) that hold a window above
+the threshold of its character class.  Runs of a narrower class inside a candidate
+(a hex key after a name or path) are tested by that class and reported whole.
+Candidates and runs that an allow-list pattern covers are left out.
 
 Cases: a null or empty text has no spans; repeated rows each get their own row;
 texts of any length are scanned whole, in one pass per pattern; an empty table
@@ -31,6 +33,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGIT = re.compile(r"[0-9]")
+#: A name or a value of a candidate; hits of its windows are widened to the whole of it.
+_PART = re.compile(r"[^=]+=*|=+")
 #: Character classes of candidates: name, full-match pattern, window, bits per character needed.
 CLASSES = (
     ("hex", re.compile(r"[0-9a-fA-F]+"), 16, 2.8),
@@ -86,14 +90,29 @@ class Scanner:
         found = []
         for m in _CANDIDATE.finditer(text):
             s = m.group()
-            if not _DIGIT.search(s) or s.isdigit() or any(a.fullmatch(s) for a in self.allow):
+            if self._plain(s):
                 continue
+            spans = []
             for _, pattern, window, bits in self.classes:
                 if pattern.fullmatch(s):
-                    found += [(m.start() + a, m.start() + b) for a, b in windows_above(s, window, bits)]
+                    hits = windows_above(s, window, bits)
+                    if hits:
+                        spans += [p.span() for p in _PART.finditer(s) if any(a < p.end() and p.start() < b for a, b in hits)]
                     break
+                # a name or path before a key of a narrower class does not change the key's class
+                spans += [r.span() for r in re.finditer(pattern.pattern, s) if r.end() - r.start() >= 20 and not self._plain(r.group()) and windows_above(r.group(), window, bits)]
+            done = -1
+            for a, b in sorted(spans):
+                if a <= done:
+                    found[-1] = (found[-1][0], max(found[-1][1], m.start() + b))
+                else:
+                    found.append((m.start() + a, m.start() + b))
+                done = max(done, b)
         return found
 
+    def _plain(self, s: str) -> bool:
+        return not _DIGIT.search(s) or s.isdigit() or any(a.fullmatch(s) for a in self.allow)
+
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, kind index, end), sorted."""
         if not text:

@@ -67,6 +67,22 @@ def test_allow_list_and_redaction(spark):
     assert got[0] == f"id {uuid} ok" and key not in got[1] and "[REDACTED]" in got[1] and got[2] is None and got[3] == "plain"
 
 
+def test_keys_after_names_and_paths_are_covered_whole():
+    rng, scanner = random.Random(4), secrets.Scanner()
+    for digits in ("0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for size in (32, 40, 64):
+            for _ in range(60):
+                key = "".join(rng.choice(digits) for _ in range(size))
+                bare = scanner.entropy_spans(key)
+                if not bare:
+                    continue
+                assert bare == [(0, size)]
+                for before in ("AUTH=", "KEY_", "usr/path/", "a-b="):
+                    (a, b), *more = scanner.entropy_spans(f"{before}{key}")
+                    assert a <= len(before) and b == len(before) + size and not more, (before, key)
+    assert not scanner.entropy_spans("123e4567-e89b-12d3-a456-426614174000 some/path-of/words_and/12")
+
+
 # --- 2 near duplicates
 
 
