@@ -52,7 +52,7 @@ def undirected(edge_table: DataFrame) -> DataFrame:
     return edge_table.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("papers").alias("weight"))
 
 
-def pagerank(links: DataFrame, damping: float = 0.85, iterations: int = 20, checkpoint_every: int = 10) -> DataFrame:
+def pagerank(links: DataFrame, damping: float = 0.85, iterations: int = 100, checkpoint_every: int = 10) -> DataFrame:
     """Weighted PageRank by power iteration: one join and one sum a step, lineage cut in the shared folder."""
     both = links.select(F.col("a").alias("s"), F.col("b").alias("t"), "weight").unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("t"), "weight"))
     out = both.groupBy("s").agg(F.sum("weight").alias("total"))
@@ -172,12 +172,26 @@ def betweenness(links: DataFrame, most_nodes: int = 5000) -> DataFrame:
     return sources.repartition(8, "node").mapInPandas(from_sources, "node string, part double").groupBy("node").agg((F.sum("part") / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
-def communities(links: DataFrame, rounds: int = 5) -> DataFrame:
-    """Label propagation: each concept takes the label of the greatest weight around it, ties to the least label."""
-    both = links.select(F.col("a").alias("s"), F.col("b").alias("t"), "weight").unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("t"), "weight"))
-    label = both.select(F.col("s").alias("node"), F.col("s").alias("label")).distinct()
-    for _ in range(rounds):
+def communities(links: DataFrame) -> DataFrame:
+    """Label propagation until labels repeat: each concept takes the label of the greatest weight around it, ties to the least label.
+
+    All concepts move at once, so labels may end in a cycle of states rather than in one; each
+    concept then gets the least label it has in the cycle.
+    """
+    both = links.select(F.col("a").alias("s"), F.col("b").alias("t"), "weight").unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("t"), "weight")).checkpoint()
+    label = both.select(F.col("s").alias("node"), F.col("s").alias("label")).distinct().checkpoint()
+    best = Window.partitionBy("s").orderBy(F.desc("w"), "label")
+    seen, states = [], []
+    while True:
+        mark = tuple(label.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "node", "label").cast("decimal(38,0)")) for k in (0, 1))).first())
+        if mark in seen:
+            break
+        seen.append(mark)
+        states.append(label)
         around = both.join(label, F.col("t") == F.col("node")).groupBy("s", "label").agg(F.sum("weight").alias("w"))
-        best = Window.partitionBy("s").orderBy(F.desc("w"), "label")
-        label = around.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("s").alias("node"), "label")
-    return label
+        label = around.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("s").alias("node"), "label").checkpoint()
+    cycle = states[seen.index(mark) :]
+    every = cycle[0]
+    for state in cycle[1:]:
+        every = every.unionByName(state)
+    return every.groupBy("node").agg(F.min("label").alias("label"))

@@ -62,6 +62,43 @@ def test_paths_are_simple_and_betweenness(spark):
     assert abs(sum(rank.values()) - 1) < 1e-6 and max(rank, key=rank.get) == "c"
 
 
+def ring(spark, tmp_path, n, extra=()):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(f"n{i:02}", f"n{i + 1:02}", 1 + i % 3) for i in range(n)] + list(extra)
+    return rows, spark.createDataFrame(rows, "a string, b string, weight long")
+
+
+def test_pagerank_converges_by_default(spark, tmp_path):
+    rows, links = ring(spark, tmp_path, 12, [("n00", "n05", 9)])
+    near = {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    want = dict.fromkeys(near, 1 / len(near))
+    for _ in range(100):
+        want = {v: 0.15 / len(near) + 0.85 * sum(want[u] * near[u][v] / sum(near[u].values()) for u in near[v]) for v in near}
+    got = {r["node"]: r["rank"] for r in graph.pagerank(links).collect()}
+    assert set(got) == set(want) and max(abs(got[v] - want[v]) for v in want) < 1e-9
+
+
+def test_communities_settle_or_take_the_least_of_a_cycle(spark, tmp_path):
+    for n, extra in ((14, []), (14, [("n02", "n09", 5)]), (1, [])):
+        rows, links = ring(spark, tmp_path, n, extra)
+        near, states = {}, []
+        for a, b, w in rows:
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+        label = {v: v for v in near}
+        while label not in states:
+            states.append(label)
+            score = {v: {} for v in near}
+            for v in near:
+                for u, w in near[v].items():
+                    score[v][label[u]] = score[v].get(label[u], 0) + w
+            label = {v: min(score[v], key=lambda x, v=v: (-score[v][x], x)) for v in near}
+        cycle = states[states.index(label) :]
+        assert {r["node"]: r["label"] for r in graph.communities(links).collect()} == {v: min(s[v] for s in cycle) for v in near}
+
+
 def test_exposure(spark):
     p = spark.createDataFrame([("m", 100, 90, 0, 34.0, 56.5)], "mission string, duration_days int, microgravity_days int, partial_gravity_days int, o2_percent double, pressure_kpa double")
     got = {r["condition"]: r["exposure"] for r in risk.exposures(p).collect()}
