@@ -38,8 +38,22 @@ def _dense(s, d):
     return R.dense(_vectors(s, d), asked, top=50)
 
 
-def _lexical(s, d):
-    return R.bm25(_docs(s, d), _queries(s))
+def _stated(s, d):
+    return _queries(s)
+
+
+def _asked(s, d):
+    """The distinct words of every document whose id is divisible by 100; the query's id is that of the vector beside it."""
+    asked = _docs(s, d).where(F.col("doc_id") % 100 == 0)
+    return asked.select((F.col("doc_id") / 100 + 1).cast("int").alias("query"), F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term")).distinct()
+
+
+def _lexical(s, d, ask=_stated):
+    return R.bm25(_docs(s, d), ask(s, d))
+
+
+def _terms(s, d, ask=_stated):
+    return ask(s, d).groupBy("query").agg(F.collect_list("term").alias("terms"))
 
 
 def _reports(s, d):
@@ -60,12 +74,12 @@ FUSED = f"""{BM25}, {DENSE}, fused AS (SELECT query, doc, round(sum(1.0::DOUBLE
 _SENT = "SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sentence"
 
 
-def _ranked_docs(s, d):
-    return _lexical(s, d).where("rank <= 10").select("query", "doc", "rank")
+def _ranked_docs(s, d, ask=_stated):
+    return _lexical(s, d, ask).where("rank <= 10").select("query", "doc", "rank")
 
 
-def _capped(s, d):
-    fused = R.fuse(_lexical(s, d), _dense(s, d))
+def _capped(s, d, ask=_stated):
+    fused = R.fuse(_lexical(s, d, ask), _dense(s, d))
     return R.capped(fused, _docs(s, d).select(F.col("doc_id").alias("doc"), F.col("source").alias("report")))
 
 
@@ -77,6 +91,31 @@ def _metrics(s, d):
     return evaluate.rank_metrics(_ranked_docs(s, d), _relevant(s, d))
 
 
+def _metrics_asked(s, d):
+    ranked = _ranked_docs(s, d, _asked).checkpoint()
+    good = read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
+    return evaluate.rank_metrics(ranked, ranked.select("query", "doc").distinct().join(good, "doc", "left_semi"))
+
+
+def _gate_asked(s, d):
+    ranked = _ranked_docs(s, d, _asked).checkpoint()
+    covered = R.rerank(ranked.withColumn("score", F.lit(0.0)), _docs(s, d), _terms(s, d, _asked))
+    return qa.refuses(covered.join(ranked, ["query", "doc"]))
+
+
+#: The searches by documents: the SQL of the stated ones fixes their eight terms, so these have names of their own, and no SQL.
+BY_DOCUMENT = {
+    "bm25_topk": lambda s, d: _lexical(s, d, _asked),
+    "rrf_hybrid": lambda s, d: R.fuse(_lexical(s, d, _asked), _dense(s, d)),
+    "hybrid_capped": lambda s, d: _capped(s, d, _asked),
+    "rerank_coverage": lambda s, d: R.rerank(_lexical(s, d, _asked).select("query", "doc", "score"), _docs(s, d), _terms(s, d, _asked)),
+    "interleaved": lambda s, d: qa.interleaved(_lexical(s, d, _asked).where("rank <= 12"), _dense(s, d).where("rank <= 12")),
+    "rank_metrics": _metrics_asked,
+    "mode_baselines": lambda s, d: evaluate.baselines(_metrics_asked(s, d).withColumn("mode", F.lit("bm25"))),
+    "refusal_gate": _gate_asked,
+}
+
+
 METRICS = BM25 + """, top AS (SELECT query, doc, rank FROM lex WHERE rank <= 10), rel AS (SELECT DISTINCT doc_id AS doc FROM labels WHERE quality = 1),
 j AS (SELECT query, rank, CASE WHEN rel.doc IS NULL THEN 0 ELSE 1 END AS good FROM top LEFT JOIN rel USING (doc)),
 m AS (SELECT query, max(CASE WHEN rank <= 1 THEN good ELSE 0 END) AS hit1, max(CASE WHEN rank <= 3 THEN good ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN good ELSE 0 END) AS hit5, max(CASE WHEN rank <= 10 THEN good ELSE 0 END) AS hit10,
@@ -215,3 +254,4 @@ QUERIES = {
         "WITH l AS (SELECT l_quantity * l_linenumber * 900 AS sec FROM lineitem), t AS (SELECT CASE WHEN sec < 120 THEN CAST(round(sec) AS BIGINT) || ' s' WHEN sec < 7200 THEN CAST(round(sec / 60) AS BIGINT) || ' min' WHEN sec < 172800 THEN CAST(round(sec / 3600) AS BIGINT) || ' h' ELSE CAST(round(sec / 86400) AS BIGINT) || ' days' END AS label FROM l) SELECT label, count(*) AS n FROM t GROUP BY label",
     ),
 }
+QUERIES |= {f"{name}_by_document": (query, None) for name, query in BY_DOCUMENT.items()}

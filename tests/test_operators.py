@@ -1,15 +1,20 @@
 """Edge cases of the evidence operators on small tables."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from evidex import catalogue
 from evidex.functions import formatting
 from evidex.operators import consensus, coverage, dedupe, extract, graph, predict, qa, retrieval, risk, text
 from evidex.sources import export, records
 from evidex.streaming import logs
 
+SF = "/root/testdata/sf0.001"
+
 
 def claims(spark, rows):
     return spark.createDataFrame(rows, "paper_id long, condition string, outcome string, geometry string, direction string, confidence double, w double, year int, study_type string, fuel string, seconds double")
@@ -218,6 +223,22 @@ def test_fusion_cap_and_ties(spark):
     assert [r["doc"] for r in retrieval.capped(fused, group).orderBy("rank").collect()] == [11, 10, 13]
 
 
+def test_every_hundredth_document_is_a_search(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    words = {i: [w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 2] for i, t in docs.items()}
+    mean, df = sum(map(len, words.values())) / len(words), Counter(w for ws in words.values() for w in set(ws))
+    want = {}
+    for q in (i for i in docs if i % 100 == 0):
+        for i, ws in words.items():
+            tf = Counter(ws)
+            score = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in set(words[q]) & set(ws))
+            if score > 0:
+                want[q // 100 + 1, i] = score
+    got = {(r["query"], r["doc"]): r["score"] for r in catalogue.queries()["bm25_topk_by_document"](spark, SF).collect()}
+    assert {q for q, _ in got} == {q for q, _ in want} and len(got) == sum(min(200, sum(k == q for k, _ in want)) for q in {q for q, _ in want})
+    assert all(abs(v - want[k]) < 1e-4 for k, v in got.items())
+
+
 def test_refusal_boundary(spark):
     hits = spark.createDataFrame([(1, 1, 1 / 3), (2, 1, 0.34)], "query int, rank int, coverage double")
     assert {r["query"]: r["refuse"] for r in qa.refuses(hits).collect()} == {1: True, 2: False}
