@@ -4,8 +4,8 @@ Each rule looks at one statistic of a document and votes bad, votes good or
 abstains.  Expectation-maximisation over the counts of vote patterns (at most
 three to the number of rules of them, whatever the corpus) estimates how each
 rule votes on good and on bad documents; a document is kept if its posterior
-probability of being good is one half or more, rather than if it passes all
-rules.  Two hard base rules reject on top of that.
+probability of being good is one half or more.  As the odds are bounded, that is
+in effect so if no rule votes bad.  Two hard base rules reject on top of that.
 
 Cases: a null text counts as empty (no words, rejected by the base rules);
 repeated rows are judged alike and each kept or dropped; an empty table gives
