@@ -31,7 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays.
 
-    As in op2, groups come from 4-word fingerprints that differ in at most 4 bits.
+    As in op2, groups come from 4-word fingerprints that differ in at most 4 bits; the README
+    says how few pairs at a similarity of 0.8 that links.
     """
     return simhash.keep_one_each(docs.select(*COLUMNS))
 

@@ -286,20 +286,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differences: int = 4) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest id; all columns of ``docs``.
+    """One row of each near-duplicate group: that of the smallest id, then of the smallest fingerprint; all columns of ``docs``.
 
     Rows without an id are kept only if no row of their group has one, and then one of them.
-    Of rows that repeat the kept id one stays.
+    Rows are found again by id and fingerprint, as one id may stand on different texts; of rows
+    that repeat both one stays.
     """
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i")).alias("_k"), F.col(text_col).alias("_t"))
     groups = near_duplicates(keyed, "_k", "_t", shingle, differences)
-    kept = groups.groupBy("root").agg(F.min("_k").alias("k"), F.min("fp").alias("_fp")).select(F.col("k.i").alias("_i"), F.col("k.n").alias("_n"), "_fp")
-    some = kept.where("not _n").select("_i")
-    chosen = docs.join(some, docs[id_col] == some["_i"], "left_semi").dropDuplicates([id_col])
-    # groups of rows that all lack an id: one row per group, found again by its fingerprint
-    bare = docs.where(F.col(id_col).isNull())
-    if kept.where("_n").isEmpty():
-        return chosen
+    kept = groups.groupBy("root").agg(F.min(F.struct("_k", "fp")).alias("k")).select(F.col("k._k.i").alias("_i"), F.col("k.fp").alias("_fp"))
     at = docs.columns.index(text_col)
 
     def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +302,9 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             fps = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "_fp"])
 
-    marked = bare.mapInArrow(with_fingerprint, T.StructType([*bare.schema.fields, T.StructField("_fp", T.LongType())]))
-    lone = kept.where("_n").select("_fp")
-    return chosen.unionByName(marked.join(lone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(*docs.columns))
+    marked = bounded_batches(docs).mapInArrow(with_fingerprint, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    found = marked.join(kept, (marked["_fp"] == kept["_fp"]) & marked[id_col].eqNullSafe(kept["_i"]), "left_semi")
+    return found.dropDuplicates([id_col, "_fp"]).select(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -154,6 +154,12 @@ def test_one_of_each_group_stays(spark, odd):
     assert simhash.keep_one_each(table.limit(0)).count() == 0
 
 
+def test_one_id_on_different_texts_keeps_every_group(spark, odd):
+    texts = [odd[7], *(f"a text of its own about item{k} and thing{k * k} only" for k in range(8))]
+    kept = simhash.keep_one_each(docs(spark, [*texts, odd[8]], [5] * len(texts) + [6]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((5, t) for t in texts)
+
+
 # --- 3 nearest vectors
 
 
