@@ -1,23 +1,24 @@
 """Byte-level BPE by Spark's higher-order functions over distinct words.
 
-A word's bytes are an array of one-byte strings (Latin-1 stands for bytes), and
-``aggregate`` folds ranked merges over it: each step looks up the ranks of all
-neighbouring pairs in a literal rank map and joins the lowest, leftmost pair.
-The literal is an array of small maps, by checksum, so that a lookup reads a
-map of a few entries.
-
-Which words are folded once for all: the corpus's words are counted, and the
-most frequent, at most ``frequent`` of them and ``LONG`` bytes each (a fixed
-bound), are folded as a table and broadcast.  Documents are then cut into words
-beside that table; words outside it travel with their document, as an array,
-through the same fold, so no document is shuffled.  A word of more than
-``LONG`` bytes would make the fold quadratic; it merges by a priority queue, to
-the same result.  Decoding joins the pieces of the ids.
-
-Cases: null and empty texts have no ids and decode to no bytes; repeated rows
-are encoded each; texts of any length are read whole; an empty table gives an
-empty result; other columns are not read; lone surrogates can't occur in
-Spark's strings.
+A word is a sequence of symbols, one per token so far: a string whose characters stand
+for ids, at first those of its bytes.  ``aggregate`` folds the ranked merges over it: in
+ascending rank, the pair that the literal rank map names is replaced by its token.  Only
+merges whose token occurs in the word's bytes can apply, so these alone are folded.
+
+One pass in ascending rank is exact where every token is what its own bytes merge to
+(checked when the ranks are read): what lies between two borders of a word then always
+merges as it would alone, so no merge can make a pair of a lower rank possible.  A token
+without that property is never met in practice; words that hold its bytes, and words of
+more than ``LONG`` bytes, for which a fold would be quadratic, merge by a priority queue.
+
+Each task folds each distinct word once: a first step cuts documents into words, numbers
+them and sends only words new to the task along with a document; Spark folds these; a
+second step keeps their ids by number and puts the documents' ids together.  No text is
+shuffled and nothing is collected.  At ``limit`` words both steps begin their tables anew.
+
+Cases: null and empty texts have no ids and decode to no bytes; repeated rows are encoded
+each; texts of any length are read whole; an empty table gives an empty result; other
+columns are not read; lone surrogates can't occur in Spark's strings.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +36,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import bounded_batches, checkpointed, table
-from evidex.llm.pieces import Pieces, in_runs
+from evidex.llm.common import bounded_batches, table
 
-BUCKETS = 16384
-LONG = 64
-#: Marks, in the ids of a document, a word that is still to be folded.
-HOLE = np.uint32(1 << 31)
+LONG = 1024
+#: Words folded together, each merge tried once for all of them.
+TOGETHER = 4
+#: Between words, and before a word that is not to be folded.
+BORDER, WHOLE = chr(0x10FFFF), chr(0x10FFFE)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,48 +50,55 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with the value computed once and written once into the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def symbol(rank: int) -> str:
+    """The character that stands for an id; surrogates are left out."""
+    return chr(rank if rank < 0xD800 else rank + 0x800)
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: an array of small maps from token to rank, by checksum."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-
+def halves(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What the bytes of a token merge to by lower ranks alone: two parts, if the token is their merge."""
+    parts, limit = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 2:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], limit), i) for i in range(len(parts) - 1))
+        if rank >= limit:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
 
-def rank_in(buckets: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(buckets, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
 
+class Merges:
+    """Of each rank its pair, as symbols; ``odd`` ranks have none."""
 
-def fold(word: Column, buckets: Column) -> Column:
-    """Ids of one word of at most LONG bytes, array<int>; ``buckets`` is a bound :func:`rank_map`."""
-    rank = partial(rank_in, buckets)
-    whole = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    def __init__(self, ranks: dict[bytes, int]):
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the ranks lack single bytes")
+        self.pairs = [""] * (max(ranks.values()) + 1)
+        self.odd: set[int] = set()
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                parts = halves(token, ranks)
+                if len(parts) == 2:
+                    self.pairs[rank] = symbol(ranks[parts[0]]) + symbol(ranks[parts[1]])
+                else:
+                    self.odd.add(rank)
 
-    def merge(state: Column, _: Column) -> Column:
-        """Joins the first pair of the lowest rank; of the ranks only those beside it change."""
-        parts, ranks = state["parts"], state["ranks"]
 
-        def joined(p: Column, m: Column) -> Column:
-            before, after = rank(F.concat(F.get(parts, p - 2), m)), rank(F.concat(m, F.get(parts, p + 1)))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), p - 1), F.array(m), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), F.slice(F.array(before), F.lit(1), F.least(p - 1, F.lit(1))), F.array(after), F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"),
-            )
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once and written once into the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-        place = F.array_position(ranks, F.array_min(ranks)).cast("int")  # null: no pair can merge
-        return bound(place, lambda p: F.when(p.isNull(), state).otherwise(bound(F.concat(F.get(parts, p - 1), F.get(parts, p)), lambda m: joined(p, m))))
 
-    letters = F.split(whole, "")
-    # a rank stands where its pair begins; the last is null
-    start = bound(letters, lambda c: F.struct(c.alias("parts"), F.transform(c, lambda x, i: rank(F.concat(x, F.get(c, i + 1)))).alias("ranks")))
-    parts = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(whole), F.lit(2))), start, merge, lambda state: state["parts"])
-    return F.when(rank(whole).isNotNull(), F.array(rank(whole))).otherwise(F.transform(parts, lambda p: rank(p)))
+def fold_all(words: Column, merges: Merges) -> Column:
+    """Of array<struct<symbols string, merges array<int>>>: the symbols left after the merges, which ascend."""
+    literal = lambda x: F.from_json(F.lit(json.dumps(x)), "array<string>")
+    pairs, tokens = literal(merges.pairs), literal([symbol(i) for i in range(len(merges.pairs))])
+    return bound(
+        pairs,
+        lambda p: bound(
+            tokens,
+            lambda t: F.transform(words, lambda w: F.aggregate(w["merges"], w["symbols"], lambda s, rank: F.replace(s, F.get(p, rank), F.get(t, rank)))),
+        ),
+    )
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -126,149 +133,144 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(word, count) over all texts; each task adds up its own before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words({}, pattern)
-        for batch in batches:
-            for _, run in in_runs(batch.column(0).to_pylist()):
-                yield from words.counted(run)
-        yield from words.counted(None)
-
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
-
-
-def frequent_words(counts: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` words: all those of some count or more, of LONG bytes at most."""
-    counts = checkpointed(counts.where((F.col("count") > 1) & (F.octet_length("word") <= LONG)))
-    # the number of words of each count: few rows, as counts repeat
-    seen = counts.groupBy(F.least(F.col("count"), F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator()
-    least, total = None, 0
-    for r in seen:
-        total += r["n"]
-        if total > most:
-            break
-        least = r["c"]
-    return counts.where(F.col("count") >= least) if least else counts.limit(0)
-
-
-class Words(Pieces):
-    """Pieces whose ids come from the table of frequent words; words outside it leave a hole."""
-
-    def __init__(self, known: dict[str, bytes], pattern: str, limit: int = 300_000):
-        self.known, self.find = known, regex.compile(pattern).findall
-        self.keeps_spaces, self.limit = True, limit
+class Numbers(dict):
+    """Numbers for words in the order in which they are met; ``new`` lists those not yet sent on."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Cutter:
+    """Cuts texts into numbered words, and finds the merges that may apply to new ones."""
+
+    def __init__(self, ranks: dict[bytes, int], odd: set[int], pattern: str, limit: int):
+        import ahocorasick
+
+        self.find, self.limit, self.odd = regex.compile(pattern).findall, limit, odd
+        self.bytes = {b: symbol(ranks[bytes([b])]) for b in range(256)}
+        self.tokens = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                self.tokens.add_word(token.decode("latin-1"), rank)
+        self.tokens.make_automaton()
+        self.numbers = Numbers()
+
+    def cut(self, text: str) -> tuple[bool, bytes, list[tuple[str, list[int]]]]:
+        """(tables begin anew, word numbers, new words as symbols with their merges)."""
+        fresh = len(self.numbers) > self.limit
+        if fresh:
+            self.numbers = Numbers()
+        numbers = self.numbers
+        codes = array("I", map(numbers.__getitem__, self.find(text))).tobytes()
+        out, new = [], numbers.new
+        if new:
+            numbers.new = []
+            names, merges = [], set()
+            for w in new:
+                raw = w.encode("utf-8", "surrogatepass").decode("latin-1")
+                found = {rank for _, rank in self.tokens.iter(raw)} if len(raw) <= LONG else None
+                if found is None or not self.odd.isdisjoint(found):
+                    if names:
+                        out.append((BORDER.join(names), sorted(merges)))
+                    out.append((WHOLE + raw.translate(self.bytes), []))
+                    names, merges = [], set()
+                    continue
+                names.append(raw.translate(self.bytes))
+                merges |= found
+                if len(names) == TOGETHER:
+                    out.append((BORDER.join(names), sorted(merges)))
+                    names, merges = [], set()
+            if names:
+                out.append((BORDER.join(names), sorted(merges)))
+        return fresh, codes, out
+
+
+class Known:
+    """The ids of words by number."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.of_id = {symbol(ranks[bytes([b])]): b for b in range(256)}
         self.clear()
 
     def clear(self) -> None:
-        super().clear()
-        self.rare: list[str] = []
-        self.times = np.zeros(0, np.int64)
-
-    def make_room(self) -> None:
-        self.clear()  # holes are numbered anew
-
-    def cut(self, piece: str) -> list[str]:
-        """The pattern's matches; letters after at most one space are one match, as is a mark after letters."""
-        body = piece[1:] if piece.startswith(" ") else piece
-        if body.isalpha():
-            return [piece]
-        if body[:-1].isalpha() and body[-1] in ".,;:!?":
-            return [piece[:-1], piece[-1]]
-        return self.find(piece)
-
-    def _ids(self, keys: list[str], space: str) -> list[np.ndarray]:
-        out, get = [], self.known.get
-        for k in keys:
-            ids = []
-            for w in self.cut(space + k):
-                got = get(w)
-                if got is None:
-                    got = (int(HOLE) + len(self.rare)).to_bytes(4, "little")
-                    self.rare.append(w)
-                ids.append(got)
-            out.append(np.frombuffer(b"".join(ids), "<u4"))
-        return out
-
-    def counted(self, texts: list[str] | None) -> Iterator[pa.RecordBatch]:
-        """Counts words of texts, all of which are new holes here; gives the counts up when the table is full or at the end."""
-        if texts is not None and self.used <= self.limit:
-            ids, _ = self.encode(texts)
-            seen = np.bincount((ids - HOLE).astype(np.int64), minlength=len(self.rare))
-            seen[: len(self.times)] += self.times
-            self.times = seen
-            return
-        total: dict[str, int] = {}
-        for w, n in zip(self.rare, self.times.tolist(), strict=True):
-            total[w] = total.get(w, 0) + n
-        self.clear()
-        names = list(total)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[w] for w in part], pa.int64())], ["word", "n"])
-        if texts is not None:
-            yield from self.counted(texts)
-
+        self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 300_000) -> DataFrame:
+    def add(self, folded: list[str]) -> None:
+        if not folded:
+            return
+        text = BORDER.join(folded)
+        if WHOLE in text:
+            text = BORDER.join("".join(map(symbol, self._merged(w[1:]))) if w.startswith(WHOLE) else w for w in text.split(BORDER))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.append(np.flatnonzero(codes == ord(BORDER)), len(codes))
+        lengths = np.diff(ends, prepend=-1) - 1
+        ids = codes[codes != ord(BORDER)]
+        ids = ids - np.uint32(0x800) * (ids >= 0xE000).astype(np.uint32)
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.used + len(lengths) > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.start[self.used : self.used + len(lengths)] = self.filled + np.cumsum(lengths) - lengths
+        self.length[self.used : self.used + len(lengths)] = lengths
+        self.used, self.filled = self.used + len(lengths), self.filled + len(ids)
+
+    def _merged(self, symbols: str) -> list[int]:
+        return merge_long(bytes(map(self.of_id.__getitem__, symbols)), self.ranks)
+
+    def gather(self, numbers: list[bytes]) -> list[bytes]:
+        """The ids of documents, as bytes, from their words' numbers."""
+        codes = np.frombuffer(b"".join(numbers), "<u4")
+        length = self.length[codes]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(self.start[codes] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers)) // 4)))] * 4
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 400_000) -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers."""
-    sc = bounded_batches(docs).sparkSession.sparkContext
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    literal = rank_map(ranks)
-    folded = frequent_words(word_counts(picked, pattern), frequent).select("word", bound(literal, lambda m: fold(F.col("word"), m)).alias("ids"))
-    listed = folded.mapInArrow(_packed_words, "word string, ids binary").toArrow()
-    known = sc.broadcast(dict(zip(*(c.to_pylist() for c in listed.columns), strict=True)))
-    all_ranks = sc.broadcast(ranks)
+    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    merges = Merges(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.odd))
     kind = picked.schema["id"]
-    with_rare = T.StructType([kind, T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
+    word = pa.struct([("symbols", pa.string()), ("merges", pa.list_(pa.int32()))])
+    cut_up = T.StructType([kind, T.StructField("fresh", T.BooleanType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("symbols", T.StringType()), T.StructField("merges", T.ArrayType(T.IntegerType()))])))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(known.value, pattern)
+        cutter = Cutter(*shared.value, pattern, limit)
         for batch in batches:
-            for at, run in in_runs(batch.column(1).to_pylist()):
-                ids, begin = words.encode(run)
-                holes = ids >= HOLE
-                rare = [words.rare[i] for i in (ids[holes] - HOLE).tolist()]
-                counts = np.concatenate(([0], np.cumsum(holes)))[begin]
-                raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([raw[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), pa.array([rare[a:b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)], pa.list_(pa.string()))], ["id", "ids", "rare"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 64):  # small batches: new words take more room than their text
+                part = batch.slice(at, 64)
+                fresh, numbers, words = zip(*(cutter.cut(t or "") for t in part.column(1).to_pylist()), strict=True)
+                found = [{"symbols": s, "merges": m} for ws in words for s, m in ws]
+                ends = np.concatenate(([0], np.cumsum([len(ws) for ws in words]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fresh), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(found, word))], ["id", "fresh", "numbers", "words"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(shared.value[0])
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            flat = np.frombuffer(b"".join(blobs), "<u4")
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-            holes = flat >= HOLE
-            if holes.any():
-                words, found = batch.column(2).flatten(), batch.column(3).flatten()
-                lengths = np.ones(len(flat), np.int64)
-                own = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                values = found.flatten().to_numpy(zero_copy_only=False)
-                long = {i: merge_long(words[i].as_py().encode(), all_ranks.value) for i in np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False)).tolist()}
-                if long:
-                    parts = np.split(values, np.cumsum(own)[:-1])
-                    for i, ids in long.items():
-                        parts[i], own[i] = np.array(ids), len(ids)
-                    values = np.concatenate(parts)
-                lengths[holes] = own
-                ends = np.cumsum(lengths)
-                full = np.repeat(flat, lengths)
-                full[np.repeat(holes, lengths)] = values
-                bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
-                raw = full.astype("<u4").tobytes()
-                blobs = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "ids"])
-
-    # a null instead of ids for words that are too long for the fold
-    found = bound(literal, lambda m: F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, m))))
-    cut_up = picked.mapInArrow(cut, with_rare).withColumn("found", found)
-    return cut_up.mapInArrow(fill, T.StructType([kind, T.StructField("ids", T.BinaryType())])).withColumnRenamed("id", id_col)
-
-
-def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, "<u4").tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["word", "ids"])
+            fresh, numbers = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False)), batch.column(2).to_pylist()
+            bounds = sorted({0, *fresh.tolist(), batch.num_rows})
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if a in fresh:
+                    known.clear()
+                known.add(batch.column(3).slice(a, b - a).flatten().to_pylist())
+                out += known.gather(numbers[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "ids"])
+
+    folded = picked.mapInArrow(cut, cut_up).select("id", "fresh", "numbers", fold_all(F.col("words"), merges).alias("words"))
+    return folded.mapInArrow(put_together, T.StructType([kind, T.StructField("ids", T.BinaryType())])).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id") -> DataFrame:

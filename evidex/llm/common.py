@@ -34,7 +34,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Keeps Arrow batches of texts small in the session of ``df``: whole texts may be long."""
+    """Keeps Arrow batches of texts small in the session of ``df``: whole texts may be long.
+
+    The setting stays lowered, as plans are run later; a session that wants larger batches
+    sets it again after its plan is built, at the cost of memory.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, rows)
@@ -54,6 +58,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``df`` begins with it, in either case of letters."""
+    names = [c.lower() for c in df.columns]
+    while any(c.startswith(wanted.lower()) for c in names):
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

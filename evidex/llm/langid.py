@@ -7,7 +7,7 @@ that family then decides the language, by votes and then margins.  Families are
 a parameter; a learned language of no listed family is a family of its own.
 
 Training takes a bounded sample of the rows allowed for it: rows enter by the
-hash of their id, at a rate that gives ``per_language`` rows of each language
+hash of their id (of their text, where that is null), at a rate that gives ``per_language`` rows of each language
 on average; the counts behind the rates cover all rows.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; rows
@@ -128,7 +128,8 @@ def fit(rows: DataFrame, per_language: int = 1000, families: dict[str, tuple[str
     limit = F.lit(0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * scale)).otherwise(limit)
-    chosen = usable.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(scale)) < limit).select("lang", "text")
+    place = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", F.lit(17)))
+    chosen = usable.where(F.pmod(place, F.lit(scale)) < limit).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,7 +75,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = pieces(tokenizer_path, True)
+        own = pieces(tokenizer_path)
         opened = OpenWindows(size, windows, TaskContext.get().partitionId() * _ROOM)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -206,6 +206,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     stats = checkpointed(with_statistics(docs, "text", {"doc_id": "doc_id"}))
-    model = fit(training_rows(stats, table(spark, sf_dir, "labels"), "doc_id", "quality", "doc_id"))
+    model = fit(checkpointed(training_rows(stats, table(spark, sf_dir, "labels"), "doc_id", "quality", "doc_id")))
     scored = score_rows(stats, model, ["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import bounded_batches, checkpointed, table
+from evidex.llm.common import bounded_batches, checkpointed, free_prefix, table
 
 BITS = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -295,16 +295,17 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i")).alias("_k"), F.col(text_col).alias("_t"))
     groups = near_duplicates(keyed, "_k", "_t", shingle, differences)
     kept = groups.groupBy("root").agg(F.min(F.struct("_k", "fp")).alias("k")).select(F.col("k._k.i").alias("_i"), F.col("k.fp").alias("_fp"))
-    at = docs.columns.index(text_col)
+    at, fp = docs.columns.index(text_col), free_prefix(docs, "_fp")
 
     def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, fp])
 
-    marked = bounded_batches(docs).mapInArrow(with_fingerprint, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    found = marked.join(kept, (marked["_fp"] == kept["_fp"]) & marked[id_col].eqNullSafe(kept["_i"]), "left_semi")
-    return found.dropDuplicates([id_col, "_fp"]).select(*docs.columns)
+    marked = bounded_batches(docs).mapInArrow(with_fingerprint, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    kept = kept.select(F.col("_i").alias(f"{fp}_i"), F.col("_fp").alias(f"{fp}_k"))
+    found = marked.join(kept, (F.col(fp) == F.col(f"{fp}_k")) & F.col(id_col).eqNullSafe(F.col(f"{fp}_i")), "left_semi")
+    return found.dropDuplicates([id_col, fp]).select(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

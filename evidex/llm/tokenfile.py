@@ -113,14 +113,14 @@ def decode(words: np.ndarray, total: int, offsets: np.ndarray, wide: np.ndarray,
 ROW = "part int, seq bigint, docs array<bigint>, lengths array<bigint>, words binary, block_words array<bigint>, wide binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keeps_spaces: bool = False) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all texts to ``path``, in ascending order of id over its files."""
     picked = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = pieces(tokenizer_path, keeps_spaces)
+        own = pieces(tokenizer_path)
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -135,8 +135,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 )
                 seq += 1
 
-    # the content breaks ties, so that a repeated id can be split between ranges
-    tie = F.xxhash64("text", F.length("text"))
+    # the row's place in the input breaks ties, so that a repeated id can be split between ranges
+    tie = F.monotonically_increasing_id()
     ordered = picked.withColumn("tie", tie).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     ordered.mapInArrow(packed, ROW).write.mode("overwrite").parquet(path)
 

@@ -8,8 +8,8 @@ of the path), hashed, probed with one vectorised binary search, and every hit
 is confirmed against the stored string, so collisions can't decide.
 
 Cases: a null url, or one without "://", has an empty host and path, which no
-rule fits, and is allowed; repeated rows are judged alike; long urls cost their
-number of host labels; an empty table gives an empty result; only the named
+rule fits, and is allowed; repeated rows are judged alike; of long hosts only as many
+labels are looked up as listed hosts have; an empty table gives an empty result; only the named
 columns are read.
 """
 
@@ -100,6 +100,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block
     # blocked hosts are kept apart from rules by the missing slash
     name = ship(pages.sparkSession, [*verdicts, *blocked])
     lengths = sorted({len(r) - r.index("/") for r in verdicts})
+    # longer suffixes than any host that is listed can't be found
+    labels = max((s.partition("/")[0].count(".") + 1 for s in (*verdicts, *blocked)), default=0)
     picked = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"))
     schema = T.StructType([picked.schema["id"], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 
@@ -110,6 +112,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block
             probes, owner = [], []
             for i, (host, path) in enumerate(split):
                 heads = {path[:n] for n in lengths if len(path) >= n}
+                host = ".".join(host.rsplit(".", labels)[-labels:]) if labels else ""
                 while host:
                     probes.append(host)
                     probes += [host + h for h in heads]
