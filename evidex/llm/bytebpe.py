@@ -239,7 +239,8 @@ class Known:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 400_000) -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers."""
-    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    # several workers a task hold batches, with ids of many times a text's size
+    picked = bounded_batches(docs, 256).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     merges = Merges(ranks)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.odd))
     kind = picked.schema["id"]

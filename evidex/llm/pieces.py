@@ -18,7 +18,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -171,12 +171,14 @@ class Pieces:
         ends = np.cumsum(length)
         return self.ids[np.repeat(self.start[codes] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def _places(self, keys: list[str], table: dict[str, int], space: str) -> np.ndarray:
-        found = list(map(table.get, keys))
-        if None in found:
-            self._learn(list(dict.fromkeys(k for k, c in zip(keys, found, strict=True) if c is None)), table, space)
-            found = list(map(table.__getitem__, keys))
-        return np.array(found, np.int64)
+    def _places(self, keys: list[str], table: dict[str, int], space: str, distinct: bool = False) -> np.ndarray:
+        found = np.array(list(map(table.get, keys, repeat(-1))), np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = keys if len(missing) == len(keys) else [keys[i] for i in missing.tolist()]
+            self._learn(new if distinct else list(dict.fromkeys(new)), table, space)
+            found[missing] = list(map(table.__getitem__, new))
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin, and the end)."""
@@ -192,7 +194,7 @@ class Pieces:
             plain[i] = ""
         split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         flat, begin = split.flatten().dictionary_encode(), split.offsets.to_numpy()
-        codes = self._places(flat.dictionary.to_pylist(), self.place, self.space)[flat.indices.to_numpy()]
+        codes = self._places(flat.dictionary.to_numpy(zero_copy_only=False).tolist(), self.place, self.space, distinct=True)[flat.indices.to_numpy()]
         if self.space and texts:
             codes[begin[:-1]] = self._places([t.split(" ", 1)[0] for t in plain], self.bare, "")
         if odd:
