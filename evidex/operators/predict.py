@@ -83,3 +83,10 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str, classes:
 
     boosted = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.08, seed=42)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), OneVsRest(classifier=boosted, labelCol=label, featuresCol="features")]).fit(train)
+
+
+def training_subset(experiments: DataFrame, conditions: Sequence[str], least: int = 40) -> DataFrame:
+    """Rows with a measured or unusual atmosphere, or a condition that tells one; all rows where these are fewer than ``least``."""
+    fit = F.coalesce(F.col("measured"), F.lit(False)) | F.coalesce(F.col("condition").isin(*conditions), F.lit(False)) | F.coalesce(F.abs(F.col("oxygen") - 21) > 0.5, F.lit(False))
+    enough = experiments.where(fit).limit(least).count() >= least
+    return experiments.where(fit) if enough else experiments

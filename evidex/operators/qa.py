@@ -74,3 +74,64 @@ def citations(answer: Column, n: Column) -> Column:
 
 def confidence(mean: Column, cited: Column, flight: Column, papers: Column) -> Column:
     return F.round(0.55 * mean + 0.25 * cited + 0.1 * flight.cast("int") + 0.1 * F.least(papers / 5.0, F.lit(1.0)), 3)
+
+
+def confidence_label(score: Column) -> Column:
+    return F.when(score >= 0.75, "high").when(score >= 0.5, "medium").otherwise("low")
+
+
+#: What a sentence's score is made of besides likeness; patterns are matched in lower case.
+EFFECT = r"increas|decreas|reduc|higher|lower|no change|unchanged"
+CUE = r"result|show|found|demonstrat|observ"
+BACKGROUND = r"previous|has been (?:shown|reported)|well known"
+METHOD = r"was (?:measured|used|recorded)|were (?:measured|used|recorded)"
+DANGLING = r"^(?:it|this|these|they|however)\b"
+
+
+def sentence_score(sentence: Column, section: Column, place: Column, terms: Column, n_entities: Column, likeness: Column, about: Column | None = None) -> Column:
+    """Worth of a sentence as an answer; null where it shares neither a term nor an entity with the question.
+
+    ``place`` is the passage's number; ``about`` says, for questions about a condition, whether the sentence is too (null: no such question).
+    """
+    low, covered = F.lower(sentence), coverage(sentence, terms)
+    has = lambda pattern: low.rlike(pattern).cast("int")
+    part = F.when(section.isin("ABSTRACT", "RESULTS", "CONCL"), 0.3).when(section == "METHODS", -0.3).otherwise(0.0)
+    score = 6 * likeness + 1.2 * covered + 0.35 * F.least(n_entities, F.lit(3)) + 0.6 * has(EFFECT) + 0.4 * has(CUE) + part - 0.03 * place - has(BACKGROUND) - 0.8 * has(METHOD) - 0.35 * has(DANGLING)
+    if about is not None:
+        score = score + F.when(about.isNull(), 0.0).when(about, 0.5).otherwise(-0.7)
+    return F.when((covered > 0) | (n_entities > 0), F.round(score, 6))
+
+
+def selected(candidates: DataFrame, most: int = 6, per_passage: int = 2, within: float = 1.6, prefix: int = 60) -> DataFrame:
+    """(query, rank, n, sentence): the answer's sentences.
+
+    ``candidates`` has (query, n, pos, sentence, score), n the passage's number.  In the order of scores a sentence
+    is taken unless its passage gave two or its beginning was taken before; a sentence passed over for its passage does
+    not count as taken, so this is a fold over each query's candidates within 1.6 of its best, a bounded list of passages.
+    """
+    best = Window.partitionBy("query")
+    near = candidates.where("score is not null").withColumn("top", F.max("score").over(best)).where(F.col("score") >= F.col("top") - within)
+    item = F.struct((-F.col("score")).alias("s"), "n", "pos", "sentence")
+    listed = near.groupBy("query").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def step(taken: Column, x: Column) -> Column:
+        begins = F.lower(F.substring(x["sentence"], 1, prefix))
+        repeated = F.exists(taken, lambda y: F.lower(F.substring(y["sentence"], 1, prefix)) == begins)
+        full = F.size(F.filter(taken, lambda y: y["n"] == x["n"])) >= per_passage
+        return F.when(repeated | full | (F.size(taken) >= most), taken).otherwise(F.concat(taken, F.array(x)))
+
+    folded = F.aggregate("items", F.slice("items", 1, 0), step)
+    return listed.select("query", F.posexplode(folded).alias("k", "x")).select("query", (F.col("k") + 1).alias("rank"), "x.n", "x.sentence")
+
+
+def answer_metrics(rows: DataFrame) -> DataFrame:
+    """One row of rates over questions: answered, refused rightly, valid citations, faithfulness, median latency.
+
+    ``rows`` has (answerable, refused, citations, invalid, support, latency); medians of even counts are the mean of both middle values.
+    """
+    rate = lambda x: F.round(F.avg(x), 3)
+    cited = F.sum(F.col("citations") + F.col("invalid"))
+    return rows.agg(
+        F.count("*").alias("n"), rate(F.when(F.col("answerable"), (~F.col("refused")).cast("int"))).alias("answer_rate"), rate(F.when(~F.col("answerable"), F.col("refused").cast("int"))).alias("refusal_accuracy"),
+        F.round(1 - F.sum("invalid") / F.nullif(cited, F.lit(0)), 3).alias("citation_validity"), rate(F.when(F.col("answerable"), F.col("support"))).alias("faithfulness"), F.round(F.median("latency"), 3).alias("latency_p50"),
+    )

@@ -40,13 +40,20 @@ def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text", blank:
     return each.select("doc", "pos", F.trim("block").alias("block")).where("block <> ''")
 
 
+#: Heading starts and the kind of section that they open; earlier ones win.
+HEADINGS = (
+    ("abstract|summary|executive summary", "ABSTRACT"), ("introduction|background", "INTRO"), (".*results", "RESULTS"), ("discussion", "DISCUSS"),
+    ("conclusion|concluding|conclusions|closing", "CONCL"), ("method|materials and method|experiment|apparatus|procedure|approach", "METHODS"), ("reference|bibliography", "REFS"),
+    ("acknowledg|appendix|nomenclature|table of contents|contents|list of", "SKIP"),
+)
+
+
 def heading(block: Column) -> Column:
-    """Kind of section that a short heading opens, else null."""
-    h = F.lower(F.regexp_replace(block, r"^\s*\d+(\.\d+)*\.?\s*", ""))
-    kinds = (("result", "RESULTS"), ("discussion", "DISCUSS"), ("conclusion", "CONCL"), ("method", "METHODS"), ("introduction", "INTRO"), ("abstract", "ABSTRACT"), ("reference", "REFS"))
+    """Kind of section that a short heading, numbered or not, opens, else null; results win over discussion."""
+    h = F.lower(F.regexp_replace(block, r"^\s*(?:\d+(?:\.\d+)*\.?|[IVX]+\.)?\s*", ""))
     out = F.lit(None).cast("string")
-    for start, kind in reversed(kinds):
-        out = F.when(h.startswith(start), kind).otherwise(out)
+    for start, kind in reversed(HEADINGS):
+        out = F.when(h.rlike(rf"^(?:{start})[a-z ,&]*[:.]?$"), kind).otherwise(out)
     return F.when(F.length(block) < 70, out)
 
 
@@ -60,13 +67,41 @@ def sections(blocks: DataFrame, kind: Column | None = None) -> DataFrame:
     marked = blocks.withColumn("head", heading(F.col("block")) if kind is None else kind).withColumn("words", F.when(F.col("head").isNull(), F.size(F.split("block", " "))).otherwise(0))
     told = marked.withColumn("kind", F.coalesce(F.last("head", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("BODY"))).withColumn("so_far", F.coalesce(F.sum("words").over(before), F.lit(0)))
     ended = told.withColumn("stop", F.max(((F.col("head") == "REFS") & (F.col("so_far") > 300)).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ended.where((F.coalesce("stop", F.lit(0)) == 0) & (F.col("so_far") < MAX_WORDS) & F.col("head").isNull()).select("doc", "pos", "kind", "words", "block")
+    return ended.where((F.coalesce("stop", F.lit(0)) == 0) & (F.col("so_far") < MAX_WORDS) & F.col("head").isNull() & ~F.col("kind").isin("SKIP", "REFS")).select("doc", "pos", "kind", "words", "block")
 
 
 def relabelled(parts: DataFrame) -> DataFrame:
-    """BODY becomes INTRO where a document has headings and DISCUSS where it has none."""
-    any_head = F.max((F.col("kind") != "BODY").cast("int")).over(Window.partitionBy("doc"))
-    return parts.withColumn("kind", F.when(F.col("kind") != "BODY", F.col("kind")).when(any_head == 1, "INTRO").otherwise("DISCUSS"))
+    """BODY becomes INTRO where a document has headings and DISCUSS where it has none.
+
+    A document without results, discussion or conclusion discusses from its third introducing paragraph on.
+    """
+    whole = Window.partitionBy("doc")
+    any_head = F.max((F.col("kind") != "BODY").cast("int")).over(whole)
+    named = parts.withColumn("kind", F.when(F.col("kind") != "BODY", F.col("kind")).when(any_head == 1, "INTRO").otherwise("DISCUSS"))
+    argued = F.max(F.col("kind").isin("RESULTS", "DISCUSS", "CONCL").cast("int")).over(whole)
+    nth = F.sum((F.col("kind") == "INTRO").cast("int")).over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = named.withColumn("_argued", argued).withColumn("_nth", nth)
+    return placed.withColumn("kind", F.when((F.col("_argued") == 0) & (F.col("kind") == "INTRO") & (F.col("_nth") > 2), "DISCUSS").otherwise(F.col("kind"))).drop("_argued", "_nth")
+
+
+def with_abstract(parts: DataFrame, papers: DataFrame) -> DataFrame:
+    """Sections (doc, pos, kind, block) in which a curated abstract takes the place of parsed ones.
+
+    ``papers`` has (doc, title, abstract).  A document without any text has its title as the abstract.
+    """
+    cleaned = papers.select("doc", clean(F.coalesce("title", F.lit(""))).alias("title"), clean(F.coalesce("abstract", F.lit(""))).alias("abstract"))
+    body = parts.join(cleaned.select("doc", (F.col("abstract") != "").alias("curated")), "doc", "left").where(~(F.coalesce("curated", F.lit(False)) & (F.col("kind") == "ABSTRACT"))).select("doc", "pos", "kind", "block")
+    first = cleaned.where("abstract <> ''").select("doc", F.lit(-1).alias("pos"), F.lit("ABSTRACT").alias("kind"), F.col("abstract").alias("block"))
+    both = body.unionByName(first)
+    bare = cleaned.join(both.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit(-1).alias("pos"), F.lit("ABSTRACT").alias("kind"), F.col("title").alias("block"))
+    return both.unionByName(bare)
+
+
+def sizes(parts: DataFrame, papers: DataFrame) -> DataFrame:
+    """(doc, word_count, full_text): whether there is far more text than an abstract."""
+    rolled = parts.groupBy("doc").agg(F.sum(F.length("block") + 1).alias("chars"), F.sum(F.size(F.split(F.trim("block"), r"\s+"))).alias("word_count"))
+    short = papers.select("doc", F.greatest(F.length(clean(F.coalesce("abstract", F.lit("")))), F.lit(400)).alias("least"))
+    return rolled.join(short, "doc").select("doc", "word_count", (F.col("chars") - 1 > 2 * F.col("least")).alias("full_text"))
 
 
 def good_block(block: Column) -> Column:

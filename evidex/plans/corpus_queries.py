@@ -74,6 +74,10 @@ FUSED = f"""{BM25}, {DENSE}, fused AS (SELECT query, doc, round(sum(1.0::DOUBLE
 _SENT = "SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sentence"
 
 
+_SENT_POS = r"""x AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence,
+  generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) - 1 AS pos FROM documents), st AS (SELECT doc, CAST(pos AS INT) AS pos, trim(sentence) AS sentence FROM x WHERE trim(sentence) <> '')"""
+
+
 def _ranked_docs(s, d, ask=_stated):
     return _lexical(s, d, ask).where("rank <= 10").select("query", "doc", "rank")
 
@@ -146,8 +150,8 @@ QUERIES = {
         "WITH h AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('fr', 'es') AND n_chars > 500) SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 10",
     ),
     "related_items": (
-        lambda s, d: R.related(read(s, d, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("concept")).distinct(), 1),
-        "WITH t AS (SELECT DISTINCT l_orderkey AS paper, l_partkey AS concept FROM lineitem), s AS (SELECT l.paper, r.paper AS other, count(*) AS shared FROM t l JOIN t r USING (concept) WHERE l.paper <> r.paper GROUP BY ALL) SELECT paper, other, shared, row_number() OVER (PARTITION BY paper ORDER BY shared DESC, other) AS rank FROM s QUALIFY rank <= 6",
+        lambda s, d: R.related(read(s, d, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("concept")).distinct()),
+        "WITH t AS (SELECT DISTINCT l_orderkey AS paper, l_partkey AS concept FROM lineitem), s AS (SELECT l.paper, r.paper AS other, count(*) AS shared FROM t l JOIN t r USING (concept) WHERE l.paper <> r.paper GROUP BY ALL HAVING count(*) >= 2) SELECT paper, other, shared, row_number() OVER (PARTITION BY paper ORDER BY shared DESC, other) AS rank FROM s QUALIFY rank <= 6",
     ),
     "autocomplete": (
         lambda s, d: R.autocomplete(read(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("papers")), "s"),
@@ -157,7 +161,10 @@ QUERIES = {
         lambda s, d: read(s, d, "pages").select("page_id", F.md5(T.clean(F.col("html")).cast("binary")).alias("digest")),
         "SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) AS digest FROM pages",
     ),
-    "strip_citations": (lambda s, d: _docs(s, d).select("doc_id", F.length(T.strip_citations(F.col("text"))).alias("n")), None),
+    "strip_citations": (
+        lambda s, d: _docs(s, d).select("doc_id", F.md5(T.strip_citations(F.concat(F.lit("Flames [1, 2] grow (Smith et al., 1999; Jones 2001a) here (Fig. 3) ."), "text")).cast("binary")).alias("digest")),
+        r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Flames [1, 2] grow (Smith et al., 1999; Jones 2001a) here (Fig. 3) .' || text, '\[\d+(?:\s*[,–-]\s*\d+)*\]', '', 'g'), '\((?:[A-Z][A-Za-z''-]+(?: et al\.)?,? \d{4}[a-z]?(?:; )?)+\)', '', 'g'), '\((?:Fig|Figure|Table)s?\.? ?\d+[A-Za-z]?\)', '', 'g'), '\s+([.,;:])', '\1', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents".replace("\\\\", "\\"),
+    ),
     "paragraphs": (
         lambda s, d: T.paragraphs(_docs(s, d)).select("doc", "pos", F.length("block").alias("n")),
         "WITH b AS (SELECT doc_id AS doc, unnest(string_split(regexp_replace(text, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), chr(10))) AS block, generate_subscripts(string_split(regexp_replace(text, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), chr(10)), 1) - 1 AS pos FROM documents) SELECT doc, CAST(pos AS INT) AS pos, length(trim(block)) AS n FROM b WHERE trim(block) <> ''",
@@ -170,16 +177,21 @@ QUERIES = {
         t AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), 'BODY') AS kind, coalesce(sum(words) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM k)
         SELECT doc, CAST(pos AS INT) AS pos, kind, CAST(words AS INT) AS words FROM t WHERE so_far < 15000 AND head IS NULL""",
     ),
-    "section_labels": (lambda s, d: T.relabelled(T.sections(T.paragraphs(_docs(s, d)))).where(T.good_block(F.col("block"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("words").alias("words")), None),
     "sentences": (
         lambda s, d: T.sentences(_docs(s, d)).groupBy("doc").agg(F.count("*").alias("n"), F.max(F.length("sentence")).alias("longest")),
         f"WITH x AS ({_SENT} FROM documents) SELECT doc, count(*) AS n, max(length(trim(sentence))) AS longest FROM x WHERE trim(sentence) <> '' GROUP BY doc",
     ),
     "chunks": (lambda s, d: T.chunks(T.relabelled(T.sections(T.paragraphs(_docs(s, d))))), None),
     "dictionary_tags": (lambda s, d: X.tag_counts(_docs(s, d), TERMS), _tag_sql()),
-    "chunk_tags": (lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.tags(F.col("text"), TERMS, 3, by_count=True), ",").alias("tags")), None),
+    "chunk_tags": (
+        lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.tags(F.col("text"), TERMS, 12), ",").alias("tags")),
+        "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_-]+') AS ws FROM documents) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in p.split('|'))}))) > 0 THEN '{k}' END" for k, p in TERMS.items()) + "], lambda x: x IS NOT NULL), ',') AS tags FROM w",
+    ),
     "findings_extract": (lambda s, d: X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS), None),
-    "extractive_summary": (lambda s, d: X.summary(T.sentences(_docs(s, d))), None),
+    "extractive_summary": (
+        lambda s, d: X.summary(T.sentences(_docs(s, d))),
+        f"WITH {_SENT_POS} SELECT doc, sentence AS conclusion FROM st QUALIFY row_number() OVER (PARTITION BY doc ORDER BY regexp_matches(lower(sentence), 'conclu|show|found|demonstrat') DESC, pos DESC) = 1",
+    ),
     "quote_guard": (
         lambda s, d: X.quote_guard(X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS).select("doc", F.col("rank").alias("pos"), "quote"), _docs(s, d).select(F.col("doc_id").alias("doc"), "text")).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")),
         None,
@@ -205,7 +217,12 @@ QUERIES = {
         lambda s, d: qa.refuses(R.rerank(_ranked_docs(s, d).withColumn("score", F.lit(0.0)), _docs(s, d), s.createDataFrame([(q, list(ts)) for q, ts in SEARCHES.items()], "query int, terms array<string>")).join(_ranked_docs(s, d).select("query", "doc", "rank"), ["query", "doc"])),
         BM25 + ", t AS (SELECT query, list(term) AS terms FROM q GROUP BY query), c AS (SELECT query, max(round(len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms), 2)) AS best FROM lex JOIN t USING (query) JOIN documents ON doc_id = doc WHERE rank <= 5 GROUP BY query) SELECT query, best, best < 0.34 AS refuse FROM c",
     ),
-    "sentence_scores": (lambda s, d: qa.sentence_scores(T.sentences(_docs(s, d)), F.array(F.lit("threat"), F.lit("clown"))), None),
+    "sentence_scores": (
+        lambda s, d: qa.sentence_scores(T.sentences(_docs(s, d)), F.array(F.lit("threat"), F.lit("clown"))),
+        f"""WITH {_SENT_POS}, c AS (SELECT *, (contains(lower(sentence), 'threat')::INT + contains(lower(sentence), 'clown')::INT) / 2.0::DOUBLE AS cov FROM st WHERE length(sentence) BETWEEN 60 AND 420 AND NOT regexp_matches(lower(sentence), '^(fig|figure|table)') AND length(regexp_replace(sentence, '[^A-Z]', '', 'g')) / length(sentence) <= 0.3),
+        s AS (SELECT doc, pos, round(6 * cov + 0.4::DOUBLE * regexp_matches(lower(sentence), 'result|show|found')::INT - 0.03::DOUBLE * len(string_split(sentence, ' ')), 6) AS score FROM c WHERE cov > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, pos) <= 2)
+        SELECT doc, pos, score FROM s ORDER BY score DESC, doc, pos LIMIT 6""",
+    ),
     "passage_support": (
         lambda s, d: read(s, d, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).select("conv_id", "turn", F.round(qa.support(F.col("text"), F.col("before")), 6).alias("support")),
         """WITH b AS (SELECT conv_id, turn, lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS t, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4)) AS ws FROM conversations)
