@@ -212,7 +212,7 @@ QUERIES = {
     ),
     "section_labels": (
         lambda s, d: _headed(s, d).where(T.good_block(F.col("block"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("words").alias("words")),
-        rf"WITH {_HEADED} SELECT kind, count(*) AS n, CAST(sum(words) AS BIGINT) AS words FROM labelled WHERE NOT regexp_matches(block, '\.{{5,}}') AND length(block) >= 40 AND length(regexp_replace(block, '[^\p{{L}}]', '', 'g')) >= 0.6 * length(regexp_replace(block, '\s', '', 'g')) GROUP BY kind".replace("\\", "\"),
+        rf"WITH {_HEADED} SELECT kind, count(*) AS n, CAST(sum(words) AS BIGINT) AS words FROM labelled WHERE NOT regexp_matches(block, '\.{{5,}}') AND length(block) >= 40 AND length(regexp_replace(block, '[^\p{{L}}]', '', 'g')) >= 0.6 * length(regexp_replace(block, '\s', '', 'g')) GROUP BY kind",
     ),
     "section_histogram": (
         lambda s, d: _headed(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs")),
