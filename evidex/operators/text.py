@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +115,34 @@ def sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, SENTENCE)).alias("pos", "sentence")).select("doc", "pos", F.trim("sentence").alias("sentence")).where("sentence <> ''")
 
 
+def _packed(parts: Iterable[tuple[str, str]], size: int) -> list[tuple[str, str]]:
+    """Passages (kind, text) of a document's (kind, block): see :func:`chunks`."""
+    out: list[tuple[str, str]] = []
+    held: list[str] = []
+    count, kind = 0, None
+
+    def close() -> None:
+        nonlocal held, count
+        if held:
+            out.append((kind, " ".join(held)))
+        held, count = [], 0
+
+    for k, block in parts:
+        if k != kind:
+            close()
+            kind = k
+        long = len(block.split()) > SPLIT * size
+        limit = size if long else PACK * size
+        for piece in re.split(SENTENCE, block) if long else [block]:
+            words = len(piece.split())
+            if count and count + words > limit:
+                close()
+            held.append(piece)
+            count += words
+    close()
+    return out
+
+
 def chunks(parts: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     """(doc, n, kind, text): passages of about ``size`` words that never cross a kind of section.
 
@@ -124,29 +153,51 @@ def chunks(parts: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     """
 
     def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[str, str]] = []
-        held: list[str] = []
-        count, kind = 0, None
-
-        def close() -> None:
-            nonlocal held, count
-            if held:
-                out.append((kind, " ".join(held)))
-            held, count = [], 0
-
-        for k, block in part.sort_values("pos")[["kind", "block"]].itertuples(index=False):
-            if k != kind:
-                close()
-                kind = k
-            long = len(block.split()) > SPLIT * size
-            limit = size if long else PACK * size
-            for piece in re.split(SENTENCE, block) if long else [block]:
-                words = len(piece.split())
-                if count and count + words > limit:
-                    close()
-                held.append(piece)
-                count += words
-        close()
+        out = _packed(part.sort_values("pos")[["kind", "block"]].itertuples(index=False, name=None), size)
         return pd.DataFrame({"doc": key[0], "n": range(len(out)), "kind": [k for k, _ in out], "text": [t for _, t in out]})
 
     return parts.groupBy("doc").applyInPandas(fold, "doc long, n int, kind string, text string")
+
+
+_NUMBER = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.?|[IVX]+\.)?\s*", re.A)
+_OPENS = [(re.compile(rf"(?:{p})[a-z ,&]*[:.]?$"), k) for p, k in HEADINGS]
+
+
+def _labelled(text: str) -> list[tuple[str, str]]:
+    """(kind, block) of one whole document: sections, word budget and labels in one pass."""
+    out, kind, so_far = [], "BODY", 0
+    for raw in re.sub(r"(\w)-\n(\w)", r"\1\2", text, flags=re.A).split("\n"):
+        block = raw.strip(" ")
+        if not block:
+            continue
+        low = _NUMBER.sub("", block, count=1).lower() if len(block) < 70 else ""
+        head = next((k for p, k in _OPENS if p.match(low)), None) if low else None
+        if head:
+            if head == "REFS" and so_far > 300:
+                break
+            kind = head
+        elif so_far < MAX_WORDS and kind not in ("SKIP", "REFS"):
+            out.append((kind, block))
+        so_far += 0 if head else len(block.split(" "))
+    body = "INTRO" if any(k != "BODY" for k, _ in out) else "DISCUSS"
+    named = [(body if k == "BODY" else k, b) for k, b in out]
+    if any(k in ("RESULTS", "DISCUSS", "CONCL") for k, _ in named):
+        return named
+    nth = 0
+    for i, (k, b) in enumerate(named):
+        nth += k == "INTRO"
+        if k == "INTRO" and nth > 2:
+            named[i] = ("DISCUSS", b)
+    return named
+
+
+def document_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS) -> DataFrame:
+    """The rows of :func:`chunks` of relabelled sections, for documents that are one row each: nothing is shuffled."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, n, k, t) for d, whole in zip(batch["doc"], batch["text"], strict=True) if whole for n, (k, t) in enumerate(_packed(_labelled(whole), size))]
+            yield pd.DataFrame(rows, columns=["doc", "n", "kind", "text"])
+
+    picked = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    return picked.mapInPandas(fold, "doc long, n int, kind string, text string")

@@ -181,7 +181,7 @@ QUERIES = {
         lambda s, d: T.sentences(_docs(s, d)).groupBy("doc").agg(F.count("*").alias("n"), F.max(F.length("sentence")).alias("longest")),
         f"WITH x AS ({_SENT} FROM documents) SELECT doc, count(*) AS n, max(length(trim(sentence))) AS longest FROM x WHERE trim(sentence) <> '' GROUP BY doc",
     ),
-    "chunks": (lambda s, d: T.chunks(T.relabelled(T.sections(T.paragraphs(_docs(s, d))))), None),
+    "chunks": (lambda s, d: T.document_chunks(_docs(s, d)), None),
     "dictionary_tags": (lambda s, d: X.tag_counts(_docs(s, d), TERMS), _tag_sql()),
     "chunk_tags": (
         lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.tags(F.col("text"), TERMS, 12), ",").alias("tags")),
