@@ -16,6 +16,11 @@ soon as everything below is connected already.  Groups hand on a spanning
 forest of their links, never all pairs, and its components are joined across
 groups by rounds of minimum labels over the edges, in Spark.
 
+One fingerprint of 64 bits links few pairs at a shingle similarity of 0.8.  Where a
+similarity is asked for (:func:`similar_groups`), a document has several fingerprints, from
+independent hashes of its shingles; each is indexed as above, and a pair that is near in
+one links if its distance over other fingerprints fits the similarity.
+
 Cases: null, empty and blank texts have fingerprint zero and link like any
 others; texts under a shingle's length are one shingle; repeated rows share a
 component; a component whose documents all have null ids has a null
@@ -45,22 +50,44 @@ LEAF = 16
 GROUP = 8192
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of one whole text."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray | None:
+    """XXH64 of the shingles of one whole text; None without words."""
     if not text:
-        return 0
+        return None
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
-        return 0
+        return None
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     n = len(words) - shingle + 1
-    hashes = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64, n)
-    return majority(hashes)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The unsigned 64-bit SimHash of one whole text."""
+    hashes = shingle_hashes(text, shingle)
+    return 0 if hashes is None else majority(hashes)
+
+
+def sketch(text: str | None, shingle: int, words: int) -> np.ndarray:
+    """``words`` fingerprints of one whole text; the first is :func:`fingerprint`."""
+    hashes = shingle_hashes(text, shingle)
+    if hashes is None:
+        return np.zeros(words, np.uint64)
+    out = np.empty(words, np.uint64)
+    for w in range(words):
+        x = hashes
+        if w:  # the finishing steps of SplitMix64, from another start
+            x = hashes + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+        out[w] = majority(x)
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -122,27 +149,30 @@ class _Forest:
             a, b = a[apart], b[apart]
 
 
-def forest_of_links(codes: np.ndarray, block_mask: np.uint64, differences: int) -> np.ndarray:
-    """For distinct codes: a label per code; equal labels for codes joined by links that share the block.
+def forest_of_links(codes: np.ndarray, block_mask: np.uint64, differences: int, checks: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+    """For codes: a label per code; equal labels for codes joined by links that share the block.
 
-    The codes are already rotated so that the block is on top; block_mask covers it.
+    The codes are already rotated so that the block is on top; block_mask covers it.  With
+    ``checks``, rows of further words, a link also needs these to differ in at most ``most`` bits.
     """
     n = len(codes)
     order = np.argsort(gray_rank(codes), kind="stable")
     c = codes[order]
+    if checks is not None:
+        checks = checks[order]
     block = c & block_mask
     forest = _Forest(n)
     h = np.uint8(differences)
     for step in (1, 2, 3):  # neighbours in Gray order first: most links of a dense cluster
         if n > step:
             near = np.flatnonzero((np.bitwise_count(c[step:] ^ c[:-step]) <= h) & (block[step:] == block[:-step]))
-            forest.link(near, near + step)
+            forest.link(*_fitting(near, near + step, checks, most))
     # leaves never straddle two blocks: each run of equal block bits has its own leaves
     begins = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     sizes = np.diff(np.append(begins, n))
     for size, at in zip(sizes.tolist(), begins.tolist(), strict=True):
         if size > 4 * LEAF:
-            _search(c, at, size, forest, h)
+            _search(c, at, size, forest, h, checks, most)
     small = sizes <= 4 * LEAF
     if small.any():
         run_end = np.repeat(begins + sizes, sizes)
@@ -150,13 +180,21 @@ def forest_of_links(codes: np.ndarray, block_mask: np.uint64, differences: int)
         for step in range(4, int(sizes[small].max())):
             i = np.flatnonzero(inside[:-step] & (np.arange(n - step) + step < run_end[:-step]))
             near = i[np.bitwise_count(c[i] ^ c[i + step]) <= h]
-            forest.link(near, near + step)
+            forest.link(*_fitting(near, near + step, checks, most))
     out = np.empty(n, np.int64)
     out[order] = order[forest.labels()]
     return out
 
 
-def _search(c: np.ndarray, at: int, size: int, forest: _Forest, h: np.uint8) -> None:
+def _fitting(a: np.ndarray, b: np.ndarray, checks: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a[i], b[i]) those whose further words are near enough."""
+    if checks is None or not len(a):
+        return a, b
+    ok = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64) <= most
+    return a[ok], b[ok]
+
+
+def _search(c: np.ndarray, at: int, size: int, forest: _Forest, h: np.uint8, checks: np.ndarray | None, most: int) -> None:
     """Pairs of nodes of one run's tree, from the root down, several at a time."""
     depth = max(0, int(np.ceil(np.log2(size / LEAF))))
     leaves = 1 << depth
@@ -208,8 +246,9 @@ def _search(c: np.ndarray, at: int, size: int, forest: _Forest, h: np.uint8) ->
         p, i, j = np.nonzero(near)
         left, right = ia[p, i], ib[p, j]
         useful = left != right
-        if useful.any():
-            forest.link(left[useful], right[useful])
+        left, right = _fitting(left[useful], right[useful], checks, most)
+        if len(left):
+            forest.link(left, right)
             since += 1
             if since >= 8:
                 same, since = uniform(), 0
@@ -274,37 +313,114 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _named(lowest: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, component_id, root) from (node, low) and the roots; a large component's rows are dealt out by a salt."""
+    salts = 16
+    named = lowest.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)).withColumn("_s", F.pmod(F.xxhash64(node), F.lit(salts)))
+    least = named.groupBy("root").agg(F.min("low").alias("component_id")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return named.join(least, ["root", "_s"]).select(node, "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differences: int = 4) -> DataFrame:
     """(id, fp, component_id, root) for every row of ``docs``: the smallest id and smallest fingerprint reachable."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     lowest = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(lowest, lowest.count(), differences))
-    named = lowest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id", "root")
+    by_fp = _named(lowest, components(links(lowest, lowest.count(), differences)), "fp")
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differences: int = 4) -> DataFrame:
+#: Fingerprints of a document where a similarity is asked for, and differing bits by which one of them finds a pair.
+WORDS, FOUND = 8, 5
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits of sketches at a Jaccard similarity of equally long shingle lists, and half a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + 0.5 * np.sqrt(bits * share * (1 - share))))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, code): WORDS fingerprints as bytes."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t, shingle, WORDS).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "code"])
+
+    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return picked.mapInArrow(compute, T.StructType([picked.schema["id"], T.StructField("code", T.BinaryType())]))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, component_id, root) for every row: groups of texts linked at the similarity, as sketches tell it.
+
+    A node is the 64-bit digest of a sketch: among 10^9 different ones two meet with a probability of 3 %.
+    """
+    marked = checkpointed(sketches(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("code")))
+    lowest = checkpointed(marked.groupBy("node").agg(F.min("id").alias("low"), F.first("code").alias("code")))
+    n, blocks, half = lowest.count(), FOUND + 1, WORDS // 2
+    cuts = [BITS * k // blocks for k in range(blocks + 1)]
+    lead = min(min(b - a for a, b in zip(cuts, cuts[1:], strict=False)), max(0, (max(n, 1) // GROUP).bit_length()))
+    most = most_bits(similarity, half * BITS)
+
+    def turned(words: np.ndarray, k: int) -> np.ndarray:
+        cut = np.uint64(cuts[k])
+        return (words << cut) | (words >> (np.uint64(BITS) - cut)) if k else words
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
+            halves = [pa.array([x.tobytes() for x in np.ascontiguousarray(part)], pa.binary()) for part in (codes[:, :half], codes[:, half:])]
+            for w in range(WORDS):
+                for k in range(blocks):
+                    word = turned(codes[:, w], k)
+                    top = word >> np.uint64(BITS - lead) if lead else np.zeros(len(word), np.uint64)
+                    # a pair found by one half of the words is checked by the other
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), w * blocks + k, np.int32)), pa.array(top.astype(np.int64)), pa.array(word.view(np.int64)), batch.column(0), halves[w < half]], ["k", "top", "word", "node", "checks"])
+
+    def forest(group: pa.Table) -> pa.Table:
+        k = group.column("k")[0].as_py() % blocks
+        width = cuts[k + 1] - cuts[k]
+        nodes = group.column("node").to_numpy()
+        checks = np.frombuffer(b"".join(group.column("checks").to_pylist()), "<u8").reshape(len(group), -1)
+        label = forest_of_links(group.column("word").to_numpy().view(np.uint64), np.uint64(((1 << width) - 1) << (BITS - width)), FOUND, checks, most)
+        joined = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.table({"a": nodes[joined], "b": nodes[label[joined]]})
+
+    dealt = lowest.select("node", "code").mapInArrow(deal, "k int, top bigint, word bigint, node bigint, checks binary")
+    edges = dealt.groupBy("k", "top").applyInArrow(forest, "a bigint, b bigint")
+    by_node = _named(lowest.select("node", "low"), components(edges), "node")
+    return marked.join(by_node, "node").select(F.col("id").alias(id_col), "node", "component_id", "root")
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differences: int = 4, similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id, then of the smallest fingerprint; all columns of ``docs``.
 
+    Groups are those of :func:`near_duplicates`, or with ``similarity`` those of :func:`similar_groups`.
     Rows without an id are kept only if no row of their group has one, and then one of them.
     Rows are found again by id and fingerprint, as one id may stand on different texts; of rows
     that repeat both one stays.
     """
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i")).alias("_k"), F.col(text_col).alias("_t"))
-    groups = near_duplicates(keyed, "_k", "_t", shingle, differences)
-    kept = groups.groupBy("root").agg(F.min(F.struct("_k", "fp")).alias("k")).select(F.col("k._k.i").alias("_i"), F.col("k.fp").alias("_fp"))
+    if similarity is None:
+        groups = near_duplicates(keyed, "_k", "_t", shingle, differences)
+    else:
+        groups = similar_groups(keyed, similarity, shingle, "_k", "_t").withColumnRenamed("node", "fp")
     at, fp = docs.columns.index(text_col), free_prefix(docs, "_fp")
+    kept = groups.groupBy("root").agg(F.min(F.struct("_k", "fp")).alias("k")).select(F.col("k._k.i").alias(f"{fp}_i"), F.col("k.fp").alias(f"{fp}_k"))
 
     def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, fp])
-
-    marked = bounded_batches(docs).mapInArrow(with_fingerprint, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
-    kept = kept.select(F.col("_i").alias(f"{fp}_i"), F.col("_fp").alias(f"{fp}_k"))
-    found = marked.join(kept, (F.col(fp) == F.col(f"{fp}_k")) & F.col(id_col).eqNullSafe(F.col(f"{fp}_i")), "left_semi")
+            texts = b.column(at).to_pylist()
+            if similarity is None:
+                codes = pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+            else:
+                codes = pa.array([sketch(t, shingle, WORDS).astype("<u8").tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, codes], [*b.schema.names, fp])
+
+    kind = T.LongType() if similarity is None else T.BinaryType()
+    marked = bounded_batches(docs).mapInArrow(with_fingerprint, T.StructType([*docs.schema.fields, T.StructField(fp, kind)]))
+    whole = F.col(fp) if similarity is None else F.xxhash64(fp)
+    found = marked.withColumn(fp, whole).join(kept, (F.col(fp) == F.col(f"{fp}_k")) & F.col(id_col).eqNullSafe(F.col(f"{fp}_i")), "left_semi")
     return found.dropDuplicates([id_col, fp]).select(*docs.columns)
 
 

@@ -83,6 +83,26 @@ def test_keys_after_names_and_paths_are_covered_whole():
     assert not scanner.entropy_spans("123e4567-e89b-12d3-a456-426614174000 some/path-of/words_and/12")
 
 
+def plain_base(text):
+    spans = [(m.start(), 0, "assign", m.end()) for m in re.finditer("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, k, b in sorted(spans)]
+
+
+def test_base_secrets_of_whole_documents(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    found = 0
+    for r in secrets.op1(spark, "/root/testdata/sf0.01").collect():
+        want = plain_base(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, *_ in want) for x in ("assign", "access", "hex")]
+        named = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("entropy")] == named
+        found += len(want)
+    assert found > 20
+
+
 # --- 2 near duplicates
 
 
@@ -160,6 +180,36 @@ def test_one_id_on_different_texts_keeps_every_group(spark, odd):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((5, t) for t in texts)
 
 
+def mates(rng, n, similarity):
+    """Two texts of n shingles of five words, alike to the similarity."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    same = round(2 * similarity / (1 + similarity) * n)
+    common = [word() for _ in range(same + 4)]
+    return " ".join(common + [word() for _ in range(n - same)]), " ".join([word() for _ in range(n - same)] + common)
+
+
+def test_groups_at_a_similarity(spark, odd):
+    rng, texts, of = random.Random(9), [*odd, *odd[3:9]], {}
+    for likeness in (0.5, 0.65, 0.95):
+        for _ in range(60):
+            of[len(texts)] = likeness
+            texts += mates(rng, 300, likeness)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    joined = {s: np.mean([got[i] == got[i + 1] == i for i, x in of.items() if x == s]) for s in (0.5, 0.65, 0.95)}
+    assert joined[0.5] == 0 and joined[0.65] <= 0.05 and joined[0.95] >= 0.97
+    assert got[8] == got[7] and all(got[len(odd) + k] <= 3 + k for k in range(6))
+    assert simhash.similar_groups(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_one_of_each_similar_group_stays(spark):
+    a, b = mates(random.Random(1), 300, 0.95)
+    rows = [("x" * 10, 9), (a, 4), (b, 3), (a, None), (None, 7), ("", 8), ("alone", None)]
+    table = docs(spark, [t for t, _ in rows], [i for _, i in rows]).withColumn("_FP_i", F.lit(1)).withColumn("_fp", F.lit(2))
+    kept = simhash.keep_one_each(table, shingle=5, similarity=0.8)
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(9, "x" * 10), (3, b), (7, None), (None, "alone")], key=str)
+
+
 # --- 3 nearest vectors
 
 
@@ -251,6 +301,28 @@ def test_classifier_edges(spark, odd):
     assert {r["score"] for r in quality_model.score_rows(stats, none, ["doc_id"]).collect()} == {0.5}
 
 
+def test_model_equals_plain_normal_equations(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    y = {r["doc_id"]: float(r["quality"]) for r in labels.collect()}
+    bucket = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in docs.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(i for i in y if i in texts and bucket[i] != 2)
+    x = np.array([quality_model.statistics(texts[i]) for i in ids])
+    plain = quality_model.Model(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3))
+    f, target = plain.features(x), np.array([y[i] for i in ids])
+    weights = np.linalg.solve(f.T @ f + quality_model.RIDGE * len(ids) / quality_model.FEATURES * np.eye(f.shape[1]), f.T @ target)
+    stats = quality_model.with_statistics(docs, "text", {"doc_id": "doc_id"})
+    model = quality_model.fit(quality_model.training_rows(stats, labels, "doc_id", "quality", "doc_id"))
+    assert np.allclose(model.mean, plain.mean) and np.allclose(model.weights, weights, atol=1e-6)
+    scored = {r["doc_id"]: r["score"] for r in quality_model.op4(spark, SF).collect()}
+    every = quality_model.Model(plain.mean, plain.spread)
+    every.weights, every.knots = weights, model.knots
+    want = every.score(np.array([quality_model.statistics(texts[i]) for i in sorted(texts)]))
+    assert np.allclose([scored[i] for i in sorted(texts)], want, atol=1e-6)
+    assert (np.diff(model.knots[1]) >= 0).all()
+
+
 def test_pool_adjacent_violators():
     assert quality_model.pool_adjacent(np.array([1.0, 3.0, 2.0, 5.0]), np.ones(4)).tolist() == [1.0, 2.5, 2.5, 5.0]
 
@@ -344,6 +416,13 @@ def test_urls_match_sql(spark):
     assert sorted(map(key, want)) == sorted(map(key, urlfilter.op6(spark, SF).collect()))
 
 
+def test_very_long_hosts_and_empty_tables(spark):
+    host = "a." * 200_000 + "ads-track.example.com"
+    got = urlfilter.judge_urls(spark.createDataFrame([(1, f"http://{host}/x"), (2, "http://" + "b" * 1_000_000)], "page_id long, url string")).orderBy("page_id").collect()
+    assert got[0]["verdict"] == "block" and got[0]["host"] == host and got[1]["verdict"] == "allow"
+    assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 # --- 7 byte-level BPE
 
 
@@ -417,6 +496,40 @@ def test_languages(spark, odd):
     assert [(r["lang_pred"], r["score"] > 0.9) for r in langid.predict(table, model).orderBy("doc_id").collect()] == [("und", False)] * 3 + [("en", True)]
 
 
+def plain_features(text):
+    low = text.lower().encode()
+    letters = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in low)
+    counts = np.zeros(langid.DIMENSIONS)
+    padded = b" " + letters
+    for n in (1, 2, 3):
+        for k in range(len(padded) - n + 1):
+            code = 0
+            for b in padded[k : k + n]:
+                code = (code * 257 + b) % (1 << 32)
+            counts[(code + n * 7919) * 2654435761 % (1 << 32) >> 20] += 1
+    root = np.sqrt(counts)
+    return root / np.linalg.norm(root)
+
+
+def test_language_features_and_predictions_equal_plain_ones(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(120).collect()
+    x = np.array([plain_features(r["text"][:3000]) for r in rows])
+    assert np.allclose(x, [langid.features(r["text"][:3000]) for r in rows], atol=1e-6)
+    model = langid.Hierarchy(x.astype(np.float32), [r["lang"] for r in rows], langid.FAMILIES)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame([(r["doc_id"], r["text"][:3000]) for r in rows], "doc_id long, text string"), model).collect()}
+
+    def winner(pairs, v):
+        names, machines = pairs
+        votes, least = dict.fromkeys(range(len(names)), 0), dict.fromkeys(range(len(names)), np.inf)
+        for a, b, w in machines:
+            m = float(v @ w[:-1] + w[-1])
+            votes[a if m > 0 else b] += 1
+            least[a], least[b] = min(least[a], m), min(least[b], -m)
+        return names[max(votes, key=lambda i: (votes[i], least[i]))]
+
+    assert got == {r["doc_id"]: winner(model.within[winner(model.between, v)], v) for r, v in zip(rows, x, strict=True)}
+
+
 # --- 10 rules
 
 
@@ -523,3 +636,30 @@ def test_rules_edges(spark, odd):
     kept = rules.keep_good(table)
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {7, 8, 9}
     assert rules.keep_good(table.limit(0)).count() == 0
+
+
+# --- all: empty tables and very long texts
+
+
+def test_empty_tables(spark, tmp_path):
+    none = docs(spark, ["x"]).limit(0)
+    assert secrets.digest_rows(none).count() == secrets.redact_secrets(none).count() == simhash.near_duplicates(none).count() == langid.predict(none, None).count() == 0
+    tokenfile.write_token_files(none, str(tmp_path / "t"), P.path("word_bpe_49k.json"))
+    assert tokenfile.read_token_files(spark, str(tmp_path / "t")).count() == 0
+    assert langid.fit(none.select(F.col("doc_id").alias("id"), "text", "lang")) is None
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(900_000))  # 5 million characters
+    table = docs(spark, [f"{long} {SECRET}", long])
+    got = {r["doc_id"]: r for r in secrets.digest_rows(table).collect()}
+    assert got[0]["n_hex"] == 1 and got[1]["spans"] == "" and got[0]["spans"].split(",")[0] == f"assign:{len(long) + 1}:{len(long) + len(SECRET) + 1}"
+    stats = {r["doc_id"]: r["_q_n_words"] for r in rules.with_statistics(table).select("doc_id", "_q_n_words").collect()}
+    assert stats == {0: 900_003, 1: 900_000}
+    assert quality_model.with_statistics(table, "text", {"doc_id": "doc_id"}).count() == 2
+    model = langid.Hierarchy(np.array([langid.features("der die das"), langid.features("the of and")]), ["de", "en"], langid.FAMILIES)
+    assert {r["lang_pred"] for r in langid.predict(table, model).collect()} <= {"de", "en"}
+    tokenfile.write_token_files(table, str(tmp_path / "t"), P.path("word_bpe_49k.json"))
+    for r in tokenfile.read_token_files(spark, str(tmp_path / "t")).collect():
+        assert bytes(r["ids"]) == reference("word_bpe_49k.json", [long if r["doc_id"] else f"{long} {SECRET}"], 1)[0].tobytes()
