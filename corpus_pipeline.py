@@ -31,10 +31,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays.
 
-    As in op2, groups come from 4-word fingerprints that differ in at most 4 bits; the README
-    says how few pairs at a similarity of 0.8 that links.
+    Groups link texts whose shingles of five words are alike to 0.8 or more, as several
+    fingerprints of each tell; the README says what share of such pairs is found.
     """
-    return simhash.keep_one_each(docs.select(*COLUMNS))
+    return simhash.keep_one_each(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
