@@ -329,8 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
-#: Fingerprints of a document where a similarity is asked for, and differing bits by which one of them finds a pair.
-WORDS, FOUND = 8, 5
+#: Fingerprints of a document where a similarity is asked for, differing bits by which one of them finds a pair,
+#: and how many others check it.
+WORDS, FOUND, CHECKS = 8, 5, 3
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -357,10 +358,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     """
     marked = checkpointed(sketches(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("code")))
     lowest = checkpointed(marked.groupBy("node").agg(F.min("id").alias("low"), F.first("code").alias("code")))
-    n, blocks, half = lowest.count(), FOUND + 1, WORDS // 2
+    n, blocks = lowest.count(), FOUND + 1
     cuts = [BITS * k // blocks for k in range(blocks + 1)]
     lead = min(min(b - a for a, b in zip(cuts, cuts[1:], strict=False)), max(0, (max(n, 1) // GROUP).bit_length()))
-    most = most_bits(similarity, half * BITS)
+    most = most_bits(similarity, CHECKS * BITS)
 
     def turned(words: np.ndarray, k: int) -> np.ndarray:
         cut = np.uint64(cuts[k])
@@ -369,25 +370,28 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-            halves = [pa.array([x.tobytes() for x in np.ascontiguousarray(part)], pa.binary()) for part in (codes[:, :half], codes[:, half:])]
+            nodes = batch.column(0).to_numpy().view(np.uint64)
             for w in range(WORDS):
+                # a pair found by one fingerprint is checked by others
+                checks = codes[:, [(w + 1 + i) % WORDS for i in range(CHECKS)]]
                 for k in range(blocks):
                     word = turned(codes[:, w], k)
                     top = word >> np.uint64(BITS - lead) if lead else np.zeros(len(word), np.uint64)
-                    # a pair found by one half of the words is checked by the other
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), w * blocks + k, np.int32)), pa.array(top.astype(np.int64)), pa.array(word.view(np.int64)), batch.column(0), halves[w < half]], ["k", "top", "word", "node", "checks"])
+                    key = top.astype(np.int64) * (WORDS * blocks) + (w * blocks + k)
+                    rows = np.column_stack((word, nodes, checks)).astype("<u8")
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([r.tobytes() for r in rows], pa.binary())], ["key", "entry"])
 
     def forest(group: pa.Table) -> pa.Table:
-        k = group.column("k")[0].as_py() % blocks
+        k = group.column("key")[0].as_py() % blocks
         width = cuts[k + 1] - cuts[k]
-        nodes = group.column("node").to_numpy()
-        checks = np.frombuffer(b"".join(group.column("checks").to_pylist()), "<u8").reshape(len(group), -1)
-        label = forest_of_links(group.column("word").to_numpy().view(np.uint64), np.uint64(((1 << width) - 1) << (BITS - width)), FOUND, checks, most)
+        rows = np.frombuffer(b"".join(group.column("entry").to_pylist()), "<u8").reshape(len(group), -1)
+        nodes = rows[:, 1].astype(np.uint64).view(np.int64)
+        label = forest_of_links(rows[:, 0].astype(np.uint64), np.uint64(((1 << width) - 1) << (BITS - width)), FOUND, rows[:, 2:], most)
         joined = np.flatnonzero(label != np.arange(len(nodes)))
         return pa.table({"a": nodes[joined], "b": nodes[label[joined]]})
 
-    dealt = lowest.select("node", "code").mapInArrow(deal, "k int, top bigint, word bigint, node bigint, checks binary")
-    edges = dealt.groupBy("k", "top").applyInArrow(forest, "a bigint, b bigint")
+    dealt = lowest.select("node", "code").mapInArrow(deal, "key bigint, entry binary")
+    edges = dealt.groupBy("key").applyInArrow(forest, "a bigint, b bigint")
     by_node = _named(lowest.select("node", "low"), components(edges), "node")
     return marked.join(by_node, "node").select(F.col("id").alias(id_col), "node", "component_id", "root")
 
