@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,8 +85,11 @@ def same_identifier(reports: DataFrame) -> DataFrame:
     return reports.join(first, "doi").where("id <> other").select("id", "other")
 
 
-def mark(reports: DataFrame, least: float = 95.0) -> DataFrame:
-    """(id, duplicate_of): greedy by id: a report is a duplicate of the first kept report it is like.
+def mark(reports: DataFrame, least: float = 95.0, order: Sequence[Column] = ()) -> DataFrame:
+    """(id, duplicate_of): greedy by ``order``, then id: a report is a duplicate of the first kept report it is like.
+
+    For the fullest report of each kind to stay, order by what should come first, ascending:
+    ``order=[~F.col("full_text"), -F.col("word_count")]``.
 
     Reports are alike by identifier, by an equal title or by similar titles of one first author;
     titles are compared once per class of equal ones.  Each round keeps every open report that is
@@ -97,7 +100,8 @@ def mark(reports: DataFrame, least: float = 95.0) -> DataFrame:
     similar = similar_titles(classes, least).checkpoint()
     near = similar.select(F.col("a").alias("c"), F.col("b").alias("n")).union(similar.select("b", "a"))
     empty = lambda name: F.coalesce(F.col(name), F.lit(""))
-    rows = reports.select("id", "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(classes, ["s", "t"]).select("id", "c", "doi").checkpoint()
+    place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("id").alias("id")).alias("id")
+    rows = reports.select(place, "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(classes, ["s", "t"]).select("id", "c", "doi").checkpoint()
     still, kept, step = rows, rows.limit(0), 0
     while not still.isEmpty():
         step += 1
@@ -116,4 +120,4 @@ def mark(reports: DataFrame, least: float = 95.0) -> DataFrame:
     by_title = kept.select("c", "id").union(near.join(kept, "c").select("n", "id")).groupBy("c").agg(F.min("id").alias("x"))
     by_doi = kept.where("doi is not null").groupBy("doi").agg(F.min("id").alias("y"))
     told = rows.join(by_title, "c", "left").join(by_doi, "doi", "left").withColumn("to", F.least("x", "y"))
-    return told.select("id", F.when(F.col("to") != F.col("id"), F.col("to")).alias("duplicate_of"))
+    return told.select("id.id", F.when(F.col("to") != F.col("id"), F.col("to.id")).alias("duplicate_of"))

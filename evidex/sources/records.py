@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.input_file_name().alias("file"), "query", F.posexplode("results").alias("pos", "rec"))
 
 
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Columns of a file with a header, all as text; quoted fields may span lines, empty fields are empty texts."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', emptyValue="").csv(path).na.fill("")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per line of JSON; lines that aren't JSON fail the read rather than go missing."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def with_vectors(passages: DataFrame, vectors: DataFrame, key: str) -> DataFrame | None:
+    """Passages with their vectors, or None if the vectors are stale: not one for each passage."""
+    joined = passages.join(vectors, key)
+    return joined if passages.count() == vectors.count() == joined.count() else None
+
+
 def merge_pages(pages: DataFrame) -> DataFrame:
     """The first record of each id in file order, and the distinct queries that found it."""
     return pages.groupBy(F.col("rec.id").alias("id")).agg(F.min_by("rec", F.struct("file", "pos")).alias("rec"), F.array_sort(F.collect_set("query")).alias("queries"))

@@ -6,8 +6,9 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from evidex import catalogue
-from evidex.operators import cards, extract, graph, qa, text
+from evidex.operators import cards, dedupe, extract, graph, qa, text
 from evidex.plans import card_queries, corpus_queries, understanding_queries
+from evidex.sources import records
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,6 +126,35 @@ def test_betweenness_of_the_claims_graph(spark):
     assert close >= 0.95 * n  # paths of equal length may be told apart by rounding
 
 
+def test_hedged_sentences_are_no_findings(spark):
+    said = ["It has been shown that the spreading of these is rising and going on and on in all.", "The of spreading is the rising and going on and on in all of these places."]
+    table = spark.createDataFrame([(1, i, x) for i, x in enumerate(said)], "doc long, pos int, sentence string")
+    every, plain = (extract.findings(table, {"the": "the"}, {"of": "of"}, hedges=h).collect() for h in ((), extract.HEDGES))
+    # the first of equal findings stays
+    assert [r["quote"] for r in every] == said[:1] and [r["quote"] for r in plain] == said[1:]
+
+
+def test_the_fullest_duplicate_stays(spark, tmp_path):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    title = "a long title on flames in low gravity and their spreading"
+    rows = [(1, False, 10, title), (2, True, 5, title), (3, True, 50, title + "s"), (4, True, 900, "another one altogether")]
+    table = spark.createDataFrame([(i, "Doe, J.", t, None, f, n) for i, f, n, t in rows], "id long, author string, title string, doi string, full_text boolean, word_count int")
+    told = {r["id"]: r["duplicate_of"] for r in dedupe.mark(table, order=[~F.col("full_text"), -F.col("word_count")]).collect()}
+    assert told == {1: 3, 2: 3, 3: None, 4: None}
+    assert {r["id"]: r["duplicate_of"] for r in dedupe.mark(table).collect()} == {1: None, 2: 1, 3: 1, 4: None}
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('id,title,year\n1,"a ""b""\nc",\n2,,1999\n')
+    assert [tuple(r) for r in records.read_csv(spark, str(tmp_path / "p.csv"), ["id", "title", "year"]).orderBy("id").collect()] == [("1", 'a "b"\nc', ""), ("2", "", "1999")]
+    (tmp_path / "c.jsonl").write_text('{"id": "a", "n": [1, 2]}\n{"id": "b"}\n')
+    lines = records.read_lines(spark, str(tmp_path / "c.jsonl"), "id string, n array<int>")
+    assert sorted((r["id"], r["n"]) for r in lines.collect()) == [("a", [1, 2]), ("b", None)]
+    assert records.with_vectors(lines, lines.select("id", F.lit(1.0).alias("v")), "id").count() == 2
+    assert records.with_vectors(lines, lines.limit(1).select("id", F.lit(1.0).alias("v")), "id") is None
+
+
 def test_groups_are_listed_contradictory_first(spark):
     rows = [("b", "consensus", 9), ("a", "contradictory", 2), ("c", "contradictory", 5), ("d", "emerging", 9)]
     table = spark.createDataFrame(rows, "id string, status string, n_papers long")
