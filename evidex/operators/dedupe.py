@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.functions.lineage import cut
+
 
 def surname(author: Column) -> Column:
     """Before the comma, else the last word."""
@@ -96,27 +98,27 @@ def mark(reports: DataFrame, least: float = 95.0, order: Sequence[Column] = ())
     before all open reports it is like, and settles those like it.  At least the first open report
     is settled in a round, and rounds end when none is open; ids are taken to be unique.
     """
-    classes = title_classes(reports).checkpoint()
-    similar = similar_titles(classes, least).checkpoint()
+    classes = cut(title_classes(reports))
+    similar = cut(similar_titles(classes, least))
     near = similar.select(F.col("a").alias("c"), F.col("b").alias("n")).union(similar.select("b", "a"))
     empty = lambda name: F.coalesce(F.col(name), F.lit(""))
     place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("id").alias("id")).alias("id")
-    rows = reports.select(place, "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(classes, ["s", "t"]).select("id", "c", "doi").checkpoint()
+    rows = cut(reports.select(place, "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(classes, ["s", "t"]).select("id", "c", "doi"))
     still, kept, step = rows, rows.limit(0), 0
     while not still.isEmpty():
         step += 1
         first = still.groupBy("c").agg(F.min("id").alias("id"))
         around = near.join(first.select(F.col("c").alias("n"), F.col("id").alias("g")), "n").groupBy("c").agg(F.min("g").alias("g"))
         by_doi = still.where("doi is not null").groupBy("doi").agg(F.min("id").alias("h"))
-        new = still.join(first, ["c", "id"]).join(around, "c", "left").where("g is null or id < g").join(by_doi, "doi", "left").where("h is null or id = h").select("id", "c", "doi").checkpoint()
+        new = cut(still.join(first, ["c", "id"]).join(around, "c", "left").where("g is null or id < g").join(by_doi, "doi", "left").where("h is null or id = h").select("id", "c", "doi"))
         if new.isEmpty():
             raise RuntimeError("no open report could be settled")
         gone = new.select("c").union(near.join(new, "c").select("n")).distinct()
-        still = still.join(gone, "c", "left_anti").join(new.where("doi is not null").select("doi").distinct(), "doi", "left_anti").select("id", "c", "doi").checkpoint()
+        still = cut(still.join(gone, "c", "left_anti").join(new.where("doi is not null").select("doi").distinct(), "doi", "left_anti").select("id", "c", "doi"))
         kept = kept.unionByName(new)
         if step % 10 == 0:
-            kept = kept.checkpoint()
-    kept = kept.checkpoint()
+            kept = cut(kept)
+    kept = cut(kept)
     by_title = kept.select("c", "id").union(near.join(kept, "c").select("n", "id")).groupBy("c").agg(F.min("id").alias("x"))
     by_doi = kept.where("doi is not null").groupBy("doi").agg(F.min("id").alias("y"))
     told = rows.join(by_title, "c", "left").join(by_doi, "doi", "left").withColumn("to", F.least("x", "y"))

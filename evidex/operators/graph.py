@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.functions.lineage import cut
 from evidex.plans.claims import strength
 
 #: Relation: source role, target role.  A null or equal pair makes no edge.
@@ -63,7 +64,7 @@ def pagerank(links: DataFrame, damping: float = 0.85, iterations: int = 100, che
         gained = moves.join(rank, F.col("s") == F.col("node")).groupBy("t").agg(F.sum(F.col("p") * F.col("rank")).alias("g"))
         rank = gained.select(F.col("t").alias("node"), ((1 - damping) / max(n, 1) + damping * F.col("g")).alias("rank"))
         if step % checkpoint_every == 0 and step < iterations:
-            rank = rank.checkpoint()
+            rank = cut(rank)
     return rank
 
 
@@ -178,8 +179,8 @@ def communities(links: DataFrame) -> DataFrame:
     All concepts move at once, so labels may end in a cycle of states rather than in one; each
     concept then gets the least label it has in the cycle.
     """
-    both = links.select(F.col("a").alias("s"), F.col("b").alias("t"), "weight").unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("t"), "weight")).checkpoint()
-    label = both.select(F.col("s").alias("node"), F.col("s").alias("label")).distinct().checkpoint()
+    both = cut(links.select(F.col("a").alias("s"), F.col("b").alias("t"), "weight").unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("t"), "weight")))
+    label = cut(both.select(F.col("s").alias("node"), F.col("s").alias("label")).distinct())
     best = Window.partitionBy("s").orderBy(F.desc("w"), "label")
     seen, states = [], []
     while True:
@@ -189,7 +190,7 @@ def communities(links: DataFrame) -> DataFrame:
         seen.append(mark)
         states.append(label)
         around = both.join(label, F.col("t") == F.col("node")).groupBy("s", "label").agg(F.sum("weight").alias("w"))
-        label = around.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("s").alias("node"), "label").checkpoint()
+        label = cut(around.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("s").alias("node"), "label"))
     cycle = states[seen.index(mark) :]
     every = cycle[0]
     for state in cycle[1:]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidex.functions.lineage import cut
 from evidex.functions import formatting
 from evidex.operators import dedupe, evaluate, predict, qa
 from evidex.operators import extract as X
@@ -96,13 +97,13 @@ def _metrics(s, d):
 
 
 def _metrics_asked(s, d):
-    ranked = _ranked_docs(s, d, _asked).checkpoint()
+    ranked = cut(_ranked_docs(s, d, _asked))
     good = read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
     return evaluate.rank_metrics(ranked, ranked.select("query", "doc").distinct().join(good, "doc", "left_semi"))
 
 
 def _gate_asked(s, d):
-    ranked = _ranked_docs(s, d, _asked).checkpoint()
+    ranked = cut(_ranked_docs(s, d, _asked))
     covered = R.rerank(ranked.withColumn("score", F.lit(0.0)), _docs(s, d), _terms(s, d, _asked))
     return qa.refuses(covered.join(ranked, ["query", "doc"]))
 

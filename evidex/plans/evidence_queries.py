@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidex.functions.lineage import cut
 from evidex.operators import consensus as C
 from evidex.operators import coverage as V
 from evidex.operators import discovery as D
@@ -227,7 +228,7 @@ QUERIES = {
     ),
     "graph_pagerank": (lambda s, d: G.pagerank(_links(s, d), iterations=_PAGERANK_STEPS).select("node", F.round("rank", 6).alias("rank")), _pagerank_sql()),
     # the SQL of graph_pagerank is unrolled and fixes five steps; the whole job has no SQL
-    "graph_pagerank_converged": (lambda s, d: G.pagerank(_links(s, d).checkpoint()).select("node", F.round("rank", 6).alias("rank")), None),
+    "graph_pagerank_converged": (lambda s, d: G.pagerank(cut(_links(s, d))).select("node", F.round("rank", 6).alias("rank")), None),
     "graph_within": (
         lambda s, d: G.within(_links(s, d).where("weight >= 40"), ["condition:Brand#11"], 2),
         W + EDGE_ROWS + """, n2 AS (SELECT * FROM nbr WHERE weight >= 40), d1 AS (SELECT DISTINCT t AS node FROM n2 WHERE s = 'condition:Brand#11'), d2 AS (SELECT DISTINCT t AS node FROM n2 WHERE s IN (SELECT node FROM d1))

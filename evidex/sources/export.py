@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +22,34 @@ def tex(value: Column) -> Column:
     return F.regexp_replace(value, f"([{TEX_SPECIAL}])", r"\\$1")
 
 
-def bibtex(rows: DataFrame, key: str = "id", author: str = "author", title: str = "title", year: str = "year", journal: str | None = None) -> DataFrame:
-    """(id, entry): one entry each; fields without a value are left out."""
+#: Words that don't make a citation key.
+KEY_STOP = ("about", "from", "into", "over", "some", "that", "their", "these", "this", "under", "upon", "with")
+
+
+def bibtex(rows: DataFrame, key: str = "id", author: str = "author", title: str = "title", year: str = "year", journal: str | None = None, more: Mapping[str, str] | None = None) -> DataFrame:
+    """(id, entry): one entry each; fields without a value are left out.
+
+    ``author`` may be an array: its names are joined by "and", the first makes the key, with the
+    year and the title's first word of four letters that is no stop word.  ``more`` adds fields,
+    such as ``{"institution": "center", "doi": "doi", "url": "url", "note": "note"}``, in its order.
+    """
+    if dict(rows.dtypes)[author].startswith("array"):
+        rows = rows.withColumn(author, F.array_join(author, " and "))
     name = F.lower(F.regexp_replace(F.substring_index(F.col(author), ",", 1), "[^A-Za-z]", ""))
-    word = F.lower(F.coalesce(F.regexp_extract(F.col(title), r"\b([A-Za-z]{4,})\b", 1), F.lit("")))
+    word = F.coalesce(F.get(F.filter(F.transform(F.regexp_extract_all(F.col(title), F.lit(r"\b([A-Za-z]{4,})\b"), F.lit(1)), F.lower), lambda w: ~w.isin(*KEY_STOP)), F.lit(0)), F.lit(""))
     kind = F.when(F.col(journal).isNotNull(), "article").otherwise("techreport") if journal else F.lit("techreport")
-    fields = [("author", author), ("title", title), ("year", year)] + ([("journal", journal)] if journal else [])
+    fields = [("author", author), ("title", title), ("year", year)] + ([("journal", journal)] if journal else []) + list((more or {}).items())
     lines = F.array_compact(F.array(*(F.when(F.length(F.col(c).cast("string")) > 0, F.concat(F.lit(f"  {n} = {{"), tex(F.col(c).cast("string")), F.lit("}"))) for n, c in fields)))
     entry = F.concat(F.lit("@"), kind, F.lit("{"), name, F.coalesce(F.col(year).cast("string"), F.lit("")), word, F.lit(",\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
     return rows.select(F.col(key).alias("id"), entry.alias("entry"))
 
 
-def ris(rows: DataFrame, key: str = "id", author: str = "author", title: str = "title", year: str = "year") -> DataFrame:
-    """(id, entry) of tag lines; a null has no line."""
-    lines = F.array_compact(F.array(F.lit("TY  - RPRT"), F.concat(F.lit("AU  - "), F.col(author)), F.concat(F.lit("TI  - "), F.col(title)), F.concat(F.lit("PY  - "), F.col(year).cast("string")), F.lit("ER  - ")))
+def ris(rows: DataFrame, key: str = "id", author: str = "author", title: str = "title", year: str = "year", more: Mapping[str, str] | None = None) -> DataFrame:
+    """(id, entry) of tag lines; a null has no line.  An array of authors gives a line each; ``more`` maps tags such as DO, UR, AB to columns."""
+    names = F.col(author) if dict(rows.dtypes)[author].startswith("array") else F.array(author)
+    authors = F.transform(F.filter(names, lambda a: a.isNotNull()), lambda a: F.concat(F.lit("AU  - "), a))
+    tagged = [F.concat(F.lit(f"{tag}  - "), F.col(c).cast("string")) for tag, c in [("TI", title), ("PY", year), *(more or {}).items()]]
+    lines = F.array_compact(F.concat(F.array(F.lit("TY  - RPRT")), F.coalesce(authors, F.array().cast("array<string>")), F.array(*tagged, F.lit("ER  - "))))
     return rows.select(F.col(key).alias("id"), F.array_join(lines, "\n").alias("entry"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidex import catalogue
 from evidex.operators import cards, dedupe, extract, graph, qa, text
 from evidex.plans import card_queries, corpus_queries, understanding_queries
-from evidex.sources import records
+from evidex.sources import export, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -155,6 +155,14 @@ def test_readers(spark, tmp_path):
     assert records.with_vectors(lines, lines.limit(1).select("id", F.lit(1.0).alias("v")), "id") is None
 
 
+def test_citations_with_all_fields(spark):
+    table = spark.createDataFrame([(7, ["Doe, J.", "Roe, R."], "With this flame & fire", 1999, "10.1/x", None)], "id long, author array<string>, title string, year int, doi string, note string")
+    (entry,) = (r["entry"] for r in export.bibtex(table, more={"doi": "doi", "note": "note"}).collect())
+    assert entry == "@techreport{doe1999flame,\n  author = {Doe, J. and Roe, R.},\n  title = {With this flame \\& fire},\n  year = {1999},\n  doi = {10.1/x}\n}"
+    (entry,) = (r["entry"] for r in export.ris(table, more={"DO": "doi", "N1": "note"}).collect())
+    assert entry == "TY  - RPRT\nAU  - Doe, J.\nAU  - Roe, R.\nTI  - With this flame & fire\nPY  - 1999\nDO  - 10.1/x\nER  - "
+
+
 def test_groups_are_listed_contradictory_first(spark):
     rows = [("b", "consensus", 9), ("a", "contradictory", 2), ("c", "contradictory", 5), ("d", "emerging", 9)]
     table = spark.createDataFrame(rows, "id string, status string, n_papers long")
