@@ -119,58 +119,54 @@ def in_years(claims: DataFrame, low: int, high: int) -> DataFrame:
     return claims.where((y >= low) & (y <= high))
 
 
-def betweenness(links: DataFrame, most_nodes: int = 5000) -> DataFrame:
-    """Weighted betweenness of a bounded concept graph (Brandes 2001), one task per share of sources.
+def betweenness(links: DataFrame, sources_per_block: int = 2000) -> DataFrame:
+    """(node, betweenness): weighted, normalised, of an undirected graph; distance is one over the weight.
 
-    The graph of a vocabulary is small by construction; a larger one is refused rather than broadcast.
+    Brandes' sums over (source, node) tables: distances by relaxing the frontier, path counts and
+    dependencies along the edges of shortest paths, each step one join and one sum.  Paths whose
+    lengths differ by less than a part in 10**12 count as equal.  Sources are taken in blocks, so a
+    block's tables hold at most ``sources_per_block`` rows for each node on average.  An empty graph gives no rows.
     """
-    import heapq
-
-    import pandas as pd
-
-    rows = links.select("a", "b", "weight").limit(most_nodes * 50 + 1).collect()
-    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
-    if len(names) > most_nodes or len(rows) > most_nodes * 50:
-        raise ValueError("the graph is beyond the stated bound")
-    near: dict[str, list[tuple[str, float]]] = {n: [] for n in names}
-    for r in rows:
-        near[r["a"]].append((r["b"], 1.0 / r["weight"]))
-        near[r["b"]].append((r["a"], 1.0 / r["weight"]))
-    graph = links.sparkSession.sparkContext.broadcast(near)
-
-    def from_sources(parts):
-        for part in parts:
-            score: dict[str, float] = {}
-            for s in part["node"]:
-                dist, seen, count, before, order = {}, {s: 0.0}, {s: 1.0}, {s: []}, []
-                heap = [(0.0, s)]
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in dist:
-                        continue
-                    dist[v] = d
-                    order.append(v)
-                    for u, step in graph.value[v]:
-                        far = d + step
-                        if u in dist:
-                            continue
-                        if u not in seen or far < seen[u] - 1e-12:
-                            seen[u], count[u], before[u] = far, count[v], [v]
-                            heapq.heappush(heap, (far, u))
-                        elif abs(far - seen[u]) <= 1e-12:
-                            count[u] += count[v]
-                            before[u].append(v)
-                gain = dict.fromkeys(order, 0.0)
-                for u in reversed(order):
-                    for v in before[u]:
-                        gain[v] += count[v] / count[u] * (1 + gain[u])
-                    if u != s:
-                        score[u] = score.get(u, 0.0) + gain[u]
-            yield pd.DataFrame({"node": list(score), "part": list(score.values())})
-
-    n = max(len(names), 3)
-    sources = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    return sources.repartition(8, "node").mapInPandas(from_sources, "node string, part double").groupBy("node").agg((F.sum("part") / ((n - 1) * (n - 2))).alias("betweenness"))
+    there = links.select(F.col("a").alias("s"), F.col("b").alias("t"), (1.0 / F.col("weight")).alias("length"))
+    steps = cut(there.unionByName(there.select(F.col("t").alias("s"), F.col("s").alias("t"), "length")).where("s <> t"))
+    nodes = steps.select(F.col("s").alias("node")).distinct()
+    n = nodes.count()
+    blocks = max(1, -(-n // sources_per_block))
+    parts = nodes.select("node", F.lit(0.0).alias("e"))
+    for k in range(blocks):
+        parts = parts.unionByName(_dependencies(steps, nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)))
+    n = max(n, 3)
+    return parts.groupBy("node").agg((F.sum("e") / ((n - 1) * (n - 2))).alias("betweenness"))
+
+
+def _dependencies(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, e): how much the shortest paths from ``sources`` depend on each node between, in parts to be added up."""
+    start = sources.select(F.col("node").alias("source"), "node")
+    far = fresh = cut(start.withColumn("d", F.lit(0.0)))
+    while not fresh.isEmpty():
+        offered = fresh.join(steps, F.col("node") == F.col("s")).groupBy("source", F.col("t").alias("node")).agg(F.min(F.col("d") + F.col("length")).alias("new"))
+        met = cut(far.select("source", "node", "d").join(offered, ["source", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d") * (1 - 1e-12)))))
+        far = met.select("source", "node", F.when(F.col("better"), F.col("new")).otherwise(F.col("d")).alias("d"))
+        fresh = met.where("better").select("source", "node", F.col("new").alias("d"))
+
+    ends = far.select("source", F.col("node").alias("t"), F.col("d").alias("upto"))
+    along = cut(far.join(steps, F.col("node") == F.col("s")).join(ends, ["source", "t"]).where(F.col("d") + F.col("length") <= F.col("upto") * (1 + 1e-12)).select("source", F.col("node").alias("u"), F.col("t").alias("v")))
+
+    level = cut(start.withColumn("c", F.lit(1.0)))
+    counts = level
+    while not level.isEmpty():
+        level = cut(level.withColumnRenamed("node", "u").join(along, ["source", "u"]).groupBy("source", F.col("v").alias("node")).agg(F.sum("c").alias("c")))
+        counts = counts.unionByName(level)
+    counts = cut(counts.groupBy("source", "node").agg(F.sum("c").alias("c")))
+
+    of_u, of_v = counts.select("source", F.col("node").alias("u"), F.col("c").alias("cu")), counts.select("source", F.col("node").alias("v"), F.col("c").alias("cv"))
+    share = cut(along.where("u <> source").join(of_u, ["source", "u"]).join(of_v, ["source", "v"]).select("source", "u", "v", (F.col("cu") / F.col("cv")).alias("share")))
+    level = cut(counts.where("node <> source").select("source", "node", F.lit(1.0).alias("e")))
+    out = level.where(F.lit(False)).select("node", "e")
+    while not level.isEmpty():
+        level = cut(level.withColumnRenamed("node", "v").join(share, ["source", "v"]).groupBy("source", F.col("u").alias("node")).agg(F.sum(F.col("e") * F.col("share")).alias("e")))
+        out = out.unionByName(level.groupBy("node").agg(F.sum("e").alias("e")))
+    return out
 
 
 def communities(links: DataFrame) -> DataFrame:

@@ -145,11 +145,11 @@ SELECT a, c, count(*) AS bridges, CAST(sum(CASE WHEN k <= 5 THEN s END) AS BIGIN
 _PAGERANK_STEPS = 5
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(n: int = _PAGERANK_STEPS) -> str:
     steps = [W + EDGE_ROWS, "outw AS (SELECT s, sum(weight) AS total FROM nbr GROUP BY s)", "moves AS (SELECT nbr.s, nbr.t, weight / total AS p FROM nbr JOIN outw USING (s))", "r0 AS (SELECT s AS node, 1.0::DOUBLE / (SELECT count(*) FROM outw) AS rank FROM outw)"]
-    for i in range(_PAGERANK_STEPS):
+    for i in range(n):
         steps.append(f"r{i + 1} AS (SELECT t AS node, 0.15::DOUBLE / (SELECT count(*) FROM outw) + 0.85::DOUBLE * sum(p * rank) AS rank FROM moves JOIN r{i} ON s = node GROUP BY t)")
-    return ", ".join(steps) + f" SELECT node, round(rank, 6) AS rank FROM r{_PAGERANK_STEPS}"
+    return ", ".join(steps) + f" SELECT node, round(rank, 6) AS rank FROM r{n}"
 
 
 _ISIN = "direction IN ('increase', 'decrease', 'no_change')"
@@ -227,8 +227,8 @@ QUERIES = {
         W.replace("JOIN customer ON o_custkey = c_custkey", "JOIN customer ON o_custkey = c_custkey WHERE coalesce(year(o_orderdate), 0) BETWEEN 1996 AND 1997") + EDGE_ROWS + " SELECT src, rel, dst, papers FROM edges",
     ),
     "graph_pagerank": (lambda s, d: G.pagerank(_links(s, d), iterations=_PAGERANK_STEPS).select("node", F.round("rank", 6).alias("rank")), _pagerank_sql()),
-    # the SQL of graph_pagerank is unrolled and fixes five steps; the whole job has no SQL
-    "graph_pagerank_converged": (lambda s, d: G.pagerank(cut(_links(s, d))).select("node", F.round("rank", 6).alias("rank")), None),
+    # the SQL of graph_pagerank fixes five steps; this is the whole job, every step of it unrolled in SQL
+    "graph_pagerank_converged": (lambda s, d: G.pagerank(cut(_links(s, d))).select("node", F.round("rank", 6).alias("rank")), _pagerank_sql(100)),
     "graph_within": (
         lambda s, d: G.within(_links(s, d).where("weight >= 40"), ["condition:Brand#11"], 2),
         W + EDGE_ROWS + """, n2 AS (SELECT * FROM nbr WHERE weight >= 40), d1 AS (SELECT DISTINCT t AS node FROM n2 WHERE s = 'condition:Brand#11'), d2 AS (SELECT DISTINCT t AS node FROM n2 WHERE s IN (SELECT node FROM d1))
@@ -250,7 +250,7 @@ QUERIES = {
         lambda s, d: G.round_robin(G.nodes(claims(s, d), ("condition", "outcome", "geometry")), 20),
         W + ", m AS (" + " UNION ALL ".join(f"SELECT '{r}:' || {r} AS node, '{r}' AS kind, paper_id FROM claims" for r in ("condition", "outcome", "geometry")) + "), n AS (SELECT node, kind, count(DISTINCT paper_id) AS papers FROM m GROUP BY ALL) SELECT node, kind, row_number() OVER (PARTITION BY kind ORDER BY papers DESC, node) AS turn, papers FROM n ORDER BY turn, papers DESC, node LIMIT 20",
     ),
-    "graph_betweenness": (lambda s, d: G.betweenness(_links(s, d)).select("node", F.round("betweenness", 6).alias("betweenness")), None),
+    "graph_betweenness": (lambda s, d: G.betweenness(cut(_links(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),
     "graph_communities": (lambda s, d: G.communities(_links(s, d)), None),
     "risk_evidence": (lambda s, d: _found(s, d), W + RISK_SQL + " SELECT * FROM found"),
     "risk_countermeasures": (

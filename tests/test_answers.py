@@ -172,7 +172,7 @@ def test_groups_are_listed_contradictory_first(spark):
 
 #: Queries without SQL, and the tests that hold them against plain versions.
 TESTED = {
-    "graph_pagerank_converged": "test_operators.py: test_pagerank_converges_by_default", "graph_betweenness": "test_betweenness_of_the_claims_graph",
+    "graph_betweenness": "test_betweenness_of_the_claims_graph",
     "graph_communities": "test_operators.py: test_communities_settle_or_take_the_least_of_a_cycle", "chunks": "test_chunks_in_the_row_equal_chunks_by_sections",
     "findings_extract": "test_findings_and_quotes", "quote_guard": "test_findings_and_quotes", "near_duplicate_reports": "test_operators.py: test_copies_and_chains_are_settled_like_the_greedy_rule",
     "answer_selection": "test_sentences_are_selected_greedily",

@@ -63,6 +63,8 @@ def test_paths_are_simple_and_betweenness(spark):
     assert got == ["a > c > d", "a > b > c > d"]
     between = {r["node"]: r["betweenness"] for r in graph.betweenness(links).collect()}
     assert abs(between["c"] - 2 / 3) < 1e-9 and between["a"] == 0
+    in_blocks = {r["node"]: r["betweenness"] for r in graph.betweenness(links, sources_per_block=1).collect()}
+    assert all(abs(in_blocks[k] - between[k]) < 1e-12 for k in between) and graph.betweenness(links.limit(0)).count() == 0
     rank = {r["node"]: r["rank"] for r in graph.pagerank(links, iterations=30).collect()}
     assert abs(sum(rank.values()) - 1) < 1e-6 and max(rank, key=rank.get) == "c"
 
