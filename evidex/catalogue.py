@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.plans import card_queries, corpus_queries, evidence_queries, understanding_queries
+from evidex.plans import card_queries, corpus_queries, evidence_queries, study_queries, understanding_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {**evidence_queries.QUERIES, **card_queries.QUERIES, **corpus_queries.QUERIES, **understanding_queries.QUERIES}
+    return {**evidence_queries.QUERIES, **card_queries.QUERIES, **corpus_queries.QUERIES, **understanding_queries.QUERIES, **study_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

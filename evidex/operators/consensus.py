@@ -93,3 +93,20 @@ def takeaways(voted: DataFrame, topic: str = "geometry", least: int = 5, keys=KE
     best = Window.partitionBy(topic, "status").orderBy(F.desc("n_papers"), "id")
     listed = ranked.withColumn("rank", F.row_number().over(best)).where("(status = 'consensus' and rank <= 3) or rank <= 2")
     return listed.select(topic, "status", "rank", "id", "majority", "n_papers", F.floor(F.round(F.col("agreement") * 100, 4)).cast("long").alias("percent"))
+
+
+def side_rows(voted: DataFrame, keys=KEYS, least: int = 2) -> DataFrame:
+    """(id, direction, paper_id, study_type, fuel, seconds, year): the votes behind each side of groups of ``least`` reports or more, a row each."""
+    big = voted.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    held = voted.join(big, [voted[k].eqNullSafe(big[k]) for k in keys], "left_semi")
+    return held.select(group_id(keys).alias("id"), "direction", "paper_id", "study_type", "fuel", "seconds", "year")
+
+
+def gap_items(topic: str, bias: DataFrame, timed: DataFrame, least_seconds: float = 3600.0) -> DataFrame:
+    """(topic, gap, value): what to say of a topic besides its groups: a group studied too rarely, or no duration of an hour.
+
+    ``bias`` is :func:`coverage.group_bias`, ``timed`` is :func:`coverage.duration_gap`.
+    """
+    slight = bias.where("flagged").select(topic, F.lit("bias").alias("gap"), F.floor(F.round(F.col("share") * 100, 4)).cast("double").alias("value"))
+    short = timed.where(F.col("longest") < least_seconds).select(topic, F.lit("duration").alias("gap"), F.col("longest").cast("double").alias("value"))
+    return slight.unionByName(short.join(bias.select(topic), topic, "left_semi"))

@@ -192,3 +192,37 @@ def communities(links: DataFrame) -> DataFrame:
     for state in cycle[1:]:
         every = every.unionByName(state)
     return every.groupBy("node").agg(F.min("label").alias("label"))
+
+
+def context_edges(claims: DataFrame) -> DataFrame:
+    """(src, rel, dst, papers, findings): ``implicated_in`` for each of a claim's species, ``hosted`` from its platform to its first fuel.
+
+    These tell no direction.  ``claims`` has (paper_id, outcome, species array, platform, fuels array); nulls, empty
+    arrays and pairs of the same concept make no edge.
+    """
+    concept = lambda role, c: F.when(c.isNotNull(), F.concat(F.lit(f"{role}:"), c))
+    edge = lambda rel, a, b: F.struct(F.lit(rel).alias("rel"), a.alias("src"), b.alias("dst"))
+    outcome = concept("outcome", F.col("outcome"))
+    acting = F.transform(F.coalesce("species", F.array().cast("array<string>")), lambda x: edge("implicated_in", concept("species", x), outcome))
+    made = F.concat(acting, F.array(edge("hosted", concept("platform", F.col("platform")), concept("fuel", F.get("fuels", F.lit(0))))))
+    each = claims.select("paper_id", F.explode(made).alias("x")).select("paper_id", "x.*").where("src is not null and dst is not null and src <> dst")
+    return each.groupBy("src", "rel", "dst").agg(F.count_distinct("paper_id").alias("papers"), F.count("*").alias("findings"))
+
+
+def subgraph(edge_table: DataFrame, kinds: Sequence[str] = (), nodes: Sequence[str] = (), least: int = 2, focus: str | None = None, depth: int = 1, limit: int = 160) -> DataFrame:
+    """Edges to show: both ends of the kinds (or among the nodes) asked for, ``least`` reports, within ``depth`` of a focus; a top list of twice ``limit``.
+
+    Explicit ``nodes`` make ``kinds`` irrelevant.  Concepts are named ``kind:value``.
+    """
+    kept = edge_table.where(F.col("papers") >= least)
+    for end in ("src", "dst"):
+        if nodes:
+            kept = kept.where(F.col(end).isin(*nodes))
+        elif kinds:
+            kept = kept.where(F.substring_index(end, ":", 1).isin(*kinds))
+    if focus:
+        pairs = kept.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        near = within(pairs, [focus], max(depth, 1)).select("node")
+        for end in ("src", "dst"):
+            kept = kept.join(near.withColumnRenamed("node", end), end, "left_semi")
+    return kept.orderBy(F.desc("papers"), "src", "rel", "dst").limit(2 * limit)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.operators.extract import numbers
 from evidex.operators.retrieval import in_blocks
 
 #: Kilopascals per unit.
@@ -90,3 +91,88 @@ def training_subset(experiments: DataFrame, conditions: Sequence[str], least: in
     fit = F.coalesce(F.col("measured"), F.lit(False)) | F.coalesce(F.col("condition").isin(*conditions), F.lit(False)) | F.coalesce(F.abs(F.col("oxygen") - 21) > 0.5, F.lit(False))
     enough = experiments.where(fit).limit(least).count() >= least
     return experiments.where(fit) if enough else experiments
+
+
+def first_measured(texts: Sequence[Column], pattern: str, low: float, high: float) -> Column:
+    """The first value within bounds in the texts, taken in turn; null if none is."""
+    return F.get(numbers(F.concat_ws(" ", *texts), pattern, low, high), F.lit(0))
+
+
+#: Patterns of stated atmospheres: per cent of oxygen, and a number with its unit of pressure.
+OXYGEN = r"(\d+(?:\.\d+)?)\s*%\s*(?:O2|oxygen)"
+PRESSURE = r"(\d+(?:\.\d+)?\s*(?:kPa|psi|atm|bar))\b"
+
+
+def stated_kpa(text: Column, low: float = 5.0, high: float = 2000.0) -> Column:
+    """The first pressure of 5 to 2000 kPa that a text states, in kPa."""
+    in_kpa = lambda m: to_kpa(F.regexp_extract(m, r"^(\d+(?:\.\d+)?)", 1).cast("double"), F.regexp_extract(m, "([A-Za-z]+)$", 1))
+    found = F.transform(F.regexp_extract_all(text, F.lit(PRESSURE), F.lit(1)), in_kpa)
+    return F.get(F.filter(found, lambda v: v.between(low, high)), F.lit(0))
+
+
+def regime_of(outcome: Column, quote: Column, by_outcome: Mapping[str, str]) -> Column:
+    """The quote's regime, else that of the outcome; null for outcomes that tell of no spread."""
+    silent = F.lit(None).cast("string")
+    for k, v in by_outcome.items():
+        silent = F.when(outcome == k, v).otherwise(silent)
+    return F.when(outcome.isin(*by_outcome), F.coalesce(regime(quote), silent))
+
+
+def experiment_rows(findings: DataFrame, papers: DataFrame, by_outcome: Mapping[str, str], typical: Mapping[str, tuple[float, float, float]], usual: tuple[float, float, float] = (21.0, 101.3, 5.0)) -> DataFrame:
+    """One row per finding that tells a regime: oxygen and pressure as stated in the report's atmosphere, the quote or
+    the abstract, else typical of the condition; flow by condition, at least 8 in a moving flow, 0 in a still one.
+
+    ``findings`` has (finding, paper, condition, outcome, geometry, fuel, quote), ``papers`` (paper, atmosphere, abstract).
+    """
+    met = findings.join(papers, "paper").withColumn("regime", regime_of(F.col("outcome"), F.col("quote"), by_outcome)).where("regime is not null")
+    said = [F.coalesce(c, F.lit("")) for c in ("atmosphere", "quote", "abstract")]
+    oxygen, pressure = first_measured(said, OXYGEN, 10, 100), stated_kpa(F.concat_ws(" ", *said))
+
+    def typically(k: int) -> Column:
+        out = F.lit(usual[k])
+        for condition, values in typical.items():
+            out = F.when(F.col("condition") == condition, values[k]).otherwise(out)
+        return out
+
+    moving, still = F.col("geometry").rlike("opposed|concurrent"), F.col("geometry").rlike("quiescent|candle")
+    flow = F.when(moving, F.greatest(typically(2), F.lit(8.0))).when(still, 0.0).otherwise(typically(2))
+    source = lambda c: F.when(c.isNotNull(), "measured").otherwise("imputed")
+    return met.select(
+        "finding", "paper", "condition", "outcome", "fuel", "regime", F.round(F.coalesce(oxygen, typically(0)), 3).alias("oxygen"), F.round(F.coalesce(pressure, typically(1)), 3).alias("pressure"),
+        F.round(flow, 3).alias("flow"), source(oxygen).alias("oxygen_source"), source(pressure).alias("pressure_source"),
+    )
+
+
+def scaled(rows: DataFrame, column: str = "v") -> DataFrame:
+    """``rows`` with each component of a vector column divided by its standard deviation over all rows; a constant component stays as it is."""
+    each = rows.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.stddev_pop(F.col("x").cast("double")).alias("s"))
+    sizes = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: F.when(p["s"] > 0, p["s"]).otherwise(1.0)).alias("_sd"))
+    # one row of as many numbers as a vector has components
+    return rows.crossJoin(F.broadcast(sizes)).withColumn(column, F.zip_with(column, "_sd", lambda x, s: x.cast("double") / s)).drop("_sd")
+
+
+def voted_classes(votes: DataFrame) -> DataFrame:
+    """(query, predicted, share): the class of the greatest share in :func:`knn_votes`, ties to the least."""
+    return votes.groupBy("query").agg(F.min(F.struct((-F.col("share")).alias("s"), "label")).alias("m")).select("query", F.col("m.label").alias("predicted"), (-F.col("m.s")).alias("share"))
+
+
+def confusion(told: DataFrame) -> DataFrame:
+    """(label, predicted, n) of rows with both."""
+    return told.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+
+
+def folds(rows: DataFrame, label: str, key: str, n: int = 5) -> DataFrame:
+    """Adds ``fold``: the rows of each class dealt in turn, in the order of a hash of their key."""
+    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
+    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % n).cast("int"))
+
+
+def cross_validated(rows: DataFrame, features: Sequence[str], label: str, key: str, classes: int, n: int = 5, trees: int = 20) -> DataFrame:
+    """(label, predicted, n): each fold predicted by boosted forests of the others; the folds are stratified."""
+    dealt = folds(rows, label, key, n)
+    told = None
+    for k in range(n):
+        model = fit_boosted(dealt.where(F.col("fold") != k), features, label, classes, trees)
+        part = model.transform(dealt.where(F.col("fold") == k)).select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("predicted"))
+        told = part if told is None else told.unionByName(part)
+    return confusion(told)

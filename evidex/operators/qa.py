@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.functions.formatting import mentions
+from evidex.operators.extract import matcher, tags
 from evidex.operators.retrieval import coverage, tokens
+from evidex.operators.understanding import query_terms
 
 FOLLOW_UP = r"^(and|what about|how about|why|it|they|that|those|this)\b"
 
 
-def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """User turns in order, each joined to the one before where it is short or refers back."""
+def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", by_type: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """User turns in order, each joined to the one before where it is short or refers back.
+
+    With ``by_type``, entities of the new turn take the place of others of their types in the one before, where there are such.
+    """
     before = F.lag(text).over(Window.partitionBy(conv).orderBy(turn))
     short = F.size(tokens(F.col(text))) <= 4
     asks = turns.where("role = 'user'").withColumn("before", before)
     needs = F.col("before").isNotNull() & (F.lower(text).rlike(FOLLOW_UP) | short)
+    if by_type:
+        put = swapped(asks.withColumn("_needs", needs), "before", text, by_type, "_put")
+        return put.select(conv, turn, F.when(F.col("_needs"), F.coalesce(F.col("_put"), F.concat_ws(" ", "before", text))).otherwise(F.col(text)).alias("question"), F.coalesce("_needs", F.lit(False)).alias("rewritten"))
     return asks.select(conv, turn, F.when(needs, F.concat_ws(" ", "before", text)).otherwise(F.col(text)).alias("question"), F.coalesce(needs, F.lit(False)).alias("rewritten"))
 
 
@@ -135,3 +146,54 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), rate(F.when(F.col("answerable"), (~F.col("refused")).cast("int"))).alias("answer_rate"), rate(F.when(~F.col("answerable"), F.col("refused").cast("int"))).alias("refusal_accuracy"),
         F.round(1 - F.sum("invalid") / F.nullif(cited, F.lit(0)), 3).alias("citation_validity"), rate(F.when(F.col("answerable"), F.col("support"))).alias("faithfulness"), F.round(F.median("latency"), 3).alias("latency_p50"),
     )
+
+
+def swapped(rows: DataFrame, base: str, new: str, by_type: Mapping[str, Mapping[str, str]], into: str = "swapped") -> DataFrame:
+    """Adds ``into``: ``base`` with the entities that ``new`` names in place of others of their types; null if no type has both.
+
+    Type by type: the most mentioned entity of ``new`` replaces the first mention of the most mentioned other one.
+    """
+    out = rows.withColumn("_out", F.col(base)).withColumn("_hit", F.lit(False))
+    for vocabulary in by_type.values():
+        wanted = F.get(tags(F.col(new), vocabulary, 1, by_count=True), F.lit(0))
+        out = out.withColumn("_new", wanted).withColumn("_old", F.get(F.filter(tags(F.col("_out"), vocabulary, by_count=True), lambda e: e != F.col("_new")), F.lit(0)))
+        at, size, word = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string")
+        for k, p in vocabulary.items():
+            at = F.when(F.col("_old") == k, F.regexp_instr("_out", F.lit(matcher(p)))).otherwise(at)
+            size = F.when(F.col("_old") == k, F.length(F.regexp_extract("_out", matcher(p), 0))).otherwise(size)
+            word = F.when(F.col("_new") == k, F.regexp_extract(new, matcher(p), 0)).otherwise(word)
+        out = out.withColumn("_at", at).withColumn("_size", size).withColumn("_word", word)
+        changed = F.concat(F.substr("_out", F.lit(1), F.col("_at") - 1), F.col("_word"), F.substr("_out", F.col("_at") + F.col("_size")))
+        out = out.withColumn("_hit", F.col("_hit") | F.col("_old").isNotNull()).withColumn("_out", F.when(F.col("_old").isNotNull(), changed).otherwise(F.col("_out")))
+    return out.withColumn(into, F.when(F.col("_hit"), F.col("_out"))).select(*rows.columns, into)
+
+
+def borrowed(rows: DataFrame, by_type: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """Sides (a, b) of a comparison: the one of fewer terms takes the other's words around its own entity, where they can be swapped."""
+    terms = lambda c: F.size(query_terms(F.col(c)))
+    both = swapped(swapped(rows, "a", "b", by_type, "_b"), "b", "a", by_type, "_a")
+    told = both.withColumn("_na", terms("a")).withColumn("_nb", terms("b"))
+    a, b = F.when(F.col("_na") < F.col("_nb"), F.coalesce("_a", "a")).otherwise(F.col("a")), F.when(F.col("_nb") < F.col("_na"), F.coalesce("_b", "b")).otherwise(F.col("b"))
+    return told.select(*(c for c in rows.columns if c not in ("a", "b")), a.alias("a"), b.alias("b"))
+
+
+#: Opening line of an answer by reader.
+OPENINGS = {"manager": "Bottom line:", "student": "What scientists found:", "architect": "What this means for planning:", "scientist": ""}
+STUDY_NOTE = "Note: these studies are ground, drop or model results, not long orbital tests."
+
+
+def rendered(chosen: DataFrame, persona: str, studies: DataFrame, glossary: Sequence[str] = ()) -> DataFrame:
+    """(query, answer): the sentences of :func:`selected` as text for one kind of reader, each with its passage's number.
+
+    Managers get four sentences, students three and the glossary's words that occur; scientists get running text,
+    others a list.  ``studies`` (query, study_type) are those of the passages; where none flew, a note says so.
+    """
+    most = {"manager": 4, "student": 3}.get(persona, 6)
+    mark, gap = ("", " ") if persona == "scientist" else ("- ", "\n")
+    item = F.struct("rank", F.concat(F.lit(mark), F.col("sentence"), F.lit(" ["), F.col("n").cast("string"), F.lit("]")).alias("s"))
+    told = chosen.where(F.col("rank") <= most).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), gap).alias("body"))
+    flew = studies.groupBy("query").agg(F.min((~F.col("study_type").isin("flight", "both", "review")).cast("int")).alias("grounded"))
+    words = F.array_join(mentions(F.col("body"), list(glossary)), ", ") if glossary and persona == "student" else F.lit("")
+    opening, note = F.lit(OPENINGS[persona]), F.when(F.col("grounded") == 1, STUDY_NOTE)
+    parts = F.array_compact(F.array(F.when(opening != "", opening), F.col("body"), F.when(words != "", F.concat(F.lit("Words to know: "), words)), note))
+    return told.join(flew, "query", "left").select("query", F.array_join(parts, "\n").alias("answer"))

@@ -68,3 +68,16 @@ def export(rows: DataFrame, dataset: str, fmt: str, path: str) -> None:
 
 def append_log(records: DataFrame, path: str) -> None:
     records.withColumn("ts", F.current_timestamp()).write.mode("append").json(path)
+
+
+def votes_flattened(groups: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("condition", "outcome")) -> DataFrame:
+    """(id, fields, status, n_papers, increase, decrease, no_change, mixed) as text: the map ``votes`` in four columns, zero where it says nothing.
+
+    ``labels`` (id, label), a short list, names the ids in ``fields``; an id without a label stays.
+    """
+    out = groups
+    for f in fields:
+        named = labels.select(F.col("id").alias(f), F.col("label").alias(f"_{f}"))
+        out = out.join(named, f, "left").withColumn(f, F.coalesce(f"_{f}", f)).drop(f"_{f}")
+    sides = (F.coalesce(F.try_element_at("votes", F.lit(k)), F.lit(0)).cast("string").alias(k) for k in ("increase", "decrease", "no_change", "mixed"))
+    return out.select("id", *fields, "status", F.col("n_papers").cast("string").alias("n_papers"), *sides)

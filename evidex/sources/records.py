@@ -81,3 +81,20 @@ def audit(rows: DataFrame, year: str, kind: str) -> DataFrame:
         )
     ).alias("x")
     return rows.select(each).select("x.*").where("key is not null").groupBy("measure", "key").agg(F.count("*").alias("n"))
+
+
+def audit_measures(rows: DataFrame, texts: DataFrame, short: int = 200) -> DataFrame:
+    """(measure, n): records, links, abstracts, years and texts that are there or missing.
+
+    ``rows`` has (id, year, abstract, pdf), ``texts`` (id, text); empty fields count as missing.
+    """
+    there = lambda c: F.coalesce(F.length(F.col(c).cast("string")) > 0, F.lit(False))
+    size = F.length(F.trim("text"))
+    one = rows.agg(
+        F.count("*").alias("records"), F.count_if(there("pdf")).alias("with_pdf"), F.count_if(~there("pdf")).alias("without_pdf"), F.count_if(~there("pdf") & ~there("abstract")).alias("without_pdf_and_abstract"),
+        F.count_if(~there("abstract")).alias("without_abstract"), F.count_if(~there("year")).alias("without_year"),
+    )
+    two = texts.agg(F.count("text").alias("texts"), F.count_if(size < short).alias("short_texts"), F.coalesce(F.sum(size), F.lit(0)).alias("text_chars"))
+    pending_texts = rows.where(there("pdf")).join(texts.where("text is not null"), "id", "left_anti").agg(F.count("*").alias("not_extracted"))
+    each = lambda one_row: one_row.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in one_row.columns)), F.array(*one_row.columns))).alias("measure", "n"))
+    return each(one).unionByName(each(two)).unionByName(each(pending_texts))

@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from evidex import catalogue
-from evidex.operators import cards, dedupe, extract, graph, qa, text
+from evidex.operators import cards, dedupe, extract, graph, predict, qa, text
 from evidex.plans import card_queries, corpus_queries, understanding_queries
 from evidex.sources import export, records
 
@@ -170,12 +170,64 @@ def test_groups_are_listed_contradictory_first(spark):
     assert [r["id"] for r in cards.listed(table, ("consensus", "emerging"), "D").collect()] == ["d"]
 
 
+def test_answers_for_readers(spark):
+    chosen = defaultdict(list)
+    for r in catalogue.queries()["answer_selection"](spark, SF).collect():
+        chosen[r["query"]].append((r["rank"], r["n"], r["sentence"]))
+    got = {r["query"]: r["answer"] for r in catalogue.queries()["answers_for_readers"](spark, SF).collect()}
+    assert set(got) == set(chosen)
+    for query, rows in chosen.items():
+        body = "\n".join(f"- {s} [{n}]" for _, n, s in sorted(rows)[:3])
+        places = sorted((m.start(), t) for t in ("the", "tion", "them") if (m := re.search(rf"\b{t}s?\b", body, re.I | re.A)))
+        parts = ["What scientists found:", body] + ([f"Words to know: {', '.join(t for _, t in places)}"] if places else [])
+        # of a question's ten documents 3, 23, 43 ... flew
+        assert got[query] == "\n".join(parts + ([] if query % 2 == 0 else [qa.STUDY_NOTE])), query
+    said = spark.createDataFrame([(1, 1, 2, "It burns."), (1, 2, 5, "It stops.")], "query long, rank int, n int, sentence string")
+    flown = spark.createDataFrame([(1, "flight"), (1, "ground")], "query long, study_type string")
+    assert [r["answer"] for r in qa.rendered(said, "scientist", flown).collect()] == ["It burns. [2] It stops. [5]"]
+    assert [r["answer"] for r in qa.rendered(said, "manager", flown).collect()] == ["Bottom line:\n- It burns. [2]\n- It stops. [5]"]
+    assert qa.rendered(said.limit(0), "architect", flown).count() == 0
+
+
+KINDS = {"fuel": {"pmma": "pmma|acrylic", "cotton": "cotton"}, "outcome": {"spread": "flame spread"}}
+
+
+def test_entities_are_swapped_and_borrowed(spark):
+    rows = [("flame spread over PMMA and pmma", "what about cotton?"), ("flame spread", "cotton"), ("over cotton", "cotton"), (None, "cotton"), ("", "")]
+    got = qa.swapped(spark.createDataFrame(rows, "a string, b string"), "a", "b", KINDS).collect()
+    assert [r["swapped"] for r in got] == ["flame spread over cotton and pmma", None, None, None, None]
+    sides = spark.createDataFrame([("flame spread over PMMA", "cotton"), ("cotton", "flame spread over acrylic sheets"), ("steel", "iron")], "a string, b string")
+    assert [tuple(r) for r in qa.borrowed(sides, KINDS).collect()] == [("flame spread over PMMA", "flame spread over cotton"), ("flame spread over cotton sheets", "flame spread over acrylic sheets"), ("steel", "iron")]
+    turns = spark.createDataFrame([(1, 0, "user", "How fast is flame spread over PMMA in still air"), (1, 1, "user", "what about cotton?"), (1, 2, "user", "and why so?")], "conv_id long, turn int, role string, text string")
+    asked = [r["question"] for r in qa.follow_ups(turns, by_type=KINDS).orderBy("turn").collect()]
+    assert asked == ["How fast is flame spread over PMMA in still air", "How fast is flame spread over cotton in still air", "what about cotton? and why so?"]
+
+
+def test_boosted_classes_over_folds(spark):
+    rows = spark.createDataFrame([(i, i % 3, float(i % 3) + (i % 7) / 10, float(i % 5)) for i in range(90)], "id long, label int, x double, y double")
+    told = predict.cross_validated(rows, ["x", "y"], "label", "id", 3, n=3, trees=3).collect()
+    assert sum(r["n"] for r in told) == 90 and sum(r["n"] for r in told if r["label"] == r["predicted"]) >= 85
+    sizes = predict.folds(rows, "label", "id", 4).groupBy("label", "fold").count().collect()
+    assert len(sizes) == 12 and {r["count"] for r in sizes} == {7, 8}
+
+
+def test_context_edges_and_subgraphs_of_odd_claims(spark):
+    odd = spark.createDataFrame([(1, "o", ["s", None], "p", ["f"]), (1, "o", ["s"], None, []), (2, None, None, "p", None)], "paper_id long, outcome string, species array<string>, platform string, fuels array<string>")
+    got = {tuple(r) for r in graph.context_edges(odd).collect()}
+    assert got == {("species:s", "implicated_in", "outcome:o", 1, 2), ("platform:p", "hosted", "fuel:f", 1, 1)}
+    assert graph.context_edges(odd.limit(0)).count() == 0
+    edges = spark.createDataFrame([("a:1", "r", "b:1", 5), ("b:1", "r", "c:1", 3), ("c:1", "r", "d:1", 9), ("a:1", "r", "d:2", 1)], "src string, rel string, dst string, papers long")
+    ends = lambda **how: [(r["src"], r["dst"]) for r in graph.subgraph(edges, **how).collect()]
+    assert ends(focus="a:1") == [("a:1", "b:1")] and ends(focus="a:1", depth=2) == [("a:1", "b:1"), ("b:1", "c:1")]
+    assert ends(kinds=("a", "b"), nodes=("b:1", "c:1")) == [("b:1", "c:1")] and ends(kinds=("c", "d")) == [("c:1", "d:1")] and ends(least=6, focus="zz:9") == []
+
+
 #: Queries without SQL, and the tests that hold them against plain versions.
 TESTED = {
     "graph_betweenness": "test_betweenness_of_the_claims_graph",
     "graph_communities": "test_operators.py: test_communities_settle_or_take_the_least_of_a_cycle", "chunks": "test_chunks_in_the_row_equal_chunks_by_sections",
     "findings_extract": "test_findings_and_quotes", "quote_guard": "test_findings_and_quotes", "near_duplicate_reports": "test_operators.py: test_copies_and_chains_are_settled_like_the_greedy_rule",
-    "answer_selection": "test_sentences_are_selected_greedily",
+    "answer_selection": "test_sentences_are_selected_greedily", "answers_for_readers": "test_answers_for_readers",
 }
 
 
