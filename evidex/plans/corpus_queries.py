@@ -108,6 +108,21 @@ def _gate_asked(s, d):
     return qa.refuses(covered.join(ranked, ["query", "doc"]))
 
 
+def _stages(s, d, ask=_stated):
+    """Means of the ranking metrics for each way of searching, over the queries that have terms and a vector."""
+    lexical, terms = cut(_lexical(s, d, ask)), _terms(s, d, ask)
+    dense = _dense(s, d).join(terms, "query", "left_semi")
+    fused = cut(R.fuse(lexical, dense))
+    lists = {"bm25": lexical, "dense": dense, "hybrid": R.ranked(fused, 10), "rerank": R.ranked(R.rerank(fused, _docs(s, d), terms).select("query", "doc", "score"), 10)}
+    good = read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
+    told = None
+    for mode, hits in lists.items():
+        top = hits.where("rank <= 10").select("query", "doc", "rank")
+        part = evaluate.rank_metrics(top, top.select("query", "doc").join(good, "doc", "left_semi")).withColumn("mode", F.lit(mode))
+        told = part if told is None else told.unionByName(part)
+    return evaluate.baselines(told)
+
+
 #: The searches by documents: the SQL of the stated ones fixes their eight terms, so these have names of their own, and no SQL.
 BY_DOCUMENT = {
     "bm25_topk": lambda s, d: _lexical(s, d, _asked),
@@ -118,6 +133,7 @@ BY_DOCUMENT = {
     "rank_metrics": _metrics_asked,
     "mode_baselines": lambda s, d: evaluate.baselines(_metrics_asked(s, d).withColumn("mode", F.lit("bm25"))),
     "refusal_gate": _gate_asked,
+    "stage_baselines": lambda s, d: _stages(s, d, _asked),
 }
 
 
@@ -239,6 +255,16 @@ QUERIES = {
         lambda s, d: evaluate.baselines(_metrics(s, d).withColumn("mode", F.lit("bm25"))),
         METRICS + " SELECT 'bm25' AS mode, round(avg(hit1), 6) AS hit1, round(avg(hit3), 6) AS hit3, round(avg(hit5), 6) AS hit5, round(avg(hit10), 6) AS hit10, round(avg(rr), 6) AS rr, round(avg(p5), 6) AS p5 FROM m",
     ),
+    "stage_baselines": (
+        _stages,
+        FUSED + """, t AS (SELECT query, list(term) AS terms FROM q GROUP BY query), rr AS (SELECT query, doc, round(score + 0.01::DOUBLE * len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms), 9) AS score FROM fused JOIN t USING (query) JOIN documents ON doc_id = doc),
+        l AS (SELECT 'bm25' AS mode, query, doc, rank FROM lex UNION ALL SELECT 'dense', query, doc, rank FROM den UNION ALL SELECT 'hybrid', query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM fused
+          UNION ALL SELECT 'rerank', query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM rr),
+        j AS (SELECT mode, query, rank, CASE WHEN doc IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good FROM l WHERE rank <= 10 AND query IN (SELECT query FROM q)),
+        m AS (SELECT mode, query, max(CASE WHEN rank <= 1 THEN good ELSE 0 END) AS hit1, max(CASE WHEN rank <= 3 THEN good ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN good ELSE 0 END) AS hit5, max(good) AS hit10,
+          round(coalesce(1.0::DOUBLE / min(CASE WHEN good = 1 THEN rank END), 0), 6) AS rr, round(sum(CASE WHEN rank <= 5 THEN good ELSE 0 END) / 5, 6) AS p5 FROM j GROUP BY ALL)
+        SELECT mode, round(avg(hit1), 6) AS hit1, round(avg(hit3), 6) AS hit3, round(avg(hit5), 6) AS hit5, round(avg(hit10), 6) AS hit10, round(avg(rr), 6) AS rr, round(avg(p5), 6) AS p5 FROM m GROUP BY mode""",
+    ),
     "stratified_sample": (
         lambda s, d: evaluate.stratified(_docs(s, d).select("doc_id", "source"), "source", "doc_id", 50),
         "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS turn FROM documents ORDER BY turn, source LIMIT 50",
