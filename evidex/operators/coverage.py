@@ -87,7 +87,7 @@ def growth(series: DataFrame, least: int = 8) -> DataFrame:
     """Reports in the later half of the years, as a share of all, for labels with enough of them."""
     years = series.select("year").distinct()
     half = years.select("year", (F.ntile(2).over(Window.orderBy(F.desc("year")))).alias("half"))
-    total = series.join(F.broadcast(half), "year").groupBy("label").agg(F.sum("papers").alias("total"), F.sum(F.when(F.col("half") == 1, F.col("papers")).otherwise(0)).alias("late"))
+    total = series.join(half, "year").groupBy("label").agg(F.sum("papers").alias("total"), F.sum(F.when(F.col("half") == 1, F.col("papers")).otherwise(0)).alias("late"))
     return total.where(F.col("total") >= least).select("label", "total", "late", F.round(F.col("late") / F.col("total"), 6).alias("late_share"))
 
 
