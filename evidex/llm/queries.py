@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import ann, bytebpe, langid, packing, quality_model, rules, secrets, simhash, tokenfile, urlfilter
+from evidex.llm import ann, bytebpe, decontaminate, langid, lexical, packing, quality_model, rules, secrets, simhash, tokenfile, urlfilter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_packing": packing.op8,
         "op9_language_id": langid.op9,
         "op10_quality_rules": rules.op10,
+        "op11_lexical_search": lexical.op11,
+        "op12_decontamination": decontaminate.op12,
+        "op13_whitening": whitening.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlfilter.OP6_SQL}
+    return {"op6_url_filter": urlfilter.OP6_SQL, "op11_lexical_search": lexical.OP11_SQL, "op12_decontamination": decontaminate.OP12_SQL}
