@@ -31,6 +31,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows or terms up to which their tables (at most 32 bytes a row beside a term) are broadcast; beyond, joins are shuffled.
 SMALL = 200_000
+#: Documents up to which the keys (8 bytes each) of those that still may have a match are broadcast, so that only
+#: their postings move; beyond, all postings of the benchmark's terms do.
+KNOWN = 2_000_000
 #: Number of the empty term; the others have numbers from 0 on, given as they are stored.
 END = -1
 #: Words that a term may stand from its place in a proximity match.
@@ -77,7 +80,9 @@ def build(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     vocabulary = stored(vocabulary.union(docs.sparkSession.createDataFrame([("", END)], "word string, term bigint")))
 
     text, key = F.col(text_col).cast("string"), F.col(id_col).cast("bigint")
-    positions = docs.select(key.alias("doc"), F.xxhash64(text, key).alias("mark"), F.posexplode(F.concat(words(text), F.array(F.lit("")))).alias("pos", "word"))
+    # digest and words first: beside posexplode they would be computed again for each word
+    cut = docs.select(key.alias("doc"), F.xxhash64(text, key).alias("mark"), F.concat(words(text), F.array(F.lit(""))).alias("words"))
+    positions = cut.select("doc", "mark", F.posexplode("words").alias("pos", "word"))
     postings = stored(positions.join(small(vocabulary, vocabulary.count()), "word").select("doc", "mark", "term", "pos").sortWithinPartitions("term", "doc", "pos"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("win").orderBy("n", "off")
@@ -111,8 +116,10 @@ def matches(index: Index, slack: int = 0) -> DataFrame:
     alone = begun.where("term2 is null").select("doc", "mark", "win", "len", "begin", F.lit(True).alias("exact")).distinct()
     left = stored(both.unionByName(alone))
 
-    # documents with something left are few: only their postings move
-    meant = postings.join(left.select("doc", "mark").distinct(), ["doc", "mark"], "left_semi")
+    one = F.xxhash64("doc", "mark").alias("_key")
+    known = left.select(one).distinct()
+    known = F.broadcast(known) if known.count() <= KNOWN else known
+    meant = postings.withColumn("_key", one).join(known, "_key", "left_semi")
     others = terms.where("r > 2").select("win", "off", "term")
     rest = left.where("len > 2").join(small(others, n * WINDOW), "win").withColumn("at", nearby(F.col("begin") + F.col("off")))
     rest = rest.select("doc", "mark", "win", "len", "begin", "off", "term", "at.pos", F.col("at.exact").alias("here"), "exact")
