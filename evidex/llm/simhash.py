@@ -16,10 +16,14 @@ soon as everything below is connected already.  Groups hand on a spanning
 forest of their links, never all pairs, and its components are joined across
 groups by rounds of minimum labels over the edges, in Spark.
 
-One fingerprint of 64 bits links few pairs at a shingle similarity of 0.8.  Where a
-similarity is asked for (:func:`similar_groups`), a document has several fingerprints, from
-independent hashes of its shingles; each is indexed as above, and a pair that is near in
-one links if its distance over other fingerprints fits the similarity.
+A fingerprint whose bits are plain majorities tells little of a shingle similarity of 0.8: its
+bits differ in 15 % of places there, and 20 % at 0.67.  Where a similarity is asked for
+(:func:`similar_groups`), shingles vote with weights instead, drawn anew for each bit and so
+unequal that the heaviest decides; the places that differ then are half of what the sets of shingles
+lack in similarity.  A document has several such fingerprints, indexed as above by longer
+blocks; pairs that share a block meet, and the distance over the other fingerprints sorts them
+into surely alike, surely not, and open.  Exact sets of shingles decide the open ones, where
+surely alike pairs don't connect both sides anyway.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any
 others; texts under a shingle's length are one shingle; repeated rows share a
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import bounded_batches, checkpointed, free_prefix, table
+from evidex.llm.common import bounded_batches, checkpointed, free_prefix, stored, table
 
 BITS = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -73,21 +77,23 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return 0 if hashes is None else majority(hashes)
 
 
+def _draws(words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd 32-bit factors, two for each bit of ``words`` fingerprints: one ranks shingles, one takes a bit of the first in rank."""
+    drawn = np.random.default_rng(5).integers(0, 1 << 32, (2, words * BITS), np.uint32) | np.uint32(1)
+    return drawn[0], drawn[1]
+
+
 def sketch(text: str | None, shingle: int, words: int) -> np.ndarray:
-    """``words`` fingerprints of one whole text; the first is :func:`fingerprint`."""
+    """``words`` fingerprints of one whole text, each bit that of the heaviest shingle; zero without words."""
     hashes = shingle_hashes(text, shingle)
     if hashes is None:
         return np.zeros(words, np.uint64)
-    out = np.empty(words, np.uint64)
-    for w in range(words):
-        x = hashes
-        if w:  # the finishing steps of SplitMix64, from another start
-            x = hashes + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
-        out[w] = majority(x)
-    return out
+    rank, take = _draws(words)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    first = np.full(len(rank), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 2048):  # bounded memory for very long texts
+        np.minimum(first, (x[None, at : at + 2048] * rank[:, None]).min(axis=1), out=first)
+    return np.packbits((first * take) >> np.uint32(31) > 0, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -123,10 +129,11 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class _Forest:
-    """Union-find over the positions of a group."""
+    """Union-find over the positions of a group; keeps the pairs that joined two sets."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def labels(self) -> np.ndarray:
         p = self.parent
@@ -145,24 +152,36 @@ class _Forest:
             apart = low != high
             if not apart.any():
                 return
-            np.minimum.at(self.parent, high[apart], low[apart])
-            a, b = a[apart], b[apart]
+            a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+            np.minimum.at(self.parent, high, low)
+            took = np.flatnonzero(self.parent[high] == low)
+            took = took[np.unique(high[took], return_index=True)[1]]
+            self.pairs.append((a[took], b[took]))
 
 
-def forest_of_links(codes: np.ndarray, block_mask: np.uint64, differences: int, checks: np.ndarray | None = None, most: int = 0) -> np.ndarray:
-    """For codes: a label per code; equal labels for codes joined by links that share the block.
+def forest_of_links(codes: np.ndarray, block_mask: np.uint64, differences: int, checks: np.ndarray | None = None, most: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, k): places of codes that are linked and share the block, a spanning forest of all such links.
 
     The codes are already rotated so that the block is on top; block_mask covers it.  With
-    ``checks``, rows of further words, a link also needs these to differ in at most ``most`` bits.
+    ``checks``, rows of further words, a link also needs these to differ in at most ``most[k]`` bits,
+    an ascending list: links of later limits only join what earlier ones leave apart.
     """
     n = len(codes)
     order = np.argsort(gray_rank(codes), kind="stable")
     c = codes[order]
     if checks is not None:
         checks = checks[order]
-    block = c & block_mask
-    forest = _Forest(n)
-    h = np.uint8(differences)
+    forest, limits = _Forest(n), []
+    for limit in most:
+        _connect(c, c & block_mask, forest, np.uint8(differences), checks, limit)
+        limits.append(sum(len(p) for p, _ in forest.pairs))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(p[side] for p in forest.pairs)]) for side in (0, 1))
+    return order[a], order[b], np.searchsorted(limits, np.arange(len(a)), "right")
+
+
+def _connect(c: np.ndarray, block: np.ndarray, forest: _Forest, h: np.uint8, checks: np.ndarray | None, most: int) -> None:
+    """All links among codes in Gray order that share a block."""
+    n = len(c)
     for step in (1, 2, 3):  # neighbours in Gray order first: most links of a dense cluster
         if n > step:
             near = np.flatnonzero((np.bitwise_count(c[step:] ^ c[:-step]) <= h) & (block[step:] == block[:-step]))
@@ -181,9 +200,6 @@ def forest_of_links(codes: np.ndarray, block_mask: np.uint64, differences: int,
             i = np.flatnonzero(inside[:-step] & (np.arange(n - step) + step < run_end[:-step]))
             near = i[np.bitwise_count(c[i] ^ c[i + step]) <= h]
             forest.link(*_fitting(near, near + step, checks, most))
-    out = np.empty(n, np.int64)
-    out[order] = order[forest.labels()]
-    return out
 
 
 def _fitting(a: np.ndarray, b: np.ndarray, checks: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,11 +288,10 @@ def links(distinct: DataFrame, n: int, differences: int = 4, fp_col: str = "fp")
     def forest(groups: pa.Table) -> pa.Table:
         k = groups.column("k")[0].as_py()
         codes = groups.column("code").to_numpy().view(np.uint64)
-        label = forest_of_links(codes, np.uint64(masks[k]), differences)
-        joined = np.flatnonzero(label != np.arange(len(codes)))
+        a, b, _ = forest_of_links(codes, np.uint64(masks[k]), differences)
         turn = np.uint64(cuts[k])
         back = lambda x: (x >> turn) | (x << (np.uint64(BITS) - turn)) if k else x
-        return pa.table({"a": back(codes[joined]).view(np.int64), "b": back(codes[label[joined]]).view(np.int64)})
+        return pa.table({"a": back(codes[a]).view(np.int64), "b": back(codes[b]).view(np.int64)})
 
     return dealt.groupBy("k", "top").applyInArrow(forest, "a bigint, b bigint")
 
@@ -329,103 +344,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
-#: Fingerprints of a document where a similarity is asked for, differing bits by which one of them finds a pair,
-#: and how many others check it.
-WORDS, FOUND, CHECKS = 8, 5, 3
+#: Fingerprints of a document where a similarity is asked for, and blocks of each by which pairs meet.
+WORDS, BLOCKS = 6, 4
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits of sketches at a Jaccard similarity of equally long shingle lists, and half a standard deviation."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * share + 0.5 * np.sqrt(bits * share * (1 - share))))
+def most_bits(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits of sketches at a similarity, and so many standard deviations."""
+    share = (1 - similarity) / 2
+    return int(np.ceil(bits * share + deviations * np.sqrt(bits * share * (1 - share))))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, code): WORDS fingerprints as bytes."""
+    """(id, digest, code): a hash of the text, and WORDS fingerprints as bytes."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t, shingle, WORDS).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(t, shingle, WORDS).astype("<u8").tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["id", "digest", "code"])
 
-    picked = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return picked.mapInArrow(compute, T.StructType([picked.schema["id"], T.StructField("code", T.BinaryType())]))
+    text = docs[text_col].cast("string")
+    picked = bounded_batches(docs).select(docs[id_col].alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return picked.mapInArrow(compute, T.StructType([picked.schema["id"], T.StructField("digest", T.LongType()), T.StructField("code", T.BinaryType())]))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, component_id, root) for every row: groups of texts linked at the similarity, as sketches tell it.
+def met(lowest: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b, sure): links among ``n`` nodes (node, code) whose sketches are alike; sure ones need no more proof.
 
-    A node is the 64-bit digest of a sketch: among 10^9 different ones two meet with a probability of 3 %.
+    Two fingerprints of a pair at the similarity share none of the blocks in less than 1 % of cases at 0.8.
     """
-    marked = checkpointed(sketches(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("code")))
-    lowest = checkpointed(marked.groupBy("node").agg(F.min("id").alias("low"), F.first("code").alias("code")))
-    n, blocks = lowest.count(), FOUND + 1
-    cuts = [BITS * k // blocks for k in range(blocks + 1)]
-    lead = min(min(b - a for a, b in zip(cuts, cuts[1:], strict=False)), max(0, (max(n, 1) // GROUP).bit_length()))
-    most = most_bits(similarity, CHECKS * BITS)
-
-    def turned(words: np.ndarray, k: int) -> np.ndarray:
-        cut = np.uint64(cuts[k])
-        return (words << cut) | (words >> (np.uint64(BITS) - cut)) if k else words
+    width = BITS // BLOCKS
+    lead = min(width, max(0, (max(n, 1) // GROUP).bit_length()))
+    others = (WORDS - 1) * BITS
+    limits = (most_bits(similarity, others, -4.0), most_bits(similarity, others, 2.0))
+    found = most_bits(similarity, BITS - width, 2.5)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
             nodes = batch.column(0).to_numpy().view(np.uint64)
             for w in range(WORDS):
-                # a pair found by one fingerprint is checked by others
-                checks = codes[:, [(w + 1 + i) % WORDS for i in range(CHECKS)]]
-                for k in range(blocks):
-                    word = turned(codes[:, w], k)
+                # a pair that meets by one fingerprint is checked by the others
+                checks = np.delete(codes, w, axis=1)
+                for k in range(BLOCKS):
+                    cut = np.uint64(k * width)
+                    word = (codes[:, w] << cut) | (codes[:, w] >> (np.uint64(BITS) - cut)) if k else codes[:, w]
                     top = word >> np.uint64(BITS - lead) if lead else np.zeros(len(word), np.uint64)
-                    key = top.astype(np.int64) * (WORDS * blocks) + (w * blocks + k)
+                    key = top.astype(np.int64) * (WORDS * BLOCKS) + (w * BLOCKS + k)
                     rows = np.column_stack((word, nodes, checks)).astype("<u8")
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([r.tobytes() for r in rows], pa.binary())], ["key", "entry"])
 
     def forest(group: pa.Table) -> pa.Table:
-        k = group.column("key")[0].as_py() % blocks
-        width = cuts[k + 1] - cuts[k]
         rows = np.frombuffer(b"".join(group.column("entry").to_pylist()), "<u8").reshape(len(group), -1)
         nodes = rows[:, 1].astype(np.uint64).view(np.int64)
-        label = forest_of_links(rows[:, 0].astype(np.uint64), np.uint64(((1 << width) - 1) << (BITS - width)), FOUND, rows[:, 2:], most)
-        joined = np.flatnonzero(label != np.arange(len(nodes)))
-        return pa.table({"a": nodes[joined], "b": nodes[label[joined]]})
+        a, b, k = forest_of_links(rows[:, 0].astype(np.uint64), np.uint64(((1 << width) - 1) << (BITS - width)), found, rows[:, 2:], limits)
+        return pa.table({"a": nodes[a], "b": nodes[b], "sure": k == 0})
 
     dealt = lowest.select("node", "code").mapInArrow(deal, "key bigint, entry binary")
-    edges = dealt.groupBy("key").applyInArrow(forest, "a bigint, b bigint")
-    by_node = _named(lowest.select("node", "low"), components(edges), "node")
-    return marked.join(by_node, "node").select(F.col("id").alias(id_col), "node", "component_id", "root")
+    pairs = dealt.groupBy("key").applyInArrow(forest, "a bigint, b bigint, sure boolean")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
+
+
+def alike(pairs: DataFrame, named: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of ``pairs`` (a, b) of nodes those whose sets of shingles have the similarity.
+
+    ``named`` has a document (id, digest) for each node, ``docs`` (id, digest, text).
+    """
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"" if x is None else np.unique(x).tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both >= similarity * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stored(named.join(nodes, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest")))
+    texts = docs.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+    sets = texts.mapInArrow(collect, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = stored(sets)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, node, component_id, root) for every row: groups of texts linked at the similarity.
+
+    Texts link if their sets of shingles have at least the similarity (of those just at 0.8 some 95 % are met), or
+    if their sketches leave no doubt; texts of equal sketches are one node, named by a 64-bit digest: among
+    10^9 different ones two meet with a probability of 3 %.  Digests of texts tell apart rows of one id.
+    """
+    marked = checkpointed(sketches(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("code")))
+    lowest = checkpointed(marked.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("id", "digest")).alias("one"), F.first("code").alias("code")))
+    pairs = checkpointed(met(lowest, lowest.count(), similarity))
+    near = components(pairs.where("sure"))
+    # open pairs count only where sure ones leave their sides apart; those that hold join the groups of the sure ones
+    side = lambda c: near.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = pairs.where("not sure").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b")).where("root_a <> root_b")
+    apart = checkpointed(apart)
+    texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("digest"), docs[text_col].cast("string").alias("text"))
+    held = alike(apart.select("a", "b"), lowest.select("node", "one.id", "one.digest"), texts, similarity, shingle)
+    joined = components(held.join(apart, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    roots = near.select("node", "root").union(joined.select("node", F.col("node").alias("root"))).distinct()
+    roots = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
+    by_node = _named(lowest.select("node", "low"), roots, "node")
+    return marked.join(by_node, "node").select(F.col("id").alias(id_col), "digest", "node", "component_id", "root")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differences: int = 4, similarity: float | None = None) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest id, then of the smallest fingerprint; all columns of ``docs``.
+    """One row of each near-duplicate group: that of the smallest id, then of the smallest digest of its text; all columns of ``docs``.
 
     Groups are those of :func:`near_duplicates`, or with ``similarity`` those of :func:`similar_groups`.
     Rows without an id are kept only if no row of their group has one, and then one of them.
-    Rows are found again by id and fingerprint, as one id may stand on different texts; of rows
+    Rows are found again by id and digest, as one id may stand on different texts; of rows
     that repeat both one stays.
     """
-    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i")).alias("_k"), F.col(text_col).alias("_t"))
+    k = free_prefix(docs, "_k")
+    key, digest = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i")), F.xxhash64(F.col(text_col).cast("string"))
+    keyed = docs.select(key.alias("_k"), F.col(text_col).alias("_t"))
     if similarity is None:
-        groups = near_duplicates(keyed, "_k", "_t", shingle, differences)
+        named = docs.select(F.struct(key.alias("k"), digest.alias("d")).alias("_k"), F.col(text_col).alias("_t"))
+        groups = near_duplicates(named, "_k", "_t", shingle, differences).select("root", F.col("_k").alias("x"))
     else:
-        groups = similar_groups(keyed, similarity, shingle, "_k", "_t").withColumnRenamed("node", "fp")
-    at, fp = docs.columns.index(text_col), free_prefix(docs, "_fp")
-    kept = groups.groupBy("root").agg(F.min(F.struct("_k", "fp")).alias("k")).select(F.col("k._k.i").alias(f"{fp}_i"), F.col("k.fp").alias(f"{fp}_k"))
-
-    def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            if similarity is None:
-                codes = pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
-            else:
-                codes = pa.array([sketch(t, shingle, WORDS).astype("<u8").tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, codes], [*b.schema.names, fp])
-
-    kind = T.LongType() if similarity is None else T.BinaryType()
-    marked = bounded_batches(docs).mapInArrow(with_fingerprint, T.StructType([*docs.schema.fields, T.StructField(fp, kind)]))
-    whole = F.col(fp) if similarity is None else F.xxhash64(fp)
-    found = marked.withColumn(fp, whole).join(kept, (F.col(fp) == F.col(f"{fp}_k")) & F.col(id_col).eqNullSafe(F.col(f"{fp}_i")), "left_semi")
-    return found.dropDuplicates([id_col, fp]).select(*docs.columns)
+        groups = similar_groups(keyed, similarity, shingle, "_k", "_t").select("root", F.struct(F.col("_k").alias("k"), F.col("digest").alias("d")).alias("x"))
+    kept = groups.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.k").alias(f"{k}_i"), F.col("x.d").alias(f"{k}_d"))
+    found = docs.withColumn(f"{k}_i", key).withColumn(f"{k}_d", digest).join(kept, [f"{k}_d", f"{k}_i"], "left_semi")
+    return found.dropDuplicates([f"{k}_d", f"{k}_i"]).select(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
