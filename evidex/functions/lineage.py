@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder of ``spark.checkpoint.dir``; to a temporary one only where none is set (tests)."""
+def shared_folder(df: DataFrame) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidex-checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder."""
+    shared_folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, of which later steps read the columns that they need."""
+    path = f"{shared_folder(df).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

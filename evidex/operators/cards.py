@@ -171,3 +171,28 @@ def risk_gaps(found: DataFrame) -> DataFrame:
     }
     each = F.explode(F.array_compact(F.array(*(F.when(test, F.lit(text)) for text, test in rules.items())))).alias("gap")
     return found.select("risk", each)
+
+
+def build_stats(papers: DataFrame, claims: DataFrame, groups: DataFrame, counts: dict[str, DataFrame], quotes: DataFrame) -> DataFrame:
+    """(measure, value): what a build made: reports and how many have each trait, findings, groups by status, quotes and their verdicts.
+
+    ``papers`` has (paper_id, year, study_type, full_text, duplicate_of, n_tests, missions, experiments, method), ``groups``
+    (status), ``quotes`` (ok); ``counts`` names tables of which the rows are counted.  Reports are added up once for the whole
+    and by kind of study, by grouping sets.
+    """
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False)).cast("bigint")
+    traits = {
+        "full_text": F.coalesce(F.col("full_text"), F.lit(False)).cast("bigint"), "duplicates": F.col("duplicate_of").isNotNull().cast("bigint"), "with_n_tests": F.coalesce(F.col("n_tests") > 0, F.lit(False)).cast("bigint"),
+        "with_mission": some("missions"), "experiment_linked": some("experiments"), "llm_papers": F.coalesce(F.col("method") == "llm", F.lit(False)).cast("bigint"),
+    }
+    told = papers.select("study_type", "year", *(v.alias(k) for k, v in traits.items()))
+    rolled = told.groupingSets([[], [F.col("study_type")]], "study_type").agg(F.grouping("study_type").alias("whole"), F.count("*").alias("papers"), F.min("year").cast("bigint").alias("first_year"), F.max("year").cast("bigint").alias("last_year"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in traits))
+    each = lambda t, names: t.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names))).alias("x")).select("x.*")
+    out = each(rolled.where("whole = 1"), ["papers", "first_year", "last_year", *traits])
+    out = out.unionByName(rolled.where("whole = 0").select(F.concat(F.lit("study:"), F.coalesce("study_type", F.lit("unknown"))).alias("measure"), F.col("papers").alias("value")))
+    status = groups.agg(F.count_if(F.col("status") == "contradictory").alias("contradictions"), F.count_if(F.col("status") == "consensus").alias("consensus"))
+    guard = quotes.agg(F.count("*").alias("quotes"), F.count_if("ok").alias("quotes_ok"))
+    out = out.unionByName(each(status, status.columns)).unionByName(each(guard, guard.columns)).unionByName(each(claims.agg(F.count("*").alias("findings")), ["findings"]))
+    for name, rows in counts.items():
+        out = out.unionByName(rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value"))
+    return out

@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_metrics(hits: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Per query: hit at 1, 3, 5, 10, reciprocal rank, precision at 5; ``relevant`` has distinct (query, doc)."""
+def rank_metrics(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query: hit at 1, 3, 5, 10, reciprocal rank, precision at 5 (or at the number of hits, if fewer).
+
+    ``relevant`` has distinct (query, doc); every query of ``queries`` counts, with zeros if it has no hits.
+    """
     judged = hits.where("rank <= 10").join(relevant.withColumn("good", F.lit(1)), ["query", "doc"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    at = lambda k: F.max(F.when(F.col("rank") <= k, F.col("good")).otherwise(0))
-    return judged.groupBy("query").agg(*(at(k).alias(f"hit{k}") for k in (1, 3, 5, 10)), F.round(F.coalesce(1 / F.min(F.when(F.col("good") == 1, F.col("rank"))), F.lit(0.0)), 6).alias("rr"), F.round(F.sum(F.when(F.col("rank") <= 5, F.col("good")).otherwise(0)) / 5, 6).alias("p5"))
+    each = queries.select("query").join(judged, "query", "left")
+    at = lambda k: F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("good")).otherwise(0)), F.lit(0))
+    shown = F.least(F.lit(5), F.greatest(F.count("rank"), F.lit(1)))
+    return each.groupBy("query").agg(*(at(k).alias(f"hit{k}") for k in (1, 3, 5, 10)), F.round(F.coalesce(1 / F.min(F.when(F.col("good") == 1, F.col("rank"))), F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce(F.sum(F.when(F.col("rank") <= 5, F.col("good")).otherwise(0)), F.lit(0)) / shown, 6).alias("p5"))
+
+
+def by_paper(hits: DataFrame, papers: DataFrame, k: int = 10) -> DataFrame:
+    """(query, doc, rank): the papers of each query's first ``k`` passages in order, each once; ``papers`` has (doc, paper)."""
+    first = hits.where(F.col("rank") <= k).join(papers, "doc").groupBy("query", "paper").agg(F.min("rank").alias("first"))
+    return first.select("query", F.col("paper").alias("doc"), F.row_number().over(Window.partitionBy("query").orderBy("first", "paper")).alias("rank"))
 
 
 def baselines(metrics: DataFrame, mode: str = "mode") -> DataFrame:

@@ -226,3 +226,144 @@ def subgraph(edge_table: DataFrame, kinds: Sequence[str] = (), nodes: Sequence[s
         for end in ("src", "dst"):
             kept = kept.join(near.withColumnRenamed("node", end), end, "left_semi")
     return kept.orderBy(F.desc("papers"), "src", "rel", "dst").limit(2 * limit)
+
+
+#: Links of a contracted graph that the driver can hold: from there on rounds of merging need no jobs.
+FEW_LINKS = 20_000
+
+
+def modularity_communities(links: DataFrame, resolution: float = 1.2, few: int = FEW_LINKS) -> DataFrame:
+    """(node, community): communities of greatest modularity as far as merging finds it, numbered from 0 by size, the largest first.
+
+    Every node begins as a community of its own.  In each round a community looks for the neighbour with which a
+    merger gains most, ties to the least names, and pairs that choose each other merge; pairs don't touch, so their
+    gains add up, and the best of all pairs is always among them.  Rounds end when no merger gains.  Each is a join
+    and two sums over the contracted graph, so tables shrink as communities grow; once it has at most ``few`` links,
+    the rounds that are left run on the driver, by the same rule.  Communities of one size are numbered by their
+    least member; an empty graph gives no rows.
+    """
+    spark = links.sparkSession
+    edges = cut(links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w")))
+    degree = cut(edges.select(F.col("a").alias("c"), "w").unionByName(edges.select(F.col("b").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("k")))
+    total = edges.agg(F.sum("w")).first()[0]
+    label = degree.select(F.col("c").alias("node"), F.col("c").alias("community"))
+    while total:
+        if edges.count() <= few:
+            merged = _merged(edges.collect(), dict(map(tuple, degree.join(edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct(), "c", "left_semi").collect())), total, resolution)
+            if merged:
+                label = _renamed(label, spark.createDataFrame(merged, "old string, new string"), "community")
+            break
+        sides = edges.join(degree.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")
+        fit = sides.withColumn("gain", F.col("w") / total - resolution * F.col("ka") * F.col("kb") / (2.0 * total * total)).where(F.col("gain") > 1e-15)
+        both = fit.select(F.col("a").alias("c"), F.col("b").alias("other"), "gain").unionByName(fit.select(F.col("b").alias("c"), F.col("a").alias("other"), "gain"))
+        chosen = both.groupBy("c").agg(F.min_by("other", F.struct(-F.col("gain"), F.least("c", "other"), F.greatest("c", "other"))).alias("other"))
+        back = chosen.select(F.col("other").alias("c"), F.col("c").alias("other"))
+        merged = cut(chosen.where("other < c").join(back, ["c", "other"]).select(F.col("c").alias("old"), F.col("other").alias("new")))
+        if merged.isEmpty():
+            break
+        label = cut(_renamed(label, merged, "community"))
+        moved = _renamed(_renamed(edges, merged, "a"), merged, "b").where("a <> b")
+        edges = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
+        degree = cut(_renamed(degree, merged, "c").groupBy("c").agg(F.sum("k").alias("k")))
+    sizes = label.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("least"))
+    return label.join(_numbered(sizes, F.desc("size"), F.col("least")).select("community", "number"), "community").select("node", F.col("number").alias("community"))
+
+
+def _renamed(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    return df.join(merged, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).drop("old", "new")
+
+
+def _merged(edges: list, degree: dict, total: float, resolution: float) -> list[tuple[str, str]]:
+    """(old, new) of the communities that end up in others, by rounds of mutual best mergers of a small graph."""
+    weight = {(a, b): w for a, b, w in edges}
+    into = {c: c for c in degree}
+    while True:
+        chosen: dict[str, tuple] = {}
+        for (a, b), w in weight.items():
+            gain = w / total - resolution * degree[a] * degree[b] / (2.0 * total * total)
+            if gain > 1e-15:
+                for c, other in ((a, b), (b, a)):
+                    chosen[c] = min(chosen.get(c, (0.0,)), (-gain, a, b, other))
+        pairs = {c: x[3] for c, x in chosen.items() if x[3] < c and chosen[x[3]][3] == c}
+        if not pairs:
+            return [(c, n) for c, n in into.items() if c != n]
+        into = {c: pairs.get(n, n) for c, n in into.items()}
+        rolled: dict[tuple[str, str], float] = {}
+        for (a, b), w in weight.items():
+            a, b = pairs.get(a, a), pairs.get(b, b)
+            if a != b:
+                key = (min(a, b), max(a, b))
+                rolled[key] = rolled.get(key, 0.0) + w
+        weight = rolled
+        for old, new in pairs.items():
+            degree[new] += degree.pop(old)
+
+
+def _numbered(rows: DataFrame, *order) -> DataFrame:
+    """Adds ``number``, the place of each row in an order, from 0: rows are sorted over partitions, of which the sizes are added up before."""
+    placed = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first")).withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.join(F.broadcast(starts.select("_part", "_first", "_start")), "_part").withColumn("number", (F.col("_start") + F.col("_at") - F.col("_first")).cast("int")).drop("_part", "_at", "_first", "_start")
+
+
+def modularity(links: DataFrame, members: DataFrame, resolution: float = 1.2) -> float:
+    """Of a division (node, community): the share of weight within communities, less what chance puts there; 0.0 without links."""
+    own = links.where("a <> b").join(members.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(members.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    total = own.agg(F.sum("weight")).first()[0]
+    if not total:
+        return 0.0
+    inside = own.where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    degrees = own.select(F.col("ca").alias("c"), "weight").unionByName(own.select(F.col("cb").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").cast("double").alias("k"))
+    return float(inside) / float(total) - resolution * degrees.agg(F.sum(F.pow(F.col("k") / (2.0 * float(total)), 2))).first()[0]
+
+
+def weakest(edge_table: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, weight): one link for each pair of concepts; of parallel and opposite edges the one of fewest reports."""
+    return edge_table.where(F.col("papers") >= least).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("papers").alias("weight"))
+
+
+def distances(links: DataFrame, target: str) -> DataFrame:
+    """(node, d): least length of a path to ``target``, a link being one over its weight long; concepts without one are left out."""
+    spark = links.sparkSession
+    both = cut(links.select(F.col("a").alias("s"), F.col("b").alias("t"), (1.0 / F.col("weight")).alias("length")).union(links.select("b", "a", 1.0 / F.col("weight"))).where("s <> t"))
+    far = fresh = spark.createDataFrame([(target, 0.0)], "node string, d double")
+    while not fresh.isEmpty():
+        offered = fresh.join(both, F.col("node") == F.col("s")).groupBy(F.col("t").alias("node")).agg(F.min(F.col("d") + F.col("length")).alias("new"))
+        met = cut(far.join(offered, "node", "full").withColumn("better", F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))))
+        far = met.select("node", F.when(F.col("better"), F.col("new")).otherwise(F.col("d")).alias("d"))
+        fresh = met.where("better").select("node", F.col("new").alias("d"))
+    return far
+
+
+def shortest_paths(links: DataFrame, source: str, target: str, k: int = 3, at_once: int = 4096) -> DataFrame:
+    """(path, length, support): the k shortest simple paths, a link being one over its weight long; support is the least weight.
+
+    No limit of hops: a path begun can't end shorter than its length and its end's distance to the target, which are
+    known beforehand.  The ``at_once`` most promising paths grow by a link at a time; when k have arrived and no open one
+    can be shorter, those are the answer.  Ties go by the names along the path; without a way there are no rows.
+    """
+    spark = links.sparkSession
+    out = "path string, length double, support bigint"
+    ahead = cut(distances(links, target))
+    if source == target or ahead.where(F.col("node") == source).isEmpty():
+        return spark.createDataFrame([], out)
+    there = links.select(F.col("a").alias("s"), F.col("b").alias("t"), "weight").union(links.select("b", "a", "weight")).where("s <> t")
+    steps = cut(there.join(ahead, F.col("t") == F.col("node")).select("s", "t", "weight", F.col("d").alias("ahead")))
+    opened = spark.createDataFrame([([source], source, 0.0, None)], "path array<string>, end string, length double, support bigint").join(ahead.withColumnRenamed("node", "end"), "end").select("path", "end", "length", "support", F.col("d").alias("bound"))
+    done = opened.where(F.lit(False))
+    while True:
+        last = opened.orderBy("bound").limit(at_once).agg(F.max("bound")).first()[0]
+        if last is None:
+            break
+        grown = opened.where(F.col("bound") <= last).join(steps, (F.col("end") == F.col("s")) & ~F.array_contains("path", F.col("t"))).select(
+            F.concat("path", F.array("t")).alias("path"), F.col("t").alias("end"), (F.col("length") + 1.0 / F.col("weight")).alias("length"), F.least("support", F.col("weight").cast("bigint")).alias("support"), (F.col("length") + 1.0 / F.col("weight") + F.col("ahead")).alias("bound")
+        )
+        grown = cut(grown)
+        done = cut(done.unionByName(grown.where(F.col("end") == target)).orderBy(F.round("length", 9), F.array_join("path", " > ")).limit(k))
+        arrived, longest = done.agg(F.count("*"), F.max("length")).first()
+        opened = opened.where(F.col("bound") > last).unionByName(grown.where(F.col("end") != target))
+        if arrived == k:  # lengths are added up in different orders
+            opened = opened.where(F.col("bound") <= longest * (1 + 1e-9))
+        opened = cut(opened)
+    return done.select(F.array_join("path", " > ").alias("path"), F.round("length", 9).alias("length"), "support").orderBy("length", "path")

@@ -40,19 +40,24 @@ def comparison(question: Column) -> Column:
 
 
 def interleaved(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
-    """Two ranked lists in turn, each document once, k + 2 at most per query."""
+    """Two ranked lists in turn, as far as both go, each document once, k + 2 at most per query; a query with one list only has nothing to set side by side."""
     both = left.select("query", "doc", "rank", F.lit(0).alias("side")).unionByName(right.select("query", "doc", "rank", F.lit(1).alias("side")))
-    shorter = both.groupBy("query", "side").agg(F.max("rank").alias("n")).groupBy("query").agg(F.min("n").alias("n"))
+    shorter = both.groupBy("query", "side").agg(F.max("rank").alias("n")).groupBy("query").agg(F.min("n").alias("n"), F.count("*").alias("lists")).where("lists = 2").drop("lists")
     first = Window.partitionBy("query", "doc").orderBy("rank", "side")
     order = Window.partitionBy("query").orderBy("rank", "side")
     kept = both.join(shorter, "query").where("rank <= n").withColumn("f", F.row_number().over(first)).where("f = 1")
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 2).select("query", "place", "doc", "side")
 
 
-def refuses(hits: DataFrame, least: float = 0.34) -> DataFrame:
-    """(query, best, refuse): whether none of the five best passages covers a third of the terms; coverage as shown, two decimals."""
+def refuses(hits: DataFrame, queries: DataFrame, least: float = 0.34, alone: float = 0.8) -> DataFrame:
+    """(query, best, refuse) for every query: whether none of its five best passages covers a third of its terms; coverage as shown, two decimals.
+
+    ``queries`` has (query, domain): of a question without any sign of the domain nearly all terms have to be covered.
+    A query without passages is refused; its ``best`` is null.
+    """
     top = hits.where("rank <= 5").groupBy("query").agg(F.max(F.round("coverage", 2)).alias("best"))
-    return top.select("query", "best", (F.col("best") < least).alias("refuse"))
+    best, domain = F.col("best"), F.coalesce("domain", F.lit(False))
+    return queries.join(top, "query", "left").select("query", "best", (best.isNull() | (best < least) | (~domain & (best < alone))).alias("refuse"))
 
 
 def candidate(sentence: Column) -> Column:
@@ -84,7 +89,11 @@ def citations(answer: Column, n: Column) -> Column:
 
 
 def confidence(mean: Column, cited: Column, flight: Column, papers: Column) -> Column:
-    return F.round(0.55 * mean + 0.25 * cited + 0.1 * flight.cast("int") + 0.1 * F.least(papers / 5.0, F.lit(1.0)), 3)
+    """Exact until it is rounded to three decimals, half up; shares beyond the sixth decimal are rounded first."""
+    share = lambda c: c.cast("decimal(12,6)")
+    of = lambda weight: F.lit(weight).cast("decimal(4,2)")
+    read = F.least(share(papers) / F.lit(5).cast("decimal(1,0)"), F.lit(1).cast("decimal(12,6)")).cast("decimal(12,6)")
+    return F.round(of("0.55") * share(mean) + of("0.25") * share(cited) + of("0.1") * share(flight.cast("int")) + of("0.1") * read, 3).cast("double")
 
 
 def confidence_label(score: Column) -> Column:

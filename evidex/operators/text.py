@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -9,18 +11,62 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Named and numeric references that occur in abstracts.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: A reference in a text: a number, or a name that may be followed by more letters.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: What numbers stand for that are no characters: those of an old code page, and those that stand for nothing.
+_PAGE = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160))
+_MOST = 0x10FFFF
 CHUNK_WORDS, PACK, SPLIT, MAX_WORDS = 180, 1.3, 1.6, 15_000
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z(\[])"
 
 
+def _names() -> dict[str, str]:
+    """Every named reference of HTML, without the ampersand; those that may lack a semicolon stand with and without."""
+    return html.entities.html5
+
+
+def _of_number(ref: Column) -> Column:
+    """The character of a numeric reference as browsers read it."""
+    hexed = F.lower(F.substring(ref, 3, 1)) == "x"
+    digits = F.regexp_replace(F.regexp_replace(ref, r"^&#[xX]?", ""), ";$", "")
+    # digits beyond any character are cut, not computed
+    trimmed = F.regexp_replace(digits, "^0+(?=.)", "")
+    fits = F.when(hexed, F.length(trimmed) <= 6).otherwise(F.length(trimmed) <= 7)
+    short = F.when(fits, trimmed).otherwise("0")
+    number = F.when(hexed, F.conv(short, 16, 10)).otherwise(short).cast("int")
+    replaced = F.lit("\ufffd")
+    old = F.substr(F.lit(_PAGE), number - 127, F.lit(1))
+    odd = number.isin(0xB, *(x for plane in range(17) for x in (plane * 0x10000 + 0xFFFE, plane * 0x10000 + 0xFFFF))) | number.between(1, 8) | number.between(0xE, 0x1F) | number.between(0x7F, 0x9F) | number.between(0xFDD0, 0xFDEF)
+    return (
+        F.when(~fits | (number == 0) | number.between(0xD800, 0xDFFF) | (number > _MOST), replaced).when(number == 13, "\r").when(number.between(128, 159), old).when(odd, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "utf-32"))
+    )
+
+
+def unescaped(text: Column) -> Column:
+    """``text`` with every named and numeric reference of HTML resolved, in one pass: what a reference gives is not read again.
+
+    Of a name without a semicolon the longest beginning that is known counts, and the rest stays.
+    """
+    known = F.from_json(F.lit(json.dumps(_names())), "map<string,string>")
+
+    def resolved(ref: Column) -> Column:
+        name = F.substr(ref, F.lit(2))
+        sizes = F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1))
+        lead = F.filter(F.transform(F.when(F.length(name) > 2, sizes), lambda n: F.substr(name, F.lit(1), n)), lambda x: F.try_element_at(known, x).isNotNull())
+        first = F.get(lead, F.lit(0))
+        part = F.when(first.isNotNull(), F.concat(F.try_element_at(known, first), F.substr(name, F.length(first) + 1)))
+        return F.when(F.substring(ref, 2, 1) == "#", _of_number(ref)).otherwise(F.coalesce(F.try_element_at(known, name), part, ref))
+
+    refs = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), resolved)
+    between = F.split(text, REFERENCE, -1)
+    joined = F.array_join(F.zip_with(between, refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
 def clean(text: Column) -> Column:
     """References resolved, white space collapsed and trimmed."""
-    out = text
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(text), r"(?U)\s+", " "))
 
 
 def strip_citations(text: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidex.functions.lineage import cut
 from evidex.operators import cards as K
 from evidex.operators import consensus as C
 from evidex.operators import graph as G
 from evidex.operators import mission as M
 from evidex.operators import risk as R
 from evidex.plans.claims import claims, read
-from evidex.plans.evidence_queries import _BRIEF, EDGE_ROWS, GROUPS, MISSION_RISKS, PROFILES, RISK_SQL, RISKS, VOTES, W, _found, _profiles, _values
+from evidex.plans.evidence_queries import _BRIEF, EDGE_ROWS, GROUPS, MISSION_RISKS, PROFILES, RISK_SQL, RISKS, VOTES, W, _cabins, _found, _profiles, _values
 
 ROLES = ("condition", "outcome", "geometry", "fuel", "countermeasure")
 _ROLE_ROWS = " UNION ALL ".join(f"SELECT paper_id, '{r}' AS role, {r} AS value FROM claims" for r in ROLES)
@@ -45,10 +47,9 @@ def _sets(s, d):
 
 
 def _questions(s, d):
-    """Brands and segments are short lists: twenty-five by five."""
-    pairs = claims(s, d).select("condition", "geometry").distinct().collect()
-    rows = [(k + 1, e) for k, r in enumerate(sorted(map(tuple, pairs))) for e in r]
-    return s.createDataFrame(rows, "query int, entity string")
+    """One question for each brand and segment, numbered in their order: twenty-five by five."""
+    pairs = claims(s, d).select("condition", "geometry").distinct().withColumn("query", F.dense_rank().over(Window.orderBy("condition", "geometry")))
+    return pairs.select("query", F.explode(F.array("condition", "geometry")).alias("entity"))
 
 
 def _retrieved(s, d):
@@ -59,6 +60,25 @@ def _members(s, d):
     return _nodes(s, d).select((F.length("node") % 7).alias("community"), "node", F.substring_index("node", ":", 1).alias("type"), F.col("papers").alias("score"))
 
 
+def _ranked_members(s, d):
+    """Concepts with their community of greatest modularity and their rank."""
+    links = cut(G.undirected(_edges(s, d)))
+    return G.modularity_communities(links).join(G.pagerank(links), "node").select("community", "node", F.substring_index("node", ":", 1).alias("type"), F.col("rank").alias("score"))
+
+
+def _built(s, d):
+    """Orders as reports of a build."""
+    k = F.col("o_orderkey")
+    return read(s, d, "orders").select(
+        k.alias("paper_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("study_type"), (k % 3 == 0).alias("full_text"), F.when(k % 11 == 0, k - 1).alias("duplicate_of"), F.when(k % 4 > 0, k % 4).alias("n_tests"),
+        F.when(k % 5 == 0, F.array(F.lit("STS-1"))).alias("missions"), F.when(k % 7 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("experiments"), F.when(k % 2 == 0, "llm").otherwise("rules").alias("method"),
+    )
+
+
+def _quotes(s, d):
+    return read(s, d, "lineitem").select((F.col("l_returnflag") != "N").alias("ok"))
+
+
 def _mission_evidence(s, d):
     """What is known of the risks, in the form that missions need; conditions that are covered follow from the number of reports."""
     defined = R.definitions(s, MISSION_RISKS).select("risk", "conditions")
@@ -72,10 +92,6 @@ _EVIDENCE = RISK_SQL + _PROFILE_SQL + """, known AS (SELECT f.*, m.conditions, C
   FROM found f JOIN mrisks m USING (risk))"""
 
 
-def _profiles_with_errors(s):
-    wrong = [("too_long", 4000, 100, 0, 21.0, 101.3), ("thin", 10, -1, 0, 12.0, 10.0)]
-    return _profiles(s).unionByName(s.createDataFrame(wrong, _profiles(s).schema))
-
 
 QUERIES = {
     "central_nodes": (lambda s, d: K.central(_nodes(s, d), "papers"), W + _NODES + " SELECT node, papers FROM nodes ORDER BY papers DESC, node LIMIT 20"),
@@ -188,7 +204,18 @@ QUERIES = {
         SELECT mission, array_to_string(CASE WHEN high IS NULL THEN every[1:2] ELSE high[1:3] END, ', ') AS top, coalesce(array_to_string(thin[1:3], ', '), '') AS thin FROM l""",
     ),
     "invalid_profiles": (
-        lambda s, d: M.invalid_fields(_profiles_with_errors(s)),
-        "SELECT * FROM (VALUES ('too_long', 'duration_days', 4000.0::DOUBLE), ('thin', 'microgravity_days', -1.0::DOUBLE), ('thin', 'o2_percent', 12.0::DOUBLE), ('thin', 'pressure_kpa', 10.0::DOUBLE)) AS t(mission, field, value)",
+        lambda s, d: M.invalid_fields(_cabins(s, d)),
+        "WITH p AS (SELECT 'part ' || p_partkey AS mission, p_partkey * 7 % 3500 - 40 AS a, p_partkey * 11 % 3500 - 40 AS b, p_partkey * 13 % 3500 - 40 AS c, 10 + p_size AS o2, 20 + p_partkey % 120 AS kpa FROM part) "
+        + " UNION ALL ".join(f"SELECT mission, '{f}' AS field, {c}::DOUBLE AS value FROM p WHERE {c} NOT BETWEEN {M.BOUNDS[f][0]} AND {M.BOUNDS[f][1]}" for f, c in zip(M.BOUNDS, ("a", "b", "c", "o2", "kpa"), strict=True)),
+    ),
+    "community_themes": (lambda s, d: K.themes(_ranked_members(s, d)), None),
+    "build_stats": (
+        lambda s, d: K.build_stats(_built(s, d), claims(s, d), _groups(s, d), {"nodes": _nodes(s, d), "edges": _edges(s, d)}, _quotes(s, d)),
+        W + VOTES + GROUPS + EDGE_ROWS + _NODES + """, b AS (SELECT o_orderkey AS k, year(o_orderdate) AS year, o_orderpriority AS kind FROM orders), r AS (SELECT 'report' AS x),
+        t AS (SELECT 'papers' AS measure, count(*) AS value FROM b UNION ALL SELECT 'first_year', min(year) FROM b UNION ALL SELECT 'last_year', max(year) FROM b UNION ALL SELECT 'full_text', count(*) FILTER (k % 3 = 0) FROM b
+          UNION ALL SELECT 'duplicates', count(*) FILTER (k % 11 = 0) FROM b UNION ALL SELECT 'with_n_tests', count(*) FILTER (k % 4 > 0) FROM b UNION ALL SELECT 'with_mission', count(*) FILTER (k % 5 = 0) FROM b UNION ALL SELECT 'experiment_linked', count(*) FILTER (k % 7 = 0) FROM b
+          UNION ALL SELECT 'llm_papers', count(*) FILTER (k % 2 = 0) FROM b UNION ALL SELECT 'study:' || kind, count(*) FROM b GROUP BY kind UNION ALL SELECT 'contradictions', count(*) FILTER (status = 'contradictory') FROM grp UNION ALL SELECT 'consensus', count(*) FILTER (status = 'consensus') FROM grp
+          UNION ALL SELECT 'quotes', count(*) FROM lineitem UNION ALL SELECT 'quotes_ok', count(*) FILTER (l_returnflag <> 'N') FROM lineitem UNION ALL SELECT 'findings', count(*) FROM claims UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges)
+        SELECT * FROM t""",
     ),
 }

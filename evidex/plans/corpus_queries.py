@@ -17,19 +17,14 @@ from evidex.streaming import logs
 
 #: Test vocabularies: frequent words of the invented prose.
 TERMS = {"tion": "thtion|ertion", "than": "than", "the": "the", "this": "this", "with": "with", "die": "die", "les": "les", "que": "que"}
+DOMAIN = {"than": "than", "les": "les", "que": "que"}
+#: Endings that stand for directions in the invented prose.
+CUES = {"increase": "(?i)ing\\b", "decrease": "(?i)ed\\b", "no_change": "(?i)est\\b"}
 OUTCOMES, CONDITIONS = {"the": "the", "that": "that", "with": "with"}, {"of": "of", "was": "was"}
-#: Terms of the lexical searches.  The dense ones ask with every vector whose id is divisible by 100.
-SEARCHES = {1: ("threat", "idiot"), 2: ("clown", "moron", "scum"), 3: ("for", "was", "ourepa")}
-
-
 def _docs(s, d):
     return read(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _queries(s):
-    return s.createDataFrame([(q, t) for q, ts in SEARCHES.items() for t in ts], "query int, term string")
-
-
 def _vectors(s, d):
     return read(s, d, "embeddings")
 
@@ -39,22 +34,22 @@ def _dense(s, d):
     return R.dense(_vectors(s, d), asked, top=50)
 
 
-def _stated(s, d):
-    return _queries(s)
+def _asking(s, d):
+    """The documents that ask: those whose id is divisible by 100; the query's id is that of the vector beside it."""
+    return _docs(s, d).where(F.col("doc_id") % 100 == 0).select((F.col("doc_id") / 100 + 1).cast("int").alias("query"), "text")
 
 
 def _asked(s, d):
-    """The distinct words of every document whose id is divisible by 100; the query's id is that of the vector beside it."""
-    asked = _docs(s, d).where(F.col("doc_id") % 100 == 0)
-    return asked.select((F.col("doc_id") / 100 + 1).cast("int").alias("query"), F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term")).distinct()
+    """The distinct index terms of every document that asks."""
+    return _asking(s, d).select("query", F.explode(F.array_distinct(R.index_terms(F.col("text")))).alias("term")).distinct()
 
 
-def _lexical(s, d, ask=_stated):
-    return R.bm25(_docs(s, d), ask(s, d))
+def _lexical(s, d):
+    return R.bm25(_docs(s, d), _asked(s, d))
 
 
-def _terms(s, d, ask=_stated):
-    return ask(s, d).groupBy("query").agg(F.collect_list("term").alias("terms"))
+def _terms(s, d):
+    return _asked(s, d).groupBy("query").agg(F.collect_list("term").alias("terms"))
 
 
 def _reports(s, d):
@@ -62,10 +57,10 @@ def _reports(s, d):
     return read(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_brand"), F.lit(", X.")).alias("author"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("title"), F.when(F.col("p_size") == 50, F.concat("p_brand", "p_name")).alias("doi"), F.lit(None).cast("string").alias("journal"), (F.col("p_size") + 1950).alias("year"))
 
 
-_VALUES = ", ".join(f"({q}, '{t}')" for q, ts in SEARCHES.items() for t in ts)
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2)"
-BM25 = f"""WITH adocs AS (SELECT * FROM documents), q(query, term) AS (VALUES {_VALUES}),
-w AS (SELECT doc_id AS doc, {_TOK} AS w FROM adocs), sz AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
+_INDEXED = f"list_filter({_TOK}, lambda w: w NOT IN ({', '.join(repr(w) for w in R.STOP_WORDS.split())}))"
+BM25 = f"""WITH asks AS (SELECT CAST(doc_id // 100 + 1 AS INT) AS query, text FROM documents WHERE doc_id % 100 = 0), q AS (SELECT DISTINCT query, unnest({_INDEXED}) AS term FROM asks),
+w AS (SELECT doc_id AS doc, {_INDEXED} AS w FROM documents), sz AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
 p AS (SELECT doc, len(w) AS dl, unnest(w) AS term FROM w), tf AS (SELECT term, doc, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN sz GROUP BY ALL),
 lex AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 200)"""
@@ -79,68 +74,68 @@ _SENT_POS = r"""x AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_
   generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) - 1 AS pos FROM documents), st AS (SELECT doc, CAST(pos AS INT) AS pos, trim(sentence) AS sentence FROM x WHERE trim(sentence) <> '')"""
 
 
-def _ranked_docs(s, d, ask=_stated):
-    return _lexical(s, d, ask).where("rank <= 10").select("query", "doc", "rank")
+def _ranked_docs(s, d):
+    return _lexical(s, d).where("rank <= 10").select("query", "doc", "rank")
 
 
-def _capped(s, d, ask=_stated):
-    fused = R.fuse(_lexical(s, d, ask), _dense(s, d))
+def _capped(s, d):
+    fused = R.fuse(_lexical(s, d), _dense(s, d))
     return R.capped(fused, _docs(s, d).select(F.col("doc_id").alias("doc"), F.col("source").alias("report")))
 
 
-def _relevant(s, d):
-    return read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct().crossJoin(F.broadcast(_queries(s).select("query").distinct()))
+def _good(s, d):
+    return read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
 
 
-def _metrics(s, d):
-    return evaluate.rank_metrics(_ranked_docs(s, d), _relevant(s, d))
+def _relevant(hits, good):
+    return hits.select("query", "doc").distinct().join(good, "doc", "left_semi")
 
 
-def _metrics_asked(s, d):
-    ranked = cut(_ranked_docs(s, d, _asked))
-    good = read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
-    return evaluate.rank_metrics(ranked, ranked.select("query", "doc").distinct().join(good, "doc", "left_semi"))
+def _metrics(s, d):
+    ranked = cut(_ranked_docs(s, d))
+    return evaluate.rank_metrics(ranked, _relevant(ranked, _good(s, d)), _asking(s, d).select("query"))
 
 
-def _gate_asked(s, d):
-    ranked = cut(_ranked_docs(s, d, _asked))
-    covered = R.rerank(ranked.withColumn("score", F.lit(0.0)), _docs(s, d), _terms(s, d, _asked))
-    return qa.refuses(covered.join(ranked, ["query", "doc"]))
+def _gate(s, d):
+    """Questions name an entity, the domain's sign, if they have one of the test vocabulary's terms."""
+    ranked = cut(_ranked_docs(s, d))
+    covered = R.rerank(ranked.withColumn("score", F.lit(0.0)), _docs(s, d), _terms(s, d))
+    named = _asking(s, d).select("query", (F.size(X.tags(F.col("text"), DOMAIN)) > 0).alias("domain"))
+    return qa.refuses(covered.join(ranked, ["query", "doc"]), named)
 
 
-def _stages(s, d, ask=_stated):
-    """Means of the ranking metrics for each way of searching, over the queries that have terms and a vector."""
-    lexical, terms = cut(_lexical(s, d, ask)), _terms(s, d, ask)
-    dense = _dense(s, d).join(terms, "query", "left_semi")
+def _stages(s, d):
+    """Means of the ranking metrics for each way of searching, over all queries that ask."""
+    lexical, terms, asks = cut(_lexical(s, d)), _terms(s, d), _asking(s, d).select("query")
+    dense = _dense(s, d).join(asks, "query", "left_semi")
     fused = cut(R.fuse(lexical, dense))
-    lists = {"bm25": lexical, "dense": dense, "hybrid": R.ranked(fused, 10), "rerank": R.ranked(R.rerank(fused, _docs(s, d), terms).select("query", "doc", "score"), 10)}
-    good = read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
+    covered = R.rerank(fused, _docs(s, d), terms)
+    lists = {"bm25": lexical, "dense": dense, "hybrid": R.ranked(fused, 10), "rerank": R.ranked(covered, 10, F.desc("coverage"))}
     told = None
     for mode, hits in lists.items():
         top = hits.where("rank <= 10").select("query", "doc", "rank")
-        part = evaluate.rank_metrics(top, top.select("query", "doc").join(good, "doc", "left_semi")).withColumn("mode", F.lit(mode))
+        part = evaluate.rank_metrics(top, _relevant(top, _good(s, d)), asks).withColumn("mode", F.lit(mode))
         told = part if told is None else told.unionByName(part)
     return evaluate.baselines(told)
 
 
-#: The searches by documents: the SQL of the stated ones fixes their eight terms, so these have names of their own, and no SQL.
-BY_DOCUMENT = {
-    "bm25_topk": lambda s, d: _lexical(s, d, _asked),
-    "rrf_hybrid": lambda s, d: R.fuse(_lexical(s, d, _asked), _dense(s, d)),
-    "hybrid_capped": lambda s, d: _capped(s, d, _asked),
-    "rerank_coverage": lambda s, d: R.rerank(_lexical(s, d, _asked).select("query", "doc", "score"), _docs(s, d), _terms(s, d, _asked)),
-    "interleaved": lambda s, d: qa.interleaved(_lexical(s, d, _asked).where("rank <= 12"), _dense(s, d).where("rank <= 12")),
-    "rank_metrics": _metrics_asked,
-    "mode_baselines": lambda s, d: evaluate.baselines(_metrics_asked(s, d).withColumn("mode", F.lit("bm25"))),
-    "refusal_gate": _gate_asked,
-    "stage_baselines": lambda s, d: _stages(s, d, _asked),
-}
+def _metrics_sql(top: str, by: str) -> str:
+    """Metrics of the rows (by, query, doc, rank) of ``top``, for every query that asks."""
+    return f"""j AS (SELECT {by}, rank, CASE WHEN doc IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good FROM {top} WHERE rank <= 10),
+m AS (SELECT {by}, coalesce(max(CASE WHEN rank <= 1 THEN good ELSE 0 END), 0) AS hit1, coalesce(max(CASE WHEN rank <= 3 THEN good ELSE 0 END), 0) AS hit3, coalesce(max(CASE WHEN rank <= 5 THEN good ELSE 0 END), 0) AS hit5, coalesce(max(good), 0) AS hit10,
+  round(coalesce(1.0::DOUBLE / min(CASE WHEN good = 1 THEN rank END), 0), 6) AS rr, round(coalesce(sum(CASE WHEN rank <= 5 THEN good ELSE 0 END), 0) / least(5, greatest(count(rank), 1)), 6) AS p5 FROM {{asked}} LEFT JOIN j USING ({by}) GROUP BY {by})"""
+
 
+_MEANS = "round(avg(hit1), 6) AS hit1, round(avg(hit3), 6) AS hit3, round(avg(hit5), 6) AS hit5, round(avg(hit10), 6) AS hit10, round(avg(rr), 6) AS rr, round(avg(p5), 6) AS p5 FROM m"
+METRICS = BM25 + ", " + _metrics_sql("lex", "query").format(asked="(SELECT query FROM asks)")
+_TERMS_OF = ", t AS (SELECT query, list(term) AS terms FROM q GROUP BY query)"
 
-METRICS = BM25 + """, top AS (SELECT query, doc, rank FROM lex WHERE rank <= 10), rel AS (SELECT DISTINCT doc_id AS doc FROM labels WHERE quality = 1),
-j AS (SELECT query, rank, CASE WHEN rel.doc IS NULL THEN 0 ELSE 1 END AS good FROM top LEFT JOIN rel USING (doc)),
-m AS (SELECT query, max(CASE WHEN rank <= 1 THEN good ELSE 0 END) AS hit1, max(CASE WHEN rank <= 3 THEN good ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN good ELSE 0 END) AS hit5, max(CASE WHEN rank <= 10 THEN good ELSE 0 END) AS hit10,
-  round(coalesce(1.0::DOUBLE / min(CASE WHEN good = 1 THEN rank END), 0), 6) AS rr, round(sum(CASE WHEN rank <= 5 THEN good ELSE 0 END) / 5, 6) AS p5 FROM j GROUP BY query)"""
+
+def quotes(s, d):
+    """Findings' sentences as quotes, of every three one as it stands, one with each 15th and one with each 7th character altered."""
+    found = X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS, CUES).select("doc", F.col("rank").alias("pos"), "quote")
+    altered = F.when(F.col("pos") % 3 == 1, F.regexp_replace("quote", "(?s)(.{14}).", "$1#")).when(F.col("pos") % 3 == 2, F.regexp_replace("quote", "(?s)(.{6}).", "$1#")).otherwise(F.col("quote"))
+    return found.withColumn("quote", altered)
 
 
 def _tag_sql() -> str:
@@ -159,8 +154,8 @@ QUERIES = {
         SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, doc, report, score FROM c QUALIFY rank <= 10""",
     ),
     "rerank_coverage": (
-        lambda s, d: R.rerank(_lexical(s, d).select("query", "doc", "score"), _docs(s, d), s.createDataFrame([(q, list(ts)) for q, ts in SEARCHES.items()], "query int, terms array<string>")),
-        BM25 + ", t AS (SELECT query, list(term) AS terms FROM q GROUP BY query), c AS (SELECT query, doc, score, len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms) AS c FROM lex JOIN t USING (query) JOIN documents ON doc_id = doc) SELECT query, doc, round(c, 6) AS coverage, round(score + 0.01::DOUBLE * c, 9) AS score FROM c",
+        lambda s, d: R.rerank(_lexical(s, d).select("query", "doc", "score"), _docs(s, d), _terms(s, d)),
+        BM25 + _TERMS_OF + ", c AS (SELECT query, doc, score, len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms) AS c FROM lex JOIN t USING (query) JOIN documents ON doc_id = doc) SELECT query, doc, round(c, 6) AS coverage, round(score + 0.01::DOUBLE * c, 9) AS score FROM c",
     ),
     "facet_page": (
         lambda s, d: R.facets(_docs(s, d).select("doc_id", "lang", "source", "n_chars"), F.col("lang").isin("fr", "es") & (F.col("n_chars") > 500), [F.desc("n_chars"), F.col("doc_id")], 10, 25),
@@ -204,15 +199,12 @@ QUERIES = {
         lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.tags(F.col("text"), TERMS, 12), ",").alias("tags")),
         "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_-]+') AS ws FROM documents) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in p.split('|'))}))) > 0 THEN '{k}' END" for k, p in TERMS.items()) + "], lambda x: x IS NOT NULL), ',') AS tags FROM w",
     ),
-    "findings_extract": (lambda s, d: X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS), None),
+    "findings_extract": (lambda s, d: X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS, CUES), None),
     "extractive_summary": (
         lambda s, d: X.summary(T.sentences(_docs(s, d))),
         f"WITH {_SENT_POS} SELECT doc, sentence AS conclusion FROM st QUALIFY row_number() OVER (PARTITION BY doc ORDER BY regexp_matches(lower(sentence), 'conclu|show|found|demonstrat') DESC, pos DESC) = 1",
     ),
-    "quote_guard": (
-        lambda s, d: X.quote_guard(X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS).select("doc", F.col("rank").alias("pos"), "quote"), _docs(s, d).select(F.col("doc_id").alias("doc"), "text")).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")),
-        None,
-    ),
+    "quote_guard": (lambda s, d: X.quote_guard(quotes(s, d), _docs(s, d).select(F.col("doc_id").alias("doc"), "text")).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")), None),
     "near_duplicate_reports": (lambda s, d: dedupe.mark(_reports(s, d)), None),
     "same_identifier": (
         lambda s, d: dedupe.same_identifier(_reports(s, d)),
@@ -226,13 +218,14 @@ QUERIES = {
     ),
     "interleaved": (
         lambda s, d: qa.interleaved(_lexical(s, d).where("rank <= 12"), _dense(s, d).where("rank <= 12")),
-        FUSED + """, b AS (SELECT query, doc, rank, 0 AS side FROM lex WHERE rank <= 12 UNION ALL SELECT query, doc, rank, 1 FROM den WHERE rank <= 12), n AS (SELECT query, min(n) AS n FROM (SELECT query, side, max(rank) AS n FROM b GROUP BY ALL) GROUP BY query),
+        FUSED + """, b AS (SELECT query, doc, rank, 0 AS side FROM lex WHERE rank <= 12 UNION ALL SELECT query, doc, rank, 1 FROM den WHERE rank <= 12), n AS (SELECT query, least(max(rank) FILTER (side = 0), max(rank) FILTER (side = 1)) AS n FROM b GROUP BY query HAVING count(DISTINCT side) = 2),
         f AS (SELECT query, doc, rank, side FROM b JOIN n USING (query) WHERE rank <= n QUALIFY row_number() OVER (PARTITION BY query, doc ORDER BY rank, side) = 1)
         SELECT query, row_number() OVER (PARTITION BY query ORDER BY rank, side) AS place, doc, side FROM f QUALIFY place <= 12""",
     ),
     "refusal_gate": (
-        lambda s, d: qa.refuses(R.rerank(_ranked_docs(s, d).withColumn("score", F.lit(0.0)), _docs(s, d), s.createDataFrame([(q, list(ts)) for q, ts in SEARCHES.items()], "query int, terms array<string>")).join(_ranked_docs(s, d).select("query", "doc", "rank"), ["query", "doc"])),
-        BM25 + ", t AS (SELECT query, list(term) AS terms FROM q GROUP BY query), c AS (SELECT query, max(round(len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms), 2)) AS best FROM lex JOIN t USING (query) JOIN documents ON doc_id = doc WHERE rank <= 5 GROUP BY query) SELECT query, best, best < 0.34 AS refuse FROM c",
+        _gate,
+        BM25 + _TERMS_OF + """, c AS (SELECT query, max(round(len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms), 2)) AS best FROM lex JOIN t USING (query) JOIN documents ON doc_id = doc WHERE rank <= 5 GROUP BY query),
+        n AS (SELECT query, regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}_-](than|les|que)[^\\p{L}\\p{N}_-]') AS domain FROM asks) SELECT query, best, best IS NULL OR best < 0.34 OR (NOT domain AND best < 0.8) AS refuse FROM n LEFT JOIN c USING (query)""",
     ),
     "sentence_scores": (
         lambda s, d: qa.sentence_scores(T.sentences(_docs(s, d)), F.array(F.lit("threat"), F.lit("clown"))),
@@ -253,17 +246,14 @@ QUERIES = {
     "rank_metrics": (_metrics, METRICS + " SELECT query, hit1, hit3, hit5, hit10, rr, p5 FROM m"),
     "mode_baselines": (
         lambda s, d: evaluate.baselines(_metrics(s, d).withColumn("mode", F.lit("bm25"))),
-        METRICS + " SELECT 'bm25' AS mode, round(avg(hit1), 6) AS hit1, round(avg(hit3), 6) AS hit3, round(avg(hit5), 6) AS hit5, round(avg(hit10), 6) AS hit10, round(avg(rr), 6) AS rr, round(avg(p5), 6) AS p5 FROM m",
+        METRICS + " SELECT 'bm25' AS mode, " + _MEANS,
     ),
     "stage_baselines": (
         _stages,
-        FUSED + """, t AS (SELECT query, list(term) AS terms FROM q GROUP BY query), rr AS (SELECT query, doc, round(score + 0.01::DOUBLE * len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms), 9) AS score FROM fused JOIN t USING (query) JOIN documents ON doc_id = doc),
+        FUSED + _TERMS_OF + """, cov AS (SELECT query, doc, score, len(list_filter(terms, lambda t: contains(lower(text), substr(t, 1, 6)))) / len(terms) AS c FROM fused JOIN t USING (query) JOIN documents ON doc_id = doc), rr AS (SELECT query, doc, round(c, 6) AS coverage, round(score + 0.01::DOUBLE * c, 9) AS score FROM cov),
         l AS (SELECT 'bm25' AS mode, query, doc, rank FROM lex UNION ALL SELECT 'dense', query, doc, rank FROM den UNION ALL SELECT 'hybrid', query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM fused
-          UNION ALL SELECT 'rerank', query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM rr),
-        j AS (SELECT mode, query, rank, CASE WHEN doc IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good FROM l WHERE rank <= 10 AND query IN (SELECT query FROM q)),
-        m AS (SELECT mode, query, max(CASE WHEN rank <= 1 THEN good ELSE 0 END) AS hit1, max(CASE WHEN rank <= 3 THEN good ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN good ELSE 0 END) AS hit5, max(good) AS hit10,
-          round(coalesce(1.0::DOUBLE / min(CASE WHEN good = 1 THEN rank END), 0), 6) AS rr, round(sum(CASE WHEN rank <= 5 THEN good ELSE 0 END) / 5, 6) AS p5 FROM j GROUP BY ALL)
-        SELECT mode, round(avg(hit1), 6) AS hit1, round(avg(hit3), 6) AS hit3, round(avg(hit5), 6) AS hit5, round(avg(hit10), 6) AS hit10, round(avg(rr), 6) AS rr, round(avg(p5), 6) AS p5 FROM m GROUP BY mode""",
+          UNION ALL SELECT 'rerank', query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, coverage DESC, doc) FROM rr), asked AS (SELECT mode, query FROM asks CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid'), ('rerank')) AS x(mode)), """
+        + _metrics_sql("l", "mode, query").format(asked="asked") + " SELECT mode, " + _MEANS + " GROUP BY mode",
     ),
     "stratified_sample": (
         lambda s, d: evaluate.stratified(_docs(s, d).select("doc_id", "source"), "source", "doc_id", 50),
@@ -298,4 +288,3 @@ QUERIES = {
         "WITH l AS (SELECT l_quantity * l_linenumber * 900 AS sec FROM lineitem), t AS (SELECT CASE WHEN sec < 120 THEN CAST(round(sec) AS BIGINT) || ' s' WHEN sec < 7200 THEN CAST(round(sec / 60) AS BIGINT) || ' min' WHEN sec < 172800 THEN CAST(round(sec / 3600) AS BIGINT) || ' h' ELSE CAST(round(sec / 86400) AS BIGINT) || ' days' END AS label FROM l) SELECT label, count(*) AS n FROM t GROUP BY label",
     ),
 }
-QUERIES |= {f"{name}_by_document": (query, None) for name, query in BY_DOCUMENT.items()}

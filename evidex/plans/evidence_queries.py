@@ -118,6 +118,16 @@ def _profiles(s):
     return s.createDataFrame(PROFILES, "mission string, duration_days int, microgravity_days int, partial_gravity_days int, o2_percent double, pressure_kpa double")
 
 
+def _cabins(s, d):
+    """Profiles of missions, one for each part, some of them beyond bounds."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    days = lambda n: (k * n % 3500 - 40).cast("int")
+    return read(s, d, "part").select(
+        F.concat(F.lit("part "), k).alias("mission"), days(7).alias("duration_days"), days(11).alias("microgravity_days"), days(13).alias("partial_gravity_days"),
+        (10 + size).cast("double").alias("o2_percent"), (20 + k % 120).cast("double").alias("pressure_kpa"),
+    )
+
+
 def _experiments(s, d):
     return claims(s, d).select(F.col("paper_id").alias("report"), F.col("fuel").alias("material"), F.col("seconds").alias("flow"), (F.col("confidence").cast("double") * 30).alias("oxygen"))
 
@@ -142,10 +152,9 @@ met AS (SELECT p.x AS a, p.y AS b, q.y AS c, least(p.papers, q.papers) AS s FROM
   WHERE p.kx = 'a' AND q.ky = 'c' AND p.x <> q.y AND NOT EXISTS (SELECT 1 FROM pairs k WHERE k.kx = 'a' AND k.ky = 'c' AND k.x = p.x AND k.y = q.y)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a, c ORDER BY s DESC, b) AS k FROM met)
 SELECT a, c, count(*) AS bridges, CAST(sum(CASE WHEN k <= 5 THEN s END) AS BIGINT) AS score, min_by(b, k) AS best FROM rk GROUP BY a, c HAVING count(*) >= 2 ORDER BY score DESC, bridges DESC, a, c LIMIT 40"""
-_PAGERANK_STEPS = 5
 
 
-def _pagerank_sql(n: int = _PAGERANK_STEPS) -> str:
+def _pagerank_sql(n: int = 100) -> str:
     steps = [W + EDGE_ROWS, "outw AS (SELECT s, sum(weight) AS total FROM nbr GROUP BY s)", "moves AS (SELECT nbr.s, nbr.t, weight / total AS p FROM nbr JOIN outw USING (s))", "r0 AS (SELECT s AS node, 1.0::DOUBLE / (SELECT count(*) FROM outw) AS rank FROM outw)"]
     for i in range(n):
         steps.append(f"r{i + 1} AS (SELECT t AS node, 0.15::DOUBLE / (SELECT count(*) FROM outw) + 0.85::DOUBLE * sum(p * rank) AS rank FROM moves JOIN r{i} ON s = node GROUP BY t)")
@@ -226,21 +235,22 @@ QUERIES = {
         lambda s, d: G.edges(G.in_years(claims(s, d), 1996, 1997)).select("src", "rel", "dst", "papers"),
         W.replace("JOIN customer ON o_custkey = c_custkey", "JOIN customer ON o_custkey = c_custkey WHERE coalesce(year(o_orderdate), 0) BETWEEN 1996 AND 1997") + EDGE_ROWS + " SELECT src, rel, dst, papers FROM edges",
     ),
-    "graph_pagerank": (lambda s, d: G.pagerank(_links(s, d), iterations=_PAGERANK_STEPS).select("node", F.round("rank", 6).alias("rank")), _pagerank_sql()),
-    # the SQL of graph_pagerank fixes five steps; this is the whole job, every step of it unrolled in SQL
-    "graph_pagerank_converged": (lambda s, d: G.pagerank(cut(_links(s, d))).select("node", F.round("rank", 6).alias("rank")), _pagerank_sql(100)),
+    "graph_pagerank": (lambda s, d: G.pagerank(cut(_links(s, d))).select("node", F.round("rank", 6).alias("rank")), _pagerank_sql()),
     "graph_within": (
         lambda s, d: G.within(_links(s, d).where("weight >= 40"), ["condition:Brand#11"], 2),
         W + EDGE_ROWS + """, n2 AS (SELECT * FROM nbr WHERE weight >= 40), d1 AS (SELECT DISTINCT t AS node FROM n2 WHERE s = 'condition:Brand#11'), d2 AS (SELECT DISTINCT t AS node FROM n2 WHERE s IN (SELECT node FROM d1))
         SELECT 'condition:Brand#11' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 WHERE node NOT IN (SELECT node FROM d1) AND node <> 'condition:Brand#11'""",
     ),
     "graph_paths": (
-        lambda s, d: G.strongest_paths(_links(s, d), "countermeasure:cm1", "geometry:BUILDING", 3, 3),
-        W + EDGE_ROWS + """, p AS (
-          SELECT x.s || ' > ' || x.t AS path, 1.0::DOUBLE / x.weight AS len, x.weight AS support FROM nbr x WHERE x.s = 'countermeasure:cm1' AND x.t = 'geometry:BUILDING'
-          UNION ALL SELECT x.s || ' > ' || x.t || ' > ' || y.t, 1.0::DOUBLE / x.weight + 1.0::DOUBLE / y.weight, least(x.weight, y.weight) FROM nbr x JOIN nbr y ON x.t = y.s WHERE x.s = 'countermeasure:cm1' AND y.t = 'geometry:BUILDING' AND x.t <> 'geometry:BUILDING'
-          UNION ALL SELECT x.s || ' > ' || x.t || ' > ' || y.t || ' > ' || z.t, 1.0::DOUBLE / x.weight + 1.0::DOUBLE / y.weight + 1.0::DOUBLE / z.weight, least(x.weight, y.weight, z.weight) FROM nbr x JOIN nbr y ON x.t = y.s JOIN nbr z ON y.t = z.s WHERE x.s = 'countermeasure:cm1' AND z.t = 'geometry:BUILDING' AND x.t <> 'geometry:BUILDING' AND y.t NOT IN ('geometry:BUILDING', 'countermeasure:cm1', x.t))
-        SELECT path, round(len, 9) AS length, support FROM p ORDER BY length, path LIMIT 3""",
+        lambda s, d: G.shortest_paths(cut(_links(s, d)), "countermeasure:cm1", "geometry:BUILDING", 5),
+        # paths of three hops at most bound the length of the fifth; whatever is no longer is walked to its end
+        "WITH RECURSIVE" + (W + EDGE_ROWS).removeprefix("WITH") + """, h AS (SELECT 1.0::DOUBLE / weight AS len FROM nbr WHERE s = 'countermeasure:cm1' AND t = 'geometry:BUILDING'
+          UNION ALL SELECT 1.0::DOUBLE / x.weight + 1.0::DOUBLE / y.weight FROM nbr x JOIN nbr y ON x.t = y.s WHERE x.s = 'countermeasure:cm1' AND y.t = 'geometry:BUILDING' AND x.t <> 'geometry:BUILDING'
+          UNION ALL SELECT 1.0::DOUBLE / x.weight + 1.0::DOUBLE / y.weight + 1.0::DOUBLE / z.weight FROM nbr x JOIN nbr y ON x.t = y.s JOIN nbr z ON y.t = z.s WHERE x.s = 'countermeasure:cm1' AND z.t = 'geometry:BUILDING' AND x.t <> 'geometry:BUILDING' AND y.t NOT IN ('geometry:BUILDING', 'countermeasure:cm1', x.t)),
+        most AS (SELECT max(len) AS most FROM (SELECT len FROM h ORDER BY len LIMIT 5)),
+        walk AS (SELECT ['countermeasure:cm1'] AS path, 'countermeasure:cm1' AS node, 0.0::DOUBLE AS len, CAST(NULL AS HUGEINT) AS support
+          UNION ALL SELECT list_append(path, t), t, len + 1.0::DOUBLE / weight, least(support, CAST(weight AS HUGEINT)) FROM walk JOIN nbr ON node = s CROSS JOIN most WHERE node <> 'geometry:BUILDING' AND NOT list_contains(path, t) AND len + 1.0::DOUBLE / weight <= most * (1 + 1e-9))
+        SELECT array_to_string(path, ' > ') AS path, round(len, 9) AS length, CAST(support AS BIGINT) AS support FROM walk WHERE node = 'geometry:BUILDING' ORDER BY length, path LIMIT 5""",
     ),
     "graph_key_links": (
         lambda s, d: G.key_links(_links(s, d)),
@@ -252,6 +262,7 @@ QUERIES = {
     ),
     "graph_betweenness": (lambda s, d: G.betweenness(cut(_links(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),
     "graph_communities": (lambda s, d: G.communities(_links(s, d)), None),
+    "graph_modularity": (lambda s, d: G.modularity_communities(cut(_links(s, d))), None),
     "risk_evidence": (lambda s, d: _found(s, d), W + RISK_SQL + " SELECT * FROM found"),
     "risk_countermeasures": (
         lambda s, d: R.countermeasures(_hits(s, d)),
@@ -260,7 +271,10 @@ QUERIES = {
     ),
     "risk_key_findings": (lambda s, d: R.key_findings(_hits(s, d)), W + RISK_SQL + " SELECT risk, row_number() OVER (PARTITION BY risk ORDER BY w DESC, paper_id) AS rank, paper_id, CAST(w AS DOUBLE) AS w FROM papers QUALIFY rank <= 8"),
     "mission_briefing": (lambda s, d: R.briefing(_profiles(s), R.definitions(s, MISSION_RISKS), _found(s, d)), W + RISK_SQL + _BRIEF),
-    "mission_atmosphere": (lambda s, d: R.atmosphere(_profiles(s)), f"SELECT mission, round(kpa::DOUBLE / 6.895::DOUBLE, 1) AS psia, round(kpa::DOUBLE * o2::DOUBLE / 100, 1) AS pp_o2 FROM (VALUES {_PROFILE_SQL}) p(mission, a, b, c, o2, kpa)"),
+    "mission_atmosphere": (
+        lambda s, d: R.atmosphere(_cabins(s, d)),
+        "SELECT 'part ' || p_partkey AS mission, round((20 + p_partkey % 120)::DOUBLE / 6.895::DOUBLE, 1) AS psia, round((20 + p_partkey % 120)::DOUBLE * (10 + p_size)::DOUBLE / 100, 1) AS pp_o2 FROM part",
+    ),
     "abc_hypotheses": (lambda s, d: D.hypotheses(D.pair_papers(_tagged(s, d)), ("a",), ("c",)), W + _TAGGED),
     "envelope": (
         lambda s, d: P.envelope(_experiments(s, d), ("flow", "oxygen")),

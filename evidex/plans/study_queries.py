@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidex.functions import formatting
+from evidex.functions.lineage import shared_folder
 from evidex.operators import consensus as C
+from evidex.operators import boosting, dedupe, predict, qa
 from evidex.operators import coverage as V
-from evidex.operators import dedupe, predict, qa
 from evidex.operators import extract as X
 from evidex.operators import graph as G
 from evidex.operators import text as T
@@ -16,7 +19,7 @@ from evidex.plans.claims import claims, read
 from evidex.plans.corpus_queries import TERMS, _docs, _vectors
 from evidex.plans.evidence_queries import _ID, EDGE_ROWS, GROUPS, VOTES, W
 from evidex.plans.understanding_queries import _WS, BY_TYPE, _by_count, _quoted, worth
-from evidex.sources import export, records
+from evidex.sources import export, paged, records
 
 #: What the words of the test prose stand for.
 PLATFORMS = {"orbital": "than|que", "short": "the|les", "ground": "and|die", "model": "ing|und"}
@@ -24,6 +27,7 @@ BY_OUTCOME = {"1": "spread", "2": "spread", "3": "no_spread", "4": "marginal"}
 TYPICAL = {"Brand#11": (34.0, 56.5, 5.0), "Brand#12": (21.0, 70.3, 10.0)}
 BETTER = {"direction": ("increase", "decrease"), "effect": ("effective", "unknown")}
 GLOSSARY = ["the", "tion", "them"]
+FUELS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
 def _context(s, d):
@@ -115,6 +119,74 @@ def _found_records(s, d):
     return lists[0].unionByName(lists[1])
 
 
+def _pages(s, d, size=100):
+    """The result lists of :func:`_found_records` as pages of a search service, cached in the shared folder and read through the data source."""
+    found = _found_records(s, d).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("pos")) - 1)
+    start = (F.floor(F.col("n") / size) * size).cast("int")
+    total = found.groupBy("query").agg(F.count("*").alias("total"))
+    lists = found.groupBy("query", start.alias("from")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "rec"))), lambda x: x["rec"]).alias("results")).join(total, "query")
+    rows = lists.select("query", "from", F.struct("results", F.struct("total").alias("stats")).alias("response"), F.regexp_replace("query", " ", "_").alias("slug"), F.lpad(F.col("from").cast("string"), 6, "0").alias("start"))
+    path = f"{shared_folder(rows).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    rows.repartition("slug", "start").write.partitionBy("slug", "start").json(path)
+    return paged.read_result_pages(s, path)
+
+
+def _audited(s, d):
+    found = _pages(s, d)
+    merged = records.merge_pages(found)
+    rows = records.flat(merged).withColumnRenamed("pdf_url", "pdf").join(merged.select("id", F.col("rec.stiType").alias("sti_type")), "id")
+    files = read(s, d, "pages").where("page_id % 4 = 0").select(F.col("page_id").cast("string").alias("id"), F.length("html").alias("bytes"))
+    texts = _docs(s, d).where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return records.source_audit(found.groupBy("query").agg(F.count("*").alias("total")), rows, files, texts, read(s, d, "events").where("event_id % 97 = 0"))
+
+
+#: Vocabularies by role, and the words that sentences of claims are made of.
+ROLES = {
+    "outcome": {"spread": "flame spread", "soot": "soot(?: yield)?", "ignition": "ignition|igniting"}, "condition": {"microgravity": "micro-?gravity", "oxygen": "high oxygen|oxygen-rich"},
+    "fuel": {"paper": "paper|cellulose", "cotton": "cotton"}, "geometry": {"sheet": "sheets?", "rod": "rods?|cylinders?"}, "species": {"co": "CO", "water": "water vapou?r", "soot": "soot"}, "countermeasure": {"co2": "CO2", "mist": "water mist"},
+}
+IMPLIED = {"ignition": {"could not ignite": "decrease"}}
+_PARTS = (
+    ("", "Previous studies aside, ", "In microgravity ", "As in high oxygen and microgravity, ", "Under oxygen-rich conditions "), ("the flame spread", "the soot yield", "soot and ignition, then ignition again,", "the colour of the flame"),
+    (" increased", " was reduced by much", " did not change", " grew and declined", " stayed, as it could not ignite,", " was as expected", " was faster, higher and lower"), (" over paper", " over thin cotton sheets", " on rods of paper", "", " around non-paper cylinders"),
+    (".", " with CO2.", " as CO2 suppressed it.", " though water mist did not prevent it, with CO and water vapor.", " while soot and CO were measured in all of the runs that were made."),
+)
+
+
+def _told_claims(s, d):
+    """(doc, pos, kind, sentence): a sentence for each line of an order, made from the line's keys; and the reports' profiles."""
+    line = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    k = F.col("l_partkey") + F.col("l_suppkey") * 7 + F.col("l_linenumber")
+    words = [F.element_at(F.array(*map(F.lit, p)), (F.floor(k / n) % len(p) + 1).cast("int")) for p, n in zip(_PARTS, (1, 5, 3, 11, 2), strict=True)]
+    kinds = F.array(*map(F.lit, ("ABSTRACT", "RESULTS", "INTRO", "DISCUSS", "CONCL")))
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("int")
+    sentences = line.select(F.col("l_orderkey").alias("doc"), pos.alias("pos"), F.element_at(kinds, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("kind"), F.concat(*words).alias("sentence"))
+    key = F.col("o_orderkey")
+    some = lambda n, v: F.when(key % n == 0, F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    profiles = read(s, d, "orders").select(key.alias("doc"), some(2, "cotton").alias("fuels"), some(3, "microgravity").alias("conditions"), some(5, "rod").alias("geometries"))
+    return sentences, profiles
+
+
+def _evidence(s, d):
+    return X.evidence(*[_told_claims(s, d)[0], ROLES, _told_claims(s, d)[1]], implied=IMPLIED)
+
+
+def _summarised(s, d):
+    k = F.col("doc_id")
+    papers = _docs(s, d).select(
+        k.alias("doc"), F.concat(F.lit("On "), "source").alias("title"), F.when(k % 3 > 0, F.col("text")).alias("abstract"), F.when(k % 2 == 0, F.array(F.lit("Paper"), F.lit("Cotton"))).alias("fuels"), F.array(F.lit("Low gravity")).alias("conditions"),
+        F.when(k % 5 == 0, F.array(F.lit("Drop tower"))).alias("platforms"), F.when(k % 4 == 0, (k % 7).cast("int")).alias("n_tests"), F.when(k % 6 == 0, "5 s").alias("duration"), F.when(k % 7 == 0, F.array(F.lit("BASS"), F.lit("FLEX"))).alias("experiments"),
+        F.array().cast("array<string>").alias("missions"), F.when(k % 9 == 0, "21 % O2").alias("atmosphere"),
+    )
+    quotes = _docs(s, d).select(k.alias("doc"), F.explode(F.sequence(F.lit(1), (k % 4).cast("int") + 1)).alias("rank")).select("doc", "rank", F.concat(F.lit("quote "), "rank").alias("quote")).where("doc % 4 > 0")
+    return X.summaries(papers, quotes).select("doc", F.md5(F.col("l1").cast("binary")).alias("l1"), F.array_join("l2", "|").alias("l2"), F.md5(F.col("l3").cast("binary")).alias("l3"))
+
+
+def _regimes(s, d):
+    rows = predict.experiment_rows(*_experiments(s, d), BY_OUTCOME, TYPICAL).withColumn("key", F.concat_ws("|", "finding", "paper", "fuel", "condition", "outcome", "regime")).dropDuplicates(["key"])
+    return boosting.accuracy(boosting.cross_validated(rows, ("oxygen", "pressure", "flow"), "regime", "key", ("no_spread", "marginal", "spread"), "fuel", FUELS, trees=40))
+
+
 def _texts(s, d):
     docs = _docs(s, d).select(F.col("doc_id").alias("id"), "text")
     return docs.where("id % 3 = 0"), docs.where("id % 2 = 0").withColumn("text", F.concat(F.lit("scan: "), "text"))
@@ -226,13 +298,13 @@ QUERIES = {
         "SELECT p_partkey, lower(p_type) AS surname, lower(p_name) || ' ' || p_type AS label, round(p_size * CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 6.89476 WHEN 2 THEN 101.325 WHEN 3 THEN 100 END::DOUBLE, 6) AS kpa FROM part",
     ),
     "records_merged": (
-        lambda s, d: records.flat(records.merge_pages(_found_records(s, d))),
+        lambda s, d: records.flat(records.merge_pages(_pages(s, d))),
         """SELECT CAST(page_id AS VARCHAR) AS id, 'A title of ' || url AS title, CAST(CASE WHEN page_id % 4 <> 0 THEN page_id % 30 + 1990 ELSE 1989 END AS INT) AS year, 'Doe, J.; Roe, R.' AS authors, CASE WHEN page_id % 3 = 0 THEN 'about ' || page_id END AS abstract, 'C' AS center,
         CASE WHEN page_id % 2 = 0 THEN 'p' || page_id END AS pdf_url, CASE WHEN page_id % 5 = 0 THEN '10.1/' || page_id ELSE '10.2/x' END AS doi, concat_ws('; ', CASE WHEN page_id % 2 = 0 THEN 'query 2' END, CASE WHEN page_id % 3 = 0 THEN 'query 3' END) AS queries FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0""",
     ),
     "records_audited": (
-        lambda s, d: records.audit_measures(records.flat(records.merge_pages(_found_records(s, d))).withColumnRenamed("pdf_url", "pdf"), _docs(s, d).select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 300).alias("text")).where("id % 3 = 0")),
-        """WITH p AS (SELECT page_id AS k, page_id % 2 = 0 AS pdf, page_id % 3 = 0 AS abstract FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0), t AS (SELECT doc_id AS k, trim(text[1:300], ' ') AS t FROM documents WHERE doc_id % 3 = 0)
+        lambda s, d: records.audit_measures(records.flat(records.merge_pages(_found_records(s, d))).withColumnRenamed("pdf_url", "pdf"), _docs(s, d).select(F.col("doc_id").cast("string").alias("id"), "text").where("id % 3 = 0")),
+        """WITH p AS (SELECT page_id AS k, page_id % 2 = 0 AS pdf, page_id % 3 = 0 AS abstract FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0), t AS (SELECT doc_id AS k, trim(text, ' ') AS t FROM documents WHERE doc_id % 3 = 0)
         SELECT 'records' AS measure, count(*) AS n FROM p UNION ALL SELECT 'with_pdf', count(*) FILTER (pdf) FROM p UNION ALL SELECT 'without_pdf', count(*) FILTER (NOT pdf) FROM p UNION ALL SELECT 'without_pdf_and_abstract', count(*) FILTER (NOT pdf AND NOT abstract) FROM p
         UNION ALL SELECT 'without_abstract', count(*) FILTER (NOT abstract) FROM p UNION ALL SELECT 'without_year', 0 UNION ALL SELECT 'texts', count(t) FROM t UNION ALL SELECT 'short_texts', count(*) FILTER (length(t) < 200) FROM t UNION ALL SELECT 'text_chars', CAST(sum(length(t)) AS BIGINT) FROM t
         UNION ALL SELECT 'not_extracted', count(*) FROM p WHERE pdf AND k NOT IN (SELECT k FROM t WHERE t IS NOT NULL)""",
@@ -242,4 +314,26 @@ QUERIES = {
         "SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 = 0 AND text IS NOT NULL THEN md5(text) WHEN doc_id % 2 = 0 THEN md5('scan: ' || text) END AS digest FROM documents",
     ),
     "pending_papers": (lambda s, d: records.pending(_docs(s, d).select(F.col("doc_id").alias("id")), _texts(s, d)[0].select("id")), "SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 0"),
+    "findings_full": (_evidence, None),
+    "report_summaries": (
+        _summarised,
+        r"""WITH p AS (SELECT doc_id AS doc, 'On ' || source AS title, CASE WHEN doc_id % 3 > 0 THEN text END AS abstract FROM documents),
+        x AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(coalesce(abstract, ''), '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda t: length(t) > 30) AS st FROM p),
+        y AS (SELECT *, list_filter(st, lambda t: regexp_matches(t, '(?i)\b(?:suggest|indicate|conclu|demonstrat|show|reveal)\w*')) AS cs FROM x)
+        SELECT doc, md5(coalesce(cs[-1], st[-1], title)) AS l1, 'Studied: ' || CASE WHEN doc % 2 = 0 THEN 'Paper, Cotton' ELSE 'n/a' END || ' · Low gravity|Platform: ' || CASE WHEN doc % 5 = 0 THEN 'Drop tower' ELSE 'n/a' END
+          || coalesce(' · ' || nullif(concat_ws(' · ', CASE WHEN doc % 4 = 0 AND doc % 7 > 0 THEN doc % 7 || ' tests' END, CASE WHEN doc % 6 = 0 THEN '5 s freefall' END, CASE WHEN doc % 7 = 0 THEN 'BASS, FLEX' END, CASE WHEN doc % 9 = 0 THEN '21 % O2' END), ''), '') || CASE WHEN doc % 4 > 0 THEN '|quote 1|quote 2' ELSE '' END AS l2,
+          md5(CASE WHEN length(abstract) > 0 THEN abstract ELSE title END) AS l3 FROM y""".replace("\\u00b7", "·"),
+    ),
+    "regime_boosting": (_regimes, None),
+    "source_profile": (
+        _audited,
+        """WITH r AS (SELECT page_id AS k, page_id % 2 = 0 AS pdf, page_id % 3 = 0 AS abstract, CASE WHEN page_id % 4 <> 0 THEN page_id % 30 + 1990 ELSE 1989 END AS year FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0),
+        f AS (SELECT page_id AS k, length(html) AS bytes FROM pages WHERE page_id % 4 = 0), t AS (SELECT trim(text, ' ') AS t FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL),
+        a AS (SELECT 'records' AS measure, 'all' AS key, count(*) AS n FROM r UNION ALL SELECT 'with_pdf', 'all', count(*) FILTER (pdf) FROM r UNION ALL SELECT 'without_pdf', 'all', count(*) FILTER (NOT pdf) FROM r UNION ALL SELECT 'without_pdf_and_abstract', 'all', count(*) FILTER (NOT pdf AND NOT abstract) FROM r
+          UNION ALL SELECT 'without_abstract', 'all', count(*) FILTER (NOT abstract) FROM r UNION ALL SELECT 'without_year', 'all', 0 UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM r GROUP BY year UNION ALL SELECT 'decade', year // 10 || '0s', count(*) FROM r GROUP BY year // 10
+          UNION ALL SELECT 'type', 'report', count(*) FROM r HAVING count(*) > 0 UNION ALL SELECT 'center', 'C', count(*) FROM r HAVING count(*) > 0 UNION ALL SELECT 'hits', 'query 2', count(*) FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'hits', 'query 3', count(*) FROM pages WHERE page_id % 3 = 0
+          UNION ALL SELECT 'fetched', 'all', count(*) FROM f UNION ALL SELECT 'fetched_bytes', 'all', CAST(sum(bytes) AS BIGINT) FROM f UNION ALL SELECT 'not_fetched', 'all', count(*) FROM r WHERE pdf AND k NOT IN (SELECT k FROM f) UNION ALL SELECT 'failures', 'all', count(*) FROM events WHERE event_id % 97 = 0
+          UNION ALL SELECT 'texts', 'all', count(*) FROM t UNION ALL SELECT 'short_texts', 'all', count(*) FILTER (length(t) < 200) FROM t UNION ALL SELECT 'text_chars', 'all', CAST(sum(length(t)) AS BIGINT) FROM t)
+        SELECT * FROM a""",
+    ),
 }

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidex.operators import extract as X
+from evidex.operators import likeness as L
 from evidex.operators import predict, qa
 from evidex.operators import retrieval as R
 from evidex.operators import text as T
 from evidex.operators import understanding as U
 from evidex.plans.claims import CLAIMS_SQL, claims, read
-from evidex.plans.corpus_queries import DENSE, TERMS, _dense, _docs
+from evidex.plans.corpus_queries import DENSE, TERMS, _asking, _dense, _docs
 
 #: Test vocabularies by type, and synonyms of their terms.
 BY_TYPE = {"condition": {"of": "of", "was": "was"}, "outcome": {"the": "the", "that": "that", "with": "with"}, "fuel": {"rest": "er|re", "in": "in|an"}}
@@ -42,11 +43,6 @@ def _questions(s, d):
     return read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 
 
-def _asking(s, d):
-    """The documents that ask: their number is that of the vector query beside them."""
-    return _docs(s, d).where(F.col("doc_id") % 100 == 0).select((F.col("doc_id") / 100 + 1).cast("int").alias("query"), "text")
-
-
 def _tagged(s, d):
     return _docs(s, d).select(F.col("doc_id").alias("doc"), X.tags(F.col("text"), TERMS).alias("entities"))
 
@@ -125,6 +121,15 @@ def worth(s, d):
     return _passages(s, d).withColumn("score", score)
 
 
+def liked(s, d):
+    """The scores of :func:`worth` with likeness: each ten documents answer the first user's turn of the dialogue of that number."""
+    first = read(s, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query")).agg(F.min_by("text", "turn").alias("question"))
+    passages = worth(s, d).where("score is not null")
+    axes = L.leading_axes(passages)
+    alike = L.likeness(F.col("sentence"), F.coalesce("question", F.lit("")), axes)
+    return passages.join(first, "query", "left").withColumn("likeness", F.round(alike, 4)).withColumn("score", F.round(F.col("score") + 6 * F.col("likeness"), 6)).drop("question")
+
+
 _SENTENCES = r"""x AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence,
   generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) - 1 AS pos FROM documents), st AS (SELECT doc, CAST(pos AS INT) AS pos, trim(sentence) AS sentence FROM x WHERE trim(sentence) <> '')"""
 _FIT = r"length(sentence) BETWEEN 60 AND 420 AND NOT regexp_matches(lower(sentence), '^(fig|figure|table)') AND length(regexp_replace(sentence, '[^A-Z]', '', 'g')) / length(sentence) <= 0.3"
@@ -234,6 +239,7 @@ QUERIES = {
           - regexp_matches(low, '{qa.BACKGROUND}')::INT - 0.8::DOUBLE * regexp_matches(low, '{qa.METHOD}')::INT - 0.35::DOUBLE * regexp_matches(low, '{qa.DANGLING}')::INT + CASE WHEN query % 2 <> 0 THEN 0 WHEN contains(sentence, 'that') THEN 0.5 ELSE -0.7 END::DOUBLE, 6) + 0 END AS score FROM c""",
     ),
     "answer_selection": (lambda s, d: qa.selected(worth(s, d)), None),
+    "sentence_likeness": (lambda s, d: liked(s, d).select("query", "n", "pos", "likeness", "score"), None),
     "answer_metrics": (
         lambda s, d: qa.answer_metrics(_answers(s, d)),
         """WITH a AS (SELECT turn % 3 <> 0 AS answerable, length(text) % 5 = 0 AS refused, conv_id % 4 AS citations, turn % 2 AS invalid, length(text) % 100 / 100.0::DOUBLE AS support, CAST(length(text) AS DOUBLE) AS latency FROM conversations)
@@ -242,7 +248,7 @@ QUERIES = {
     ),
     "answer_confidence": (
         lambda s, d: _answers(s, d).select(qa.confidence(F.col("support"), F.col("citations") / 4, F.col("answerable"), F.col("citations")).alias("score")).groupBy("score", qa.confidence_label(F.col("score")).alias("label")).agg(F.count("*").alias("n")),
-        """WITH s AS (SELECT round(0.55::DOUBLE * (length(text) % 100 / 100.0::DOUBLE) + 0.25::DOUBLE * (conv_id % 4) / 4 + 0.1::DOUBLE * (turn % 3 <> 0)::INT + 0.1::DOUBLE * least(conv_id % 4 / 5.0::DOUBLE, 1), 3) AS score FROM conversations)
+        """WITH s AS (SELECT CAST((55 * (length(text) % 100) * 10 + 2500 * (conv_id % 4) // 4 * 10 + 10000 * (turn % 3 <> 0)::INT + 2000 * least(conv_id % 4, 5) + 50) // 100 AS DOUBLE) / 1000 AS score FROM conversations)
         SELECT score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM s GROUP BY score""",
     ),
     "training_subset": (

@@ -98,3 +98,52 @@ def audit_measures(rows: DataFrame, texts: DataFrame, short: int = 200) -> DataF
     pending_texts = rows.where(there("pdf")).join(texts.where("text is not null"), "id", "left_anti").agg(F.count("*").alias("not_extracted"))
     each = lambda one_row: one_row.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in one_row.columns)), F.array(*one_row.columns))).alias("measure", "n"))
     return each(one).unionByName(each(two)).unionByName(each(pending_texts))
+
+
+def profiled(rows: DataFrame, sets: dict[str, Sequence[str]], none: str = "unknown", **measures: Column) -> DataFrame:
+    """(set, key, n, and each of ``measures``): rows and sums of expressions by several groupings at once, from one pass.
+
+    ``sets`` names the columns of each grouping, none of them for the whole; keys of several columns are joined by a slash.
+    Nulls and empty texts count under ``none``.  An empty table gives no rows.
+    """
+    fields = sorted({c for columns in sets.values() for c in columns})
+    text = rows.select(*(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none)).alias(f"_{c}") for c in fields), *(m.alias(k) for k, m in measures.items()))
+    rolled = text.groupingSets([[F.col(f"_{c}") for c in columns] for columns in sets.values()], *(F.col(f"_{c}") for c in fields)).agg(F.grouping_id().alias("_gid"), F.count("*").alias("n"), *(F.sum(k).alias(k) for k in measures))
+    # a bit is set for each column that a grouping leaves out
+    gid = {name: sum(1 << (len(fields) - 1 - i) for i, c in enumerate(fields) if c not in columns) for name, columns in sets.items()}
+    name = F.lit(None).cast("string")
+    for k, v in gid.items():
+        name = F.when(F.col("_gid") == v, k).otherwise(name)
+    whole = rolled.select(name.alias("set"), F.concat_ws("/", *(F.col(f"_{c}") for c in fields)).alias("key"), "n", *measures)
+    return whole
+
+
+def source_audit(found: DataFrame, rows: DataFrame, files: DataFrame, texts: DataFrame, failures: DataFrame, short: int = 200) -> DataFrame:
+    """(measure, key, n): all that an audit of a source tells.
+
+    ``found`` has (query, total) of each page of results, ``rows`` the flat records (id, year, abstract, pdf, sti_type,
+    center), ``files`` (id, bytes) of the documents fetched, ``texts`` (id, text) of those read, ``failures`` a row for
+    each that failed.  Records are counted in one pass by grouping sets.
+    """
+    there = lambda c: F.coalesce(F.length(F.col(c).cast("string")) > 0, F.lit(False))
+    one = lambda c: c.cast("bigint")
+    year = F.nullif(F.col("year").cast("string"), F.lit(""))
+    measured = profiled(
+        rows.withColumn("_y", year).withColumn("_d", F.concat(F.substring(year, 1, 3), F.lit("0s"))).withColumn("_c", F.coalesce(F.nullif("center", F.lit("")), F.lit("none"))),
+        {"records": (), "year": ("_y",), "decade": ("_d",), "type": ("sti_type",), "center": ("_c",)},
+        with_pdf=one(there("pdf")), without_pdf=one(~there("pdf")), without_pdf_and_abstract=one(~there("pdf") & ~there("abstract")), without_abstract=one(~there("abstract")), without_year=one(~there("year")),
+    )
+    sums = ("with_pdf", "without_pdf", "without_pdf_and_abstract", "without_abstract", "without_year")
+    groups = measured.where("set <> 'records'").select(F.col("set").alias("measure"), "key", "n")
+    whole = measured.where("set = 'records'").select(F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.lit("all").alias("key"), F.coalesce(F.col(c), F.lit(0)).alias("n")) for k, c in (("records", "n"), *((s, s) for s in sums))))).alias("x")).select("x.*")
+    size = F.length(F.trim("text"))
+    fetched = files.agg(F.count("*").alias("fetched"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("fetched_bytes"))
+    read = texts.where("text is not null").agg(F.count("*").alias("texts"), F.count_if(size < short).alias("short_texts"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("text_chars"))
+    failed = failures.agg(F.count("*").alias("failures"))
+    missing = rows.where(there("pdf")).join(files, "id", "left_anti").agg(F.count("*").alias("not_fetched"))
+    hits = found.groupBy("query").agg(F.max("total").cast("bigint").alias("n")).select(F.lit("hits").alias("measure"), F.col("query").alias("key"), "n")
+    each = lambda t: t.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.lit("all").alias("key"), F.col(c).alias("n")) for c in t.columns))).alias("x")).select("x.*")
+    out = groups.unionByName(whole).unionByName(hits)
+    for t in (fetched, read, failed, missing):
+        out = out.unionByName(each(t))
+    return out

@@ -65,10 +65,9 @@ def plain_findings(sentences):
         if not n:
             continue
         condition = condition if m else None
-        at = match(corpus_queries.OUTCOMES[outcome]).search(s).start() + 1
-        begin = max(at - 70, 1)
-        near = s[begin - 1 : begin + 139].lower()
-        up, down, same = (len(re.findall(extract.CUES[k], near)) for k in ("increase", "decrease", "no_change"))
+        met = match(corpus_queries.OUTCOMES[outcome]).search(s)
+        near = s[max(met.start() - 70, 0) : met.end() + 70]
+        up, down, same = (len(re.findall(corpus_queries.CUES[k], near, re.A)) for k in ("increase", "decrease", "no_change"))
         direction = "no_change" if same else "increase" if up > down else "decrease" if down > up else "mixed" if up else None
         if direction and (condition, outcome, direction) not in seen:
             seen.add((condition, outcome, direction))
@@ -76,6 +75,14 @@ def plain_findings(sentences):
     return [(k + 1, c, o, d, -conf, s) for k, (conf, _, c, o, d, s) in enumerate(sorted(out, key=lambda x: x[:2])[:14])]
 
 
+def plainly_near(quote, source):
+    """Whether a window is alike to 90 per cent, of all that some five characters of the quote place."""
+    m = len(quote)
+    offsets = {q.start() - i for i in range(m - 4) for q in re.finditer(re.escape(quote[i : i + 5]), source)}
+    starts = {k + d for k in offsets for d in range(-m // 10 - 1, m // 10 + 2) if 0 <= k + d <= len(source) - m}
+    return any(10 * extract.common_length(quote, source[k : k + m]) >= 9 * m for k in starts)
+
+
 def test_findings_and_quotes(spark):
     got = defaultdict(list)
     for r in catalogue.queries()["findings_extract"](spark, SF).collect():
@@ -85,7 +92,11 @@ def test_findings_and_quotes(spark):
         sentences = [s.strip(" ") for s in re.split(text.SENTENCE, body or "")]
         assert sorted(got.get(doc, [])) == sorted(plain_findings([s for s in sentences if s] if all(sentences) else sentences)), doc
     quoted = {r["doc"]: (r["n"], r["ok"]) for r in catalogue.queries()["quote_guard"](spark, SF).collect()}
-    assert quoted == {d: (len(f), sum(len(x[-1]) >= 20 and x[-1] in whole[d] for x in f)) for d, f in got.items()}
+    given = defaultdict(list)
+    for r in corpus_queries.quotes(spark, SF).collect():
+        given[r["doc"]].append(r["quote"])
+    assert quoted == {d: (len(q), sum(len(x) >= 20 and (x in whole[d] or plainly_near(x, whole[d])) for x in q)) for d, q in given.items()}
+    assert 0.5 < sum(ok for _, ok in quoted.values()) / sum(n for n, _ in quoted.values()) < 0.9
 
 
 def test_betweenness_of_the_claims_graph(spark):
@@ -129,7 +140,7 @@ def test_betweenness_of_the_claims_graph(spark):
 def test_hedged_sentences_are_no_findings(spark):
     said = ["It has been shown that the spreading of these is rising and going on and on in all.", "The of spreading is the rising and going on and on in all of these places."]
     table = spark.createDataFrame([(1, i, x) for i, x in enumerate(said)], "doc long, pos int, sentence string")
-    every, plain = (extract.findings(table, {"the": "the"}, {"of": "of"}, hedges=h).collect() for h in ((), extract.HEDGES))
+    every, plain = (extract.findings(table, {"the": "the"}, {"of": "of"}, corpus_queries.CUES, hedges=h).collect() for h in ((), extract.HEDGES))
     # the first of equal findings stays
     assert [r["quote"] for r in every] == said[:1] and [r["quote"] for r in plain] == said[1:]
 
@@ -189,18 +200,18 @@ def test_answers_for_readers(spark):
     assert qa.rendered(said.limit(0), "architect", flown).count() == 0
 
 
-KINDS = {"fuel": {"pmma": "pmma|acrylic", "cotton": "cotton"}, "outcome": {"spread": "flame spread"}}
+KINDS = {"fuel": {"wax": "wax|paraffin", "linen": "linen"}, "outcome": {"glow": "afterglow time"}}
 
 
 def test_entities_are_swapped_and_borrowed(spark):
-    rows = [("flame spread over PMMA and pmma", "what about cotton?"), ("flame spread", "cotton"), ("over cotton", "cotton"), (None, "cotton"), ("", "")]
+    rows = [("afterglow time of wax and wax", "now linen?"), ("afterglow time", "linen"), ("of linen", "linen"), (None, "linen"), ("", "")]
     got = qa.swapped(spark.createDataFrame(rows, "a string, b string"), "a", "b", KINDS).collect()
-    assert [r["swapped"] for r in got] == ["flame spread over cotton and pmma", None, None, None, None]
-    sides = spark.createDataFrame([("flame spread over PMMA", "cotton"), ("cotton", "flame spread over acrylic sheets"), ("steel", "iron")], "a string, b string")
-    assert [tuple(r) for r in qa.borrowed(sides, KINDS).collect()] == [("flame spread over PMMA", "flame spread over cotton"), ("flame spread over cotton sheets", "flame spread over acrylic sheets"), ("steel", "iron")]
-    turns = spark.createDataFrame([(1, 0, "user", "How fast is flame spread over PMMA in still air"), (1, 1, "user", "what about cotton?"), (1, 2, "user", "and why so?")], "conv_id long, turn int, role string, text string")
+    assert [r["swapped"] for r in got] == ["afterglow time of linen and wax", None, None, None, None]
+    sides = spark.createDataFrame([("afterglow time of wax", "linen"), ("linen", "afterglow time of paraffin sheets"), ("steel", "iron")], "a string, b string")
+    assert [tuple(r) for r in qa.borrowed(sides, KINDS).collect()] == [("afterglow time of wax", "afterglow time of linen"), ("afterglow time of linen sheets", "afterglow time of paraffin sheets"), ("steel", "iron")]
+    turns = spark.createDataFrame([(1, 0, "user", "How long is the afterglow time of wax in still air"), (1, 1, "user", "how about linen?"), (1, 2, "user", "and why so?")], "conv_id long, turn int, role string, text string")
     asked = [r["question"] for r in qa.follow_ups(turns, by_type=KINDS).orderBy("turn").collect()]
-    assert asked == ["How fast is flame spread over PMMA in still air", "How fast is flame spread over cotton in still air", "what about cotton? and why so?"]
+    assert asked == ["How long is the afterglow time of wax in still air", "How long is the afterglow time of linen in still air", "how about linen? and why so?"]
 
 
 def test_boosted_classes_over_folds(spark):
@@ -228,11 +239,10 @@ TESTED = {
     "graph_communities": "test_operators.py: test_communities_settle_or_take_the_least_of_a_cycle", "chunks": "test_chunks_in_the_row_equal_chunks_by_sections",
     "findings_extract": "test_findings_and_quotes", "quote_guard": "test_findings_and_quotes", "near_duplicate_reports": "test_operators.py: test_copies_and_chains_are_settled_like_the_greedy_rule",
     "answer_selection": "test_sentences_are_selected_greedily", "answers_for_readers": "test_answers_for_readers",
+    "graph_modularity": "test_depth.py: test_modularity_merges_equal_plain_ones", "community_themes": "test_depth.py: test_modularity_merges_equal_plain_ones", "findings_full": "test_depth.py: test_full_findings_equal_plain_ones",
+    "regime_boosting": "test_depth.py: test_boosting_equals_plain_trees", "sentence_likeness": "test_depth.py: test_likeness_equals_a_plain_decomposition",
 }
 
 
 def test_every_query_has_sql_or_a_plain_version():
-    bare = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert {q for q in bare if not q.endswith("_by_document")} == set(TESTED)
-    # the searches by documents share all their steps with the stated ones, which have SQL
-    assert all(q.removesuffix("_by_document") in catalogue.oracle_sql() for q in bare if q.endswith("_by_document"))
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == set(TESTED)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidex import catalogue
 from evidex.functions import formatting
 from evidex.operators import consensus, coverage, dedupe, extract, graph, predict, qa, retrieval, risk, text
+from evidex.plans import corpus_queries
 from evidex.sources import export, records
 from evidex.streaming import logs
 
@@ -139,7 +140,7 @@ def test_hyphen_is_part_of_a_word(spark):
 def test_findings_keep_first_and_direction(spark):
     s = "the burning and moving flames were of rising and growing strength in all of them"
     df = spark.createDataFrame([(1, 0, s), (1, 1, s)], "doc long, pos int, sentence string")
-    got = extract.findings(df, {"flames": "flames"}, {"of": "of"}).collect()
+    got = extract.findings(df, {"flames": "flames"}, {"of": "of"}, corpus_queries.CUES).collect()
     assert len(got) == 1 and got[0]["direction"] == "increase" and got[0]["confidence"] == 0.55
 
 
@@ -227,7 +228,7 @@ def test_fusion_cap_and_ties(spark):
 
 def test_every_hundredth_document_is_a_search(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    words = {i: [w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 2] for i, t in docs.items()}
+    words = {i: [w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 2 and w not in retrieval.STOP_WORDS.split()] for i, t in docs.items()}
     mean, df = sum(map(len, words.values())) / len(words), Counter(w for ws in words.values() for w in set(ws))
     want = {}
     for q in (i for i in docs if i % 100 == 0):
@@ -236,14 +237,16 @@ def test_every_hundredth_document_is_a_search(spark):
             score = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in set(words[q]) & set(ws))
             if score > 0:
                 want[q // 100 + 1, i] = score
-    got = {(r["query"], r["doc"]): r["score"] for r in catalogue.queries()["bm25_topk_by_document"](spark, SF).collect()}
+    got = {(r["query"], r["doc"]): r["score"] for r in catalogue.queries()["bm25_topk"](spark, SF).collect()}
     assert {q for q, _ in got} == {q for q, _ in want} and len(got) == sum(min(200, sum(k == q for k, _ in want)) for q in {q for q, _ in want})
     assert all(abs(v - want[k]) < 1e-4 for k, v in got.items())
 
 
 def test_refusal_boundary(spark):
     hits = spark.createDataFrame([(1, 1, 1 / 3), (2, 1, 0.34)], "query int, rank int, coverage double")
-    assert {r["query"]: r["refuse"] for r in qa.refuses(hits).collect()} == {1: True, 2: False}
+    asked = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, None)], "query int, domain boolean")
+    more = hits.union(spark.createDataFrame([(4, 1, 0.79), (5, 1, 0.8)], hits.schema))
+    assert {r["query"]: r["refuse"] for r in qa.refuses(more, asked).collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
 
 
 def test_comparison_and_citations(spark):
