@@ -45,6 +45,14 @@ def group_bias(claims: DataFrame, topic: str, group: str, target: str, least: in
     return rolled.select(topic, "papers", "on_target", F.round(part, 6).alias("share"), (part < share).alias("flagged"))
 
 
+def group_mix(claims: DataFrame, topic: str, group: str, least: int = 5) -> DataFrame:
+    """(topic, group, papers): distinct reports by group for each topic of ``least`` reports, and for all of them as topic ``overall``."""
+    own = claims.select(F.col(topic).cast("string").alias("topic"), F.col(group).alias("group"), "paper_id")
+    sizes = own.where("topic is not null").groupBy("topic").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") >= least)
+    each = own.join(sizes, "topic", "left_semi").unionByName(own.withColumn("topic", F.lit("overall")))
+    return each.where("`group` is not null").groupBy("topic", "group").agg(F.count_distinct("paper_id").alias("papers"))
+
+
 def duration_gap(claims: DataFrame, topic: str, edges=(10.0, 25.0, 40.0), least: int = 3) -> DataFrame:
     """Per topic: longest, upper median and four half-open buckets of the durations.
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from evidex.functions.lineage import cut
 
 
+#: Characters of a band of places in a title.
+BAND = 16
+
+
 def surname(author: Column) -> Column:
     """Before the comma, else the last word."""
     return F.lower(F.when(F.contains(author, F.lit(",")), F.trim(F.substring_index(author, ",", 1))).otherwise(F.element_at(F.split(F.trim(author), r"\s+"), -1)))
@@ -68,9 +72,14 @@ def similar_titles(classes: DataFrame, least: float = 95.0) -> DataFrame:
     sizes = F.array_distinct(F.transform(F.sequence(F.col("n"), reach), size))
     probes = sized.where("n > 0").select("s", F.col("c").alias("y"), F.col("n").alias("m"), "t", F.explode(sizes).alias("g")).where("g <= m")
     every = F.transform(F.sequence(F.lit(0), F.col("m") - F.col("g")), lambda i: F.struct(i.alias("from"), F.substring(F.col("t"), i + 1, F.col("g")).alias("part")))
-    shorter = probes.select("s", "y", "m", F.explode(every).alias("k")).select("s", "y", "m", "k.*")
+    # bands of places are part of the key, so that what many titles of an author share meets only where it stands alike
+    band = lambda at: F.floor(at / BAND).cast("int")
+    far = changes(F.floor(F.col("m") * (1 + off) / (1 - off) + 1e-9))
+    bands = F.sequence(band(F.greatest(F.col("from") - far, F.lit(0))), band(F.col("from") + far))
+    shorter = probes.select("s", "y", "m", F.explode(every).alias("k")).select("s", "y", "m", "k.*").withColumn("band", F.explode(bands))
+    longer = longer.withColumn("band", band(F.col("at")))
     near = (F.col("m") <= F.col("l")) & (F.col("x") != F.col("y")) & (F.col("l") - F.col("m") <= off * (F.col("l") + F.col("m")) + 1e-9) & (F.abs(F.col("at") - F.col("from")) <= changes(F.col("l")))
-    met = longer.join(shorter, ["s", "part"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = longer.join(shorter, ["s", "part", "band"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     named = met.join(classes.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

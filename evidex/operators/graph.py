@@ -209,10 +209,11 @@ def context_edges(claims: DataFrame) -> DataFrame:
     return each.groupBy("src", "rel", "dst").agg(F.count_distinct("paper_id").alias("papers"), F.count("*").alias("findings"))
 
 
-def subgraph(edge_table: DataFrame, kinds: Sequence[str] = (), nodes: Sequence[str] = (), least: int = 2, focus: str | None = None, depth: int = 1, limit: int = 160) -> DataFrame:
+def subgraph(edge_table: DataFrame, kinds: Sequence[str] = (), nodes: Sequence[str] = (), least: int = 2, focus: str | None = None, depth: int = 1, limit: int = 160, members: DataFrame | None = None, community: int | None = None) -> DataFrame:
     """Edges to show: both ends of the kinds (or among the nodes) asked for, ``least`` reports, within ``depth`` of a focus; a top list of twice ``limit``.
 
-    Explicit ``nodes`` make ``kinds`` irrelevant.  Concepts are named ``kind:value``.
+    Explicit ``nodes`` make ``kinds`` irrelevant; with ``members`` (node, community) both ends are of one ``community``.
+    Concepts are named ``kind:value``.
     """
     kept = edge_table.where(F.col("papers") >= least)
     for end in ("src", "dst"):
@@ -220,6 +221,11 @@ def subgraph(edge_table: DataFrame, kinds: Sequence[str] = (), nodes: Sequence[s
             kept = kept.where(F.col(end).isin(*nodes))
         elif kinds:
             kept = kept.where(F.substring_index(end, ":", 1).isin(*kinds))
+    if members is not None and community is not None:
+        inside = members.where(F.col("community") == community).select("node")
+        for end in ("src", "dst"):
+            kept = kept.join(inside.withColumnRenamed("node", end), end, "left_semi")
+        kept = kept.select(*edge_table.columns)
     if focus:
         pairs = kept.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         near = within(pairs, [focus], max(depth, 1)).select("node")

@@ -8,22 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.formatting import mentions
-from evidex.operators.extract import matcher, tags
-from evidex.operators.retrieval import coverage, tokens
+from evidex.operators.extract import DECREASE, INCREASE, NO_CHANGE, matcher, tags
+from evidex.operators.retrieval import coverage
 from evidex.operators.understanding import query_terms
 
-FOLLOW_UP = r"^(and|what about|how about|why|it|they|that|those|this)\b"
+#: Openings and words of questions that refer back, and openings of questions that stand alone.
+FOLLOW_UP = r"(?i)^(?:and |but |so |what about |how about |why |is that|are they|does it|do they)|\b(?:it|they|them|this|that|these|those)\b"
+QUESTION = r"(?i)^\s*(?:how|what|which|why|when|where|who|does|do|did|is|are|was|were|can|could|should|will)\b"
+#: What no answer quotes: captions, credits and addresses; entries of reference lists; lines run together.
+NOT_A_FINDING = (
+    r"(?i)\?\s*$|^\s*(?:fig(?:ure)?|table|photo|plate)\b|\b(?:fig(?:ure)?s?\.?\s*(?:\d+|[IVX]+\b)|tables?\s*\d+|et al|acknowledg|grant (?:no|number)|copyright|all rights reserved|"
+    r"https?://|doi:|presented (?:by|at)|proceedings|\bpp\.\s*\d|\bvol\.\s*\d|\bAIAA[- ]?\d{2})"
+)
+LISTED = r"\b[A-Z]\.,? (?:and|&) [A-Z][a-z]+|\b[A-Z][a-z]+, [A-Z]\.(?: ?[A-Z]\.)?,|\"[^\"]{10,}\s?\""
+RUN_ON = r"[a-z0-9] (?=[A-Z][a-z]+ (?:[a-z]+ ){1,3})"
 
 
 def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", by_type: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
-    """User turns in order, each joined to the one before where it is short or refers back.
+    """User turns in order, each joined to the one before where it refers back, or has two terms at most and isn't a question.
 
     With ``by_type``, entities of the new turn take the place of others of their types in the one before, where there are such.
     """
     before = F.lag(text).over(Window.partitionBy(conv).orderBy(turn))
-    short = F.size(tokens(F.col(text))) <= 4
+    bare = (F.size(query_terms(F.col(text))) <= 2) & ~F.col(text).rlike(QUESTION)
     asks = turns.where("role = 'user'").withColumn("before", before)
-    needs = F.col("before").isNotNull() & (F.lower(text).rlike(FOLLOW_UP) | short)
+    needs = F.col("before").isNotNull() & (F.col(text).rlike(FOLLOW_UP) | bare)
     if by_type:
         put = swapped(asks.withColumn("_needs", needs), "before", text, by_type, "_put")
         return put.select(conv, turn, F.when(F.col("_needs"), F.coalesce(F.col("_put"), F.concat_ws(" ", "before", text))).otherwise(F.col(text)).alias("question"), F.coalesce("_needs", F.lit(False)).alias("rewritten"))
@@ -61,9 +70,11 @@ def refuses(hits: DataFrame, queries: DataFrame, least: float = 0.34, alone: flo
 
 
 def candidate(sentence: Column) -> Column:
-    """Fit to quote: 60 to 420 characters, no caption, not mostly capitals."""
-    capitals = F.length(F.regexp_replace(sentence, "[^A-Z]", "")) / F.greatest(F.length(sentence), F.lit(1))
-    return F.length(sentence).between(60, 420) & ~F.lower(sentence).rlike("^(fig|figure|table)") & (capitals <= 0.3)
+    """Fit to quote: 60 to 420 characters, no caption, credit or entry of a reference list, not run together, not mostly capitals."""
+    letters = F.length(F.regexp_replace(sentence, r"\P{L}", ""))
+    capitals = F.length(F.regexp_replace(sentence, r"\P{Lu}", ""))
+    plain = ~sentence.rlike(NOT_A_FINDING) & ~sentence.rlike(LISTED) & (F.regexp_count(sentence, F.lit(RUN_ON)) < 3)
+    return F.length(sentence).between(60, 420) & plain & (capitals <= 0.3 * letters)
 
 
 def sentence_scores(sentences: DataFrame, terms: Column, per_doc: int = 2, top: int = 6) -> DataFrame:
@@ -100,12 +111,22 @@ def confidence_label(score: Column) -> Column:
     return F.when(score >= 0.75, "high").when(score >= 0.5, "medium").otherwise("low")
 
 
-#: What a sentence's score is made of besides likeness; patterns are matched in lower case.
-EFFECT = r"increas|decreas|reduc|higher|lower|no change|unchanged"
-CUE = r"result|show|found|demonstrat|observ"
-BACKGROUND = r"previous|has been (?:shown|reported)|well known"
-METHOD = r"was (?:measured|used|recorded)|were (?:measured|used|recorded)"
-DANGLING = r"^(?:it|this|these|they|however)\b"
+#: What a sentence's score is made of besides likeness: cues of findings, what others did or will do, how it was done, openings that hang.
+CUE = (
+    r"(?i)\b(?:result|show|found|find|reveal|demonstrat|indicat|suggest|observ|measur|increas|decreas|reduc|extinguish|because|due to|depend|leads? to|caus|whereas|than)\w*"
+)
+BACKGROUND = (
+    r"(?i)\b(?:this (?:paper|report|study|work|project|program|investigation|research|experiment|effort)|the (?:present|current|proposed|planned) (?:study|work|paper|research|experiment|investigation)|"
+    r"we (?:describe|present|propose|plan|will|discuss)|(?:is|are) being (?:studied|conducted|developed|investigated)|(?:was|were|is|are) (?:studied|investigated|examined|presented|described|discussed)\b|"
+    r"will be|objectives?|purpose|goals?\b|aim(?:s|ed)? (?:of|to|at)|in the world|practical applications?|much of the energy|major portion|area of study|this area|future work|"
+    r"remains? (?:unknown|unclear)|is (?:not )?well understood)"
+)
+METHOD = (
+    r"(?i)\b(?:(?:was|were|been) (?:conducted|performed|carried out|burned|tested|selected|chosen|used|employed|obtained|designed|developed|built|extended|summari[sz]ed)|test fuels|"
+    r"we (?:have|had|used|use)|in an effort to|(?:has|have) been the subject|summari[sz]ed here|facilit(?:y|ies) offers?|offers? a unique)\b"
+)
+DANGLING = r"^(?:This|These|Those|Thus|Hence|However|Therefore|It|They|Building upon|In addition|Also|Furthermore)\b"
+EFFECT = (INCREASE, DECREASE, NO_CHANGE)
 
 
 def sentence_score(sentence: Column, section: Column, place: Column, terms: Column, n_entities: Column, likeness: Column, about: Column | None = None) -> Column:
@@ -113,10 +134,10 @@ def sentence_score(sentence: Column, section: Column, place: Column, terms: Colu
 
     ``place`` is the passage's number; ``about`` says, for questions about a condition, whether the sentence is too (null: no such question).
     """
-    low, covered = F.lower(sentence), coverage(sentence, terms)
-    has = lambda pattern: low.rlike(pattern).cast("int")
+    covered = coverage(sentence, terms)
+    has = lambda *patterns: F.greatest(F.lit(0), *(sentence.rlike(p).cast("int") for p in patterns))
     part = F.when(section.isin("ABSTRACT", "RESULTS", "CONCL"), 0.3).when(section == "METHODS", -0.3).otherwise(0.0)
-    score = 6 * likeness + 1.2 * covered + 0.35 * F.least(n_entities, F.lit(3)) + 0.6 * has(EFFECT) + 0.4 * has(CUE) + part - 0.03 * place - has(BACKGROUND) - 0.8 * has(METHOD) - 0.35 * has(DANGLING)
+    score = 6 * likeness + 1.2 * covered + 0.35 * F.least(n_entities, F.lit(3)) + 0.6 * has(*EFFECT) + 0.4 * has(CUE) + part - 0.03 * place - has(BACKGROUND) - 0.8 * has(METHOD) - 0.35 * has(DANGLING)
     if about is not None:
         score = score + F.when(about.isNull(), 0.0).when(about, 0.5).otherwise(-0.7)
     return F.when((covered > 0) | (n_entities > 0), F.round(score, 6))

@@ -18,7 +18,7 @@ ROLES = ("condition", "outcome", "geometry", "fuel", "countermeasure")
 _ROLE_ROWS = " UNION ALL ".join(f"SELECT paper_id, '{r}' AS role, {r} AS value FROM claims" for r in ROLES)
 _NODES = f", nodes AS (SELECT role || ':' || value AS node, count(DISTINCT paper_id) AS papers FROM ({_ROLE_ROWS}) WHERE value IS NOT NULL GROUP BY ALL)"
 #: Sets of two to four reports with neighbouring ids.
-_SETS = ", sets AS (SELECT paper_id // 8 AS set, paper_id FROM (SELECT DISTINCT paper_id FROM claims) QUALIFY count(*) OVER (PARTITION BY paper_id // 8) BETWEEN 2 AND 4), sizes AS (SELECT set, count(*) AS size FROM sets GROUP BY set)"
+_SETS = ", sets AS (SELECT paper_id // 3 AS set, paper_id FROM (SELECT DISTINCT paper_id FROM claims) QUALIFY count(*) OVER (PARTITION BY paper_id // 3) BETWEEN 2 AND 4), sizes AS (SELECT set, count(*) AS size FROM sets GROUP BY set)"
 #: One question per brand and segment; its reports are those whose id leaves the same remainder.
 _ASKED = """, pairs AS (SELECT condition, geometry, row_number() OVER (ORDER BY condition, geometry) AS query FROM (SELECT DISTINCT condition, geometry FROM claims)),
 asked AS (SELECT CAST(query AS INT) AS query, condition AS entity FROM pairs UNION ALL SELECT CAST(query AS INT), geometry FROM pairs),
@@ -41,7 +41,7 @@ def _nodes(s, d):
 
 
 def _sets(s, d):
-    every = claims(s, d).select(F.floor(F.col("paper_id") / 8).alias("set"), "paper_id").distinct()
+    every = claims(s, d).select(F.floor(F.col("paper_id") / 3).alias("set"), "paper_id").distinct()
     fit = every.groupBy("set").count().where("count between 2 and 4").select("set")
     return every.join(fit, "set")
 

@@ -11,6 +11,7 @@ from evidex.operators import dedupe, evaluate, predict, qa
 from evidex.operators import extract as X
 from evidex.operators import retrieval as R
 from evidex.operators import text as T
+from evidex.operators.understanding import STOP
 from evidex.plans.claims import read
 from evidex.sources import export, records
 from evidex.streaming import logs
@@ -67,6 +68,9 @@ lex AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 DENSE = """dv AS (SELECT CAST(q.vec_id // 100 + 1 AS INT) AS query, e.vec_id AS doc, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM embeddings e CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0),
 den AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM dv WHERE score > 0 QUALIFY rank <= 50)"""
 FUSED = f"""{BM25}, {DENSE}, fused AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank - 1)), 9) AS score FROM (SELECT query, doc, rank FROM lex UNION ALL SELECT query, doc, rank FROM den) GROUP BY ALL)"""
+_RUNS = r"len(list_filter(range(1, len(string_split(sentence, ' ')) - 2), lambda i: regexp_matches(string_split(sentence, ' ')[i], '[a-z0-9]$') AND regexp_matches(string_split(sentence, ' ')[i + 1], '^[A-Z][a-z]+$') AND regexp_matches(string_split(sentence, ' ')[i + 2], '^[a-z]+$')))"
+#: Sentences that are fit to quote.
+_FIT = rf"length(sentence) BETWEEN 60 AND 420 AND NOT regexp_matches(sentence, '{qa.NOT_A_FINDING}') AND NOT regexp_matches(sentence, '{qa.LISTED}') AND {_RUNS} < 3 AND length(regexp_replace(sentence, '\P{{Lu}}', '', 'g')) <= 0.3::DOUBLE * length(regexp_replace(sentence, '\P{{L}}', '', 'g'))"
 _SENT = "SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sentence"
 
 
@@ -161,6 +165,10 @@ QUERIES = {
         lambda s, d: R.facets(_docs(s, d).select("doc_id", "lang", "source", "n_chars"), F.col("lang").isin("fr", "es") & (F.col("n_chars") > 500), [F.desc("n_chars"), F.col("doc_id")], 10, 25),
         "WITH h AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('fr', 'es') AND n_chars > 500) SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 10",
     ),
+    "listed_documents": (
+        lambda s, d: R.listing(_docs(s, d).select("doc_id", "lang", "source", F.concat_ws(" ", "source", "lang").alias("title")), _dense(s, d).where("query <= 3").select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "title", "7", F.col("lang").isin("en", "fr"), [F.col("source"), F.col("doc_id")], 2, 60),
+        "WITH " + DENSE + ", h AS (SELECT doc_id, lang, source, source || ' ' || lang AS title FROM documents WHERE lang IN ('en', 'fr') AND (doc_id IN (SELECT doc FROM den WHERE query <= 3) OR contains(source || ' ' || lang, '7') OR doc_id = 7)) SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY source, doc_id LIMIT 60 OFFSET 2",
+    ),
     "related_items": (
         lambda s, d: R.related(read(s, d, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("concept")).distinct()),
         "WITH t AS (SELECT DISTINCT l_orderkey AS paper, l_partkey AS concept FROM lineitem), s AS (SELECT l.paper, r.paper AS other, count(*) AS shared FROM t l JOIN t r USING (concept) WHERE l.paper <> r.paper GROUP BY ALL HAVING count(*) >= 2) SELECT paper, other, shared, row_number() OVER (PARTITION BY paper ORDER BY shared DESC, other) AS rank FROM s QUALIFY rank <= 6",
@@ -171,7 +179,9 @@ QUERIES = {
     ),
     "clean_text": (
         lambda s, d: read(s, d, "pages").select("page_id", F.md5(T.clean(F.col("html")).cast("binary")).alias("digest")),
-        "SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) AS digest FROM pages",
+        # of all references of HTML these stand in the pages; an ampersand's comes last, as what it gives is not read again
+        # of all references of HTML these stand in the pages; an ampersand's comes last, as what it gives is not read again
+        "SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&amp;', chr(1)), '&amp', chr(1)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), chr(1), '&'), '\\s+', ' ', 'g'))) AS digest FROM pages",
     ),
     "strip_citations": (
         lambda s, d: _docs(s, d).select("doc_id", F.md5(T.strip_citations(F.concat(F.lit("Flames [1, 2] grow (Smith et al., 1999; Jones 2001a) here (Fig. 3) ."), "text")).cast("binary")).alias("digest")),
@@ -199,6 +209,7 @@ QUERIES = {
         lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.tags(F.col("text"), TERMS, 12), ",").alias("tags")),
         "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_-]+') AS ws FROM documents) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in p.split('|'))}))) > 0 THEN '{k}' END" for k, p in TERMS.items()) + "], lambda x: x IS NOT NULL), ',') AS tags FROM w",
     ),
+    "tagged_chunks": (lambda s, d: T.document_chunks(_docs(s, d)).select("doc", "n", "kind", F.array_join(X.tags(F.col("text"), TERMS, 12), ",").alias("tags")), None),
     "findings_extract": (lambda s, d: X.findings(T.sentences(_docs(s, d)), OUTCOMES, CONDITIONS, CUES), None),
     "extractive_summary": (
         lambda s, d: X.summary(T.sentences(_docs(s, d))),
@@ -207,13 +218,13 @@ QUERIES = {
     "quote_guard": (lambda s, d: X.quote_guard(quotes(s, d), _docs(s, d).select(F.col("doc_id").alias("doc"), "text")).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")), None),
     "near_duplicate_reports": (lambda s, d: dedupe.mark(_reports(s, d)), None),
     "same_identifier": (
-        lambda s, d: dedupe.same_identifier(_reports(s, d)),
-        "WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size = 50 THEN p_brand || p_name END AS doi FROM part), f AS (SELECT doi, min(id) AS other FROM r WHERE doi IS NOT NULL GROUP BY doi) SELECT id, other FROM r JOIN f USING (doi) WHERE id <> other",
+        lambda s, d: dedupe.same_identifier(read(s, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, F.concat("p_brand", "p_type")).alias("doi"))),
+        "WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN p_brand || p_type END AS doi FROM part), f AS (SELECT doi, min(id) AS other FROM r WHERE doi IS NOT NULL GROUP BY doi) SELECT id, other FROM r JOIN f USING (doi) WHERE id <> other",
     ),
     "followup_context": (
         lambda s, d: qa.follow_ups(read(s, d, "conversations")).select("conv_id", "turn", F.md5(F.col("question").cast("binary")).alias("digest"), "rewritten"),
-        f"""WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, {_TOK} AS w FROM conversations WHERE role = 'user'),
-        n AS (SELECT *, before IS NOT NULL AND (regexp_matches(lower(text), '^(and|what about|how about|why|it|they|that|those|this)\\b') OR len(w) <= 4) AS needs FROM u)
+        rf"""WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]+'), lambda w: w NOT IN ({', '.join(repr(w) for w in STOP.split())}) AND length(w) > 2) AS w FROM conversations WHERE role = 'user'),
+        n AS (SELECT *, before IS NOT NULL AND (regexp_matches(text, '{qa.FOLLOW_UP}') OR (len(w) <= 2 AND NOT regexp_matches(text, '{qa.QUESTION}'))) AS needs FROM u)
         SELECT conv_id, turn, md5(CASE WHEN needs THEN before || ' ' || text ELSE text END) AS digest, coalesce(needs, false) AS rewritten FROM n""",
     ),
     "interleaved": (
@@ -229,7 +240,7 @@ QUERIES = {
     ),
     "sentence_scores": (
         lambda s, d: qa.sentence_scores(T.sentences(_docs(s, d)), F.array(F.lit("threat"), F.lit("clown"))),
-        f"""WITH {_SENT_POS}, c AS (SELECT *, (contains(lower(sentence), 'threat')::INT + contains(lower(sentence), 'clown')::INT) / 2.0::DOUBLE AS cov FROM st WHERE length(sentence) BETWEEN 60 AND 420 AND NOT regexp_matches(lower(sentence), '^(fig|figure|table)') AND length(regexp_replace(sentence, '[^A-Z]', '', 'g')) / length(sentence) <= 0.3),
+        f"""WITH {_SENT_POS}, c AS (SELECT *, (contains(lower(sentence), 'threat')::INT + contains(lower(sentence), 'clown')::INT) / 2.0::DOUBLE AS cov FROM st WHERE {_FIT}),
         s AS (SELECT doc, pos, round(6 * cov + 0.4::DOUBLE * regexp_matches(lower(sentence), 'result|show|found')::INT - 0.03::DOUBLE * len(string_split(sentence, ' ')), 6) AS score FROM c WHERE cov > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, pos) <= 2)
         SELECT doc, pos, score FROM s ORDER BY score DESC, doc, pos LIMIT 6""",
     ),

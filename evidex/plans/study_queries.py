@@ -207,6 +207,11 @@ QUERIES = {
         W + VOTES + f" SELECT {_ID.format('')} AS id, direction, paper_id, study_type, fuel, seconds, year FROM voted QUALIFY count(*) OVER (PARTITION BY condition, outcome, geometry) >= 2",
     ),
     "takeaway_gaps": (lambda s, d: C.gap_items("geometry", V.group_bias(claims(s, d), "geometry", "study_type", "flight", share=0.25), V.duration_gap(claims(s, d), "geometry")), _TAKE),
+    "group_mix": (
+        lambda s, d: V.group_mix(claims(s, d), "geometry", "study_type"),
+        W + """, t AS (SELECT geometry FROM claims WHERE geometry IS NOT NULL GROUP BY geometry HAVING count(DISTINCT paper_id) >= 5), x AS (SELECT geometry AS topic, study_type, paper_id FROM claims JOIN t USING (geometry) UNION ALL SELECT 'overall', study_type, paper_id FROM claims)
+        SELECT topic, study_type AS "group", count(DISTINCT paper_id) AS papers FROM x WHERE study_type IS NOT NULL GROUP BY ALL""",
+    ),
     "graph_context_edges": (
         lambda s, d: G.context_edges(_context(s, d)),
         W + """, x AS (SELECT paper_id, 'implicated_in' AS rel, 'species:sp' || suppkey % 7 AS src, 'outcome:' || outcome AS dst FROM claims

@@ -11,7 +11,7 @@ from evidex.operators import retrieval as R
 from evidex.operators import text as T
 from evidex.operators import understanding as U
 from evidex.plans.claims import CLAIMS_SQL, claims, read
-from evidex.plans.corpus_queries import DENSE, TERMS, _asking, _dense, _docs
+from evidex.plans.corpus_queries import _FIT, DENSE, TERMS, _asking, _dense, _docs
 
 #: Test vocabularies by type, and synonyms of their terms.
 BY_TYPE = {"condition": {"of": "of", "was": "was"}, "outcome": {"the": "the", "that": "that", "with": "with"}, "fuel": {"rest": "er|re", "in": "in|an"}}
@@ -132,9 +132,6 @@ def liked(s, d):
 
 _SENTENCES = r"""x AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence,
   generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) - 1 AS pos FROM documents), st AS (SELECT doc, CAST(pos AS INT) AS pos, trim(sentence) AS sentence FROM x WHERE trim(sentence) <> '')"""
-_FIT = r"length(sentence) BETWEEN 60 AND 420 AND NOT regexp_matches(lower(sentence), '^(fig|figure|table)') AND length(regexp_replace(sentence, '[^A-Z]', '', 'g')) / length(sentence) <= 0.3"
-
-
 def _answers(s, d):
     turns = read(s, d, "conversations")
     return turns.select((F.col("turn") % 3 != 0).alias("answerable"), (F.length("text") % 5 == 0).alias("refused"), (F.col("conv_id") % 4).alias("citations"), (F.col("turn") % 2).alias("invalid"), (F.length("text") % 100 / 100.0).alias("support"), F.length("text").cast("double").alias("latency"))
@@ -234,9 +231,9 @@ QUERIES = {
     "sentence_worth": (
         lambda s, d: worth(s, d).select("query", "n", "pos", "score"),
         rf"""WITH {_SENTENCES}, p AS (SELECT doc // 10 AS query, CAST(doc % 10 + 1 AS INT) AS n, pos, sentence, lower(sentence) AS low, {_WS.format('sentence')} AS ws FROM st WHERE {_FIT}),
-        c AS (SELECT *, (contains(low, 'tion')::INT + contains(low, 'an')::INT) / 2.0::DOUBLE AS cov, list_contains(ws, 'the')::INT + list_contains(ws, 'of')::INT AS ents FROM p)
-        SELECT query, n, pos, CASE WHEN cov > 0 OR ents > 0 THEN round(1.2::DOUBLE * cov + 0.35::DOUBLE * least(ents, 3) + 0.6::DOUBLE * regexp_matches(low, '{qa.EFFECT}')::INT + 0.4::DOUBLE * regexp_matches(low, '{qa.CUE}')::INT + CASE n % 3 WHEN 0 THEN 0.3 WHEN 1 THEN -0.3 ELSE 0 END::DOUBLE - 0.03::DOUBLE * n
-          - regexp_matches(low, '{qa.BACKGROUND}')::INT - 0.8::DOUBLE * regexp_matches(low, '{qa.METHOD}')::INT - 0.35::DOUBLE * regexp_matches(low, '{qa.DANGLING}')::INT + CASE WHEN query % 2 <> 0 THEN 0 WHEN contains(sentence, 'that') THEN 0.5 ELSE -0.7 END::DOUBLE, 6) + 0 END AS score FROM c""",
+        c AS (SELECT *, (contains(low, 'tion')::INT + contains(low, 'an')::INT) / 2.0::DOUBLE AS cov, list_contains(ws, 'the')::INT + list_contains(ws, 'of')::INT AS ents, greatest({', '.join(f"regexp_matches(sentence, '{p}')::INT" for p in qa.EFFECT)}) AS effect FROM p)
+        SELECT query, n, pos, CASE WHEN cov > 0 OR ents > 0 THEN round(1.2::DOUBLE * cov + 0.35::DOUBLE * least(ents, 3) + 0.6::DOUBLE * effect + 0.4::DOUBLE * regexp_matches(sentence, '{qa.CUE}')::INT + CASE n % 3 WHEN 0 THEN 0.3 WHEN 1 THEN -0.3 ELSE 0 END::DOUBLE - 0.03::DOUBLE * n
+          - regexp_matches(sentence, '{qa.BACKGROUND}')::INT - 0.8::DOUBLE * regexp_matches(sentence, '{qa.METHOD}')::INT - 0.35::DOUBLE * regexp_matches(sentence, '{qa.DANGLING}')::INT + CASE WHEN query % 2 <> 0 THEN 0 WHEN contains(sentence, 'that') THEN 0.5 ELSE -0.7 END::DOUBLE, 6) + 0 END AS score FROM c""",
     ),
     "answer_selection": (lambda s, d: qa.selected(worth(s, d)), None),
     "sentence_likeness": (lambda s, d: liked(s, d).select("query", "n", "pos", "likeness", "score"), None),

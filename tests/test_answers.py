@@ -51,6 +51,10 @@ def test_chunks_in_the_row_equal_chunks_by_sections(spark):
     table = table.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 40_000), (-4, "a line\n" * 30_000)], "doc_id long, text string"))
     want = text.chunks(text.relabelled(text.sections(text.paragraphs(table)))).collect()
     got = text.document_chunks(table).collect()
+    tagged = catalogue.queries()["tagged_chunks"](spark, SF).collect()
+    texts = {(r["doc"], r["n"]): r["text"] for r in catalogue.queries()["chunks"](spark, SF).collect()}
+    found = lambda p, x: re.search(rf"(?i)(?<![\w-])(?:{p})(?![\w-])", x)
+    assert {(r["doc"], r["n"]): r["tags"] for r in tagged} == {k: ",".join(t for t, p in corpus_queries.TERMS.items() if found(p, x)) for k, x in texts.items()} and any(r["tags"] for r in tagged)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r["kind"] for r in got}) >= 4
 
 
@@ -80,7 +84,7 @@ def plainly_near(quote, source):
     m = len(quote)
     offsets = {q.start() - i for i in range(m - 4) for q in re.finditer(re.escape(quote[i : i + 5]), source)}
     starts = {k + d for k in offsets for d in range(-m // 10 - 1, m // 10 + 2) if 0 <= k + d <= len(source) - m}
-    return any(10 * extract.common_length(quote, source[k : k + m]) >= 9 * m for k in starts)
+    return any(dedupe.indel_ratio(quote, source[k : k + m]) >= 90 - 1e-9 for k in starts)
 
 
 def test_findings_and_quotes(spark):
@@ -239,7 +243,7 @@ TESTED = {
     "graph_communities": "test_operators.py: test_communities_settle_or_take_the_least_of_a_cycle", "chunks": "test_chunks_in_the_row_equal_chunks_by_sections",
     "findings_extract": "test_findings_and_quotes", "quote_guard": "test_findings_and_quotes", "near_duplicate_reports": "test_operators.py: test_copies_and_chains_are_settled_like_the_greedy_rule",
     "answer_selection": "test_sentences_are_selected_greedily", "answers_for_readers": "test_answers_for_readers",
-    "graph_modularity": "test_depth.py: test_modularity_merges_equal_plain_ones", "community_themes": "test_depth.py: test_modularity_merges_equal_plain_ones", "findings_full": "test_depth.py: test_full_findings_equal_plain_ones",
+    "tagged_chunks": "test_chunks_in_the_row_equal_chunks_by_sections", "graph_modularity": "test_depth.py: test_modularity_merges_equal_plain_ones", "community_themes": "test_depth.py: test_modularity_merges_equal_plain_ones", "findings_full": "test_depth.py: test_full_findings_equal_plain_ones",
     "regime_boosting": "test_depth.py: test_boosting_equals_plain_trees", "sentence_likeness": "test_depth.py: test_likeness_equals_a_plain_decomposition",
 }
 
