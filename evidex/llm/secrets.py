@@ -7,7 +7,9 @@ each, keeps the window's entropy up to date from incremental character counts
 and reports the parts of the candidate (cut after ``=``) that hold a window above
 the threshold of its character class.  Runs of a narrower class inside a candidate
 (a hex key after a name or path) are tested by that class and reported whole.
-Candidates and runs that an allow-list pattern covers are left out.
+Candidates and runs that an allow-list pattern covers are left out, and so are all without
+a digit: words of any language run together look the same.  Of random keys of 20 letters and
+digits some 6 per cent have too little entropy or no digit and are not found, of 32 under 1 per cent.
 
 Cases: a null or empty text has no spans; repeated rows each get their own row;
 texts of any length are scanned whole, in one pass per pattern; an empty table
