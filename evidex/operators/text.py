@@ -247,3 +247,94 @@ def document_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
 
     picked = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     return picked.mapInPandas(fold, "doc long, n int, kind string, text string")
+
+
+#: Notes to sources and figures in running text; headings; lines of a table of contents; captions.
+CITED_NUMBERS = r"\s?\[\d{1,3}(?:\s?[-–,]\s?\d{1,3})*\]"
+CITED_AUTHORS = r"\s?\((?:(?:see |e\.g\., ?)?[A-Z][\w'\-]+(?: et al\.?| and [A-Z][\w'\-]+| & [A-Z][\w'\-]+)?,? (?:19|20)\d{2}[a-z]?(?:, ?(?:19|20)\d{2}[a-z]?)*;?\s?)+\)"
+_FIGURE = r"(?:Supplementary |Suppl\.? )?(?:Fig(?:ure)?s?|Tables?)\.?\s?S?\d+[A-Za-z]?(?:\s?[,–\-]\s?S?\d*[A-Za-z]?)*"
+CITED_FIGURES = rf"\s?\((?:see )?{_FIGURE}(?:\s?[;,]\s?(?:and )?{_FIGURE})*\)"
+HEADING = (
+    r"^\s*(?:(?:\d{1,2}(?:\.\d{1,2})*|[IVX]{1,4})[.)]?\s+)?(abstract|summary|introduction|background|nomenclature|"
+    r"experimental(?: (?:setup|set-up|apparatus|methods?|procedures?|hardware|approach))?|(?:experiment|test) (?:description|setup|set-up|apparatus|hardware|procedures?)|apparatus|hardware|"
+    r"(?:materials? and )?methods?|methodology|approach|numerical (?:model|method)s?|(?:the )?model|results?(?: and discussion)?|discussion|observations|"
+    r"conclusions?|concluding remarks|summary and conclusions?|references|bibliography|literature cited|acknowledge?ments?)\s*:?\s*$"
+)
+CAPTION, CONTENTS = r"^\s*(?:Fig(?:ure)?\.?|Table)\s*\d+[.:]", r"\.{5,}|(?:\. ){5,}"
+#: What opens each kind of section, by how a heading begins or what it contains; earlier ones win, all others are methods.
+_OPENING = (
+    ("REFS", lambda h: h.startswith(("references", "bibliography", "literature cited"))), ("SKIP", lambda h: h.startswith(("acknow", "nomenclature"))), ("RESULTS", lambda h: "result" in h),
+    ("ABSTRACT", lambda h: h.startswith("abstract") or h == "summary"), ("CONCL", lambda h: "conclu" in h), ("DISCUSS", lambda h: "discussion" in h or "observation" in h),
+    ("INTRO", lambda h: h.startswith(("introduction", "background"))),
+)
+_PATTERNS = {k: re.compile(p, f) for k, p, f in (("numbers", CITED_NUMBERS, 0), ("authors", CITED_AUTHORS, 0), ("figures", CITED_FIGURES, 0), ("heading", HEADING, re.I), ("caption", CAPTION, re.I), ("contents", CONTENTS, 0))}
+
+
+def _tidy(text: str, running: bool) -> str:
+    """References of HTML resolved and white space made single; from running text notes to sources and figures go too."""
+    text = re.sub(r"\s+", " ", html.unescape(text)).strip()
+    if running:
+        for note in ("numbers", "authors", "figures"):
+            text = _PATTERNS[note].sub("", text)
+        text = re.sub(r"\s+([.,;:])", r"\1", text).strip()
+    return text
+
+
+def _parsed(report: str) -> list[tuple[str, str]]:
+    """(kind, paragraph) of one report; see :func:`report_sections`."""
+    out: list[tuple[str, str]] = []
+    kind, headed, words = "BODY", False, 0
+    joined = re.sub(r"(\w)-\n(\w)", r"\1\2", report.replace("\r", ""))
+    for block in re.split(r"\n\s*\n", joined):
+        lines = [x for x in (y.strip() for y in block.split("\n")) if x]
+        if lines and len(lines[0]) < 70 and (met := _PATTERNS["heading"].match(lines[0])):
+            opened = next((k for k, opens in _OPENING if opens(met[1].lower())), "METHODS")
+            if opened == "REFS" and words > 300:
+                break
+            kind, headed, lines = "SKIP" if opened == "REFS" else opened, True, lines[1:]
+        paragraph = " ".join(lines)
+        letters = sum(map(str.isalpha, paragraph))
+        if len(paragraph) < 40 or _PATTERNS["contents"].search(paragraph) or letters < 0.6 * len(paragraph.replace(" ", "")):
+            continue
+        own = "FIG" if _PATTERNS["caption"].match(paragraph) else kind
+        if own != "SKIP":
+            out.append((own, _tidy(paragraph, own != "FIG")))
+            words += len(out[-1][1].split())
+            if words >= MAX_WORDS:
+                break
+    named = [("INTRO" if headed else "DISCUSS", t) if k == "BODY" else (k, t) for k, t in out]
+    if not any(k in ("RESULTS", "DISCUSS", "CONCL") for k, _ in named):
+        opening = [i for i, (k, _) in enumerate(named) if k == "INTRO"]
+        for i in opening[2:]:
+            named[i] = ("DISCUSS", named[i][1])
+    return named
+
+
+def report_sections(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, pos, kind, block): paragraphs of reports, parted by blank lines, with their sections; nothing is shuffled.
+
+    A short first line that is a known heading, numbered or not, opens a section for what follows.  Lines of a table of
+    contents, blocks under 40 characters and those mostly of digits and signs go; captions are of kind FIG, and what thanks,
+    names symbols or lists sources goes, the latter with all after it once 300 words are kept.  Words hyphenated across lines are
+    joined, notes to sources and figures taken out of running text.  The paragraph that reaches 15,000 words is the last.
+    Text before any heading introduces; without headings it discusses, and without a section that argues, what introduces does from
+    its third paragraph on.  A null text has no rows.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, n, k, t) for d, whole in zip(batch["doc"], batch["text"], strict=True) if whole for n, (k, t) in enumerate(_parsed(whole))]
+            yield pd.DataFrame(rows, columns=["doc", "pos", "kind", "block"])
+
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInPandas(parse, "doc long, pos int, kind string, block string")
+
+
+def report_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS) -> DataFrame:
+    """(doc, n, kind, text): passages, as of :func:`chunks`, of the paragraphs of :func:`report_sections`."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, n, k, t) for d, whole in zip(batch["doc"], batch["text"], strict=True) if whole for n, (k, t) in enumerate(_packed(_parsed(whole), size))]
+            yield pd.DataFrame(rows, columns=["doc", "n", "kind", "text"])
+
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInPandas(fold, "doc long, n int, kind string, text string")

@@ -101,6 +101,47 @@ def _headed(s, d):
     return T.relabelled(T.sections(T.paragraphs(_docs(s, d).select("doc_id", bound.alias("text")))))
 
 
+def _reports(s, d):
+    """Documents as reports: lines parted by blank ones, with headings, a caption, a table's remains and sources, by the remainder of the id."""
+    nl, k = F.lit("\n\n"), F.col("doc_id") % 5
+    lined = F.regexp_replace("text", "\n", "\n\n")
+    caption, contents, remains = F.lit("Figure 3. What was seen by all of those who looked at it."), F.lit("Results ......... 12 and Discussion ......... 14 and more"), F.lit("12.5 13.6 14.7 15.8 | 16.9 17.0 18.1 a b 19.2 20.3 21.4")
+    bound = (
+        F.when(k == 0, lined).when(k == 1, F.concat(F.lit("1. Introduction"), nl, lined, nl, F.lit("2.1 Results and Discussion:\n"), lined, nl, caption, nl, F.lit("References"), nl, lined))
+        .when(k == 2, F.concat(contents, nl, F.lit("ABSTRACT"), nl, lined, nl, remains, nl, F.lit("IV) Experimental setup"), nl, lined)).when(k == 3, F.concat(F.lit("Background"), nl, lined, nl, F.lit("Acknowledgements"), nl, lined, nl, F.lit("Conclusions"), nl, caption))
+        .otherwise(F.concat(F.lit("Nomenclature"), nl, lined, nl, F.lit("Experiments were made in all of them"), nl, lined))
+    )
+    return _docs(s, d).select("doc_id", bound.alias("text"))
+
+
+_HEADS = (("references|bibliography|literature cited", "REFS"), ("acknow.*|nomenclature", "SKIP"), (".*result.*", "RESULTS"), ("abstract|summary", "ABSTRACT"), (".*conclu.*", "CONCL"), (".*(?:discussion|observation).*", "DISCUSS"), ("(?:introduction|background).*", "INTRO"), (".*", "METHODS"))
+_PARSED = (
+    r"""r AS (SELECT doc_id AS doc, replace(text, chr(10), chr(10) || chr(10)) AS t, 'Figure 3. What was seen by all of those who looked at it.' AS cap, chr(10) || chr(10) AS nl FROM documents),
+h AS (SELECT doc, CASE doc % 5 WHEN 0 THEN t WHEN 1 THEN '1. Introduction' || nl || t || nl || '2.1 Results and Discussion:' || chr(10) || t || nl || cap || nl || 'References' || nl || t
+  WHEN 2 THEN 'Results ......... 12 and Discussion ......... 14 and more' || nl || 'ABSTRACT' || nl || t || nl || '12.5 13.6 14.7 15.8 | 16.9 17.0 18.1 a b 19.2 20.3 21.4' || nl || 'IV) Experimental setup' || nl || t
+  WHEN 3 THEN 'Background' || nl || t || nl || 'Acknowledgements' || nl || t || nl || 'Conclusions' || nl || cap ELSE 'Nomenclature' || nl || t || nl || 'Experiments were made in all of them' || nl || t END AS text FROM r),
+b AS (SELECT doc, unnest(regexp_split_to_array(regexp_replace(replace(text, chr(13), ''), '([\p{L}\p{N}_])-
+([\p{L}\p{N}_])', '', 'g'), '
+\s*
+')) AS block, generate_subscripts(regexp_split_to_array(regexp_replace(replace(text, chr(13), ''), '([\p{L}\p{N}_])-
+([\p{L}\p{N}_])', '', 'g'), '
+\s*
+'), 1) AS pos FROM h),
+l AS (SELECT doc, pos, list_filter(list_transform(string_split(block, chr(10)), lambda x: trim(x, chr(32) || chr(9))), lambda x: x <> '') AS lines FROM b),
+f AS (SELECT doc, pos, lines, CASE WHEN length(lines[1]) < 70 THEN lower(nullif(regexp_extract(lines[1], '(?i)HEADING', 1), '')) END AS head FROM l WHERE len(lines) > 0),
+k AS (SELECT doc, pos, head, array_to_string(CASE WHEN head IS NULL THEN lines ELSE lines[2:] END, ' ') AS p, CASE WHEN head IS NOT NULL THEN CASE KINDS END END AS opened FROM f),
+s AS (SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS kind, regexp_matches(p, '(?i)CAPTION') AS caption, length(p) >= 40 AND NOT regexp_matches(p, 'CONTENTS') AND length(regexp_replace(p, '\P{L}', '', 'g')) >= 0.6::DOUBLE * length(replace(p, ' ', '')) AS good FROM k),
+g AS (SELECT *, CASE WHEN caption THEN 'FIG' ELSE coalesce(kind, 'BODY') END AS own, CASE WHEN caption THEN p ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, 'NUMBERS', '', 'g'), 'AUTHORS', '', 'g'), 'FIGURES', '', 'g'), '\s+([.,;:])', '', 'g')) END AS block FROM s),
+w AS (SELECT *, good AND own NOT IN ('SKIP', 'REFS') AS kept, CASE WHEN good AND own NOT IN ('SKIP', 'REFS') THEN len(regexp_split_to_array(trim(block), '\s+')) ELSE 0 END AS words FROM g),
+x AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM w),
+y AS (SELECT *, coalesce(bool_or(opened = 'REFS' AND so_far > 300) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS over, bool_or(head IS NOT NULL) OVER (PARTITION BY doc) AS headed FROM x),
+z AS (SELECT doc, pos, block, words, CASE WHEN own <> 'BODY' THEN own WHEN headed THEN 'INTRO' ELSE 'DISCUSS' END AS named FROM y WHERE kept AND NOT over AND so_far < 15000),
+parsed AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS pos, block, words, CASE WHEN named = 'INTRO' AND NOT bool_or(named IN ('RESULTS', 'DISCUSS', 'CONCL')) OVER (PARTITION BY doc) AND sum((named = 'INTRO')::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) > 2 THEN 'DISCUSS' ELSE named END AS kind FROM z)"""
+    .replace("HEADING", T.HEADING.replace("'", "''")).replace("KINDS", " ".join(f"WHEN regexp_matches(head, '^(?:{p})$') THEN '{k}'" for p, k in _HEADS)).replace("CAPTION", T.CAPTION).replace("CONTENTS", T.CONTENTS)
+    .replace("NUMBERS", T.CITED_NUMBERS).replace("AUTHORS", T.CITED_AUTHORS.replace("'", "''")).replace("FIGURES", T.CITED_FIGURES)
+)
+
+
 def _papers(s, d):
     abstract = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit(" abstract &amp;  more")))
     return _docs(s, d).select(F.col("doc_id").alias("doc"), F.col("source").alias("title"), abstract.alias("abstract")).unionByName(s.createDataFrame([(-5, " A  title ", None)], "doc long, title string, abstract string"))
@@ -216,6 +257,14 @@ QUERIES = {
         lambda s, d: _headed(s, d).where(T.good_block(F.col("block"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("words").alias("words")),
         rf"WITH {_HEADED} SELECT kind, count(*) AS n, CAST(sum(words) AS BIGINT) AS words FROM labelled WHERE NOT regexp_matches(block, '\.{{5,}}') AND length(block) >= 40 AND length(regexp_replace(block, '[^\p{{L}}]', '', 'g')) >= 0.6 * length(regexp_replace(block, '\s', '', 'g')) GROUP BY kind",
     ),
+    "report_sections": (
+        lambda s, d: T.report_sections(_reports(s, d)).select("doc", "pos", "kind", F.md5(F.col("block").cast("binary")).alias("digest")),
+        f"WITH {_PARSED} SELECT doc, CAST(pos AS INT) AS pos, kind, md5(block) AS digest FROM parsed",
+    ),
+    "report_chunks": (
+        lambda s, d: T.report_chunks(_reports(s, d)).groupBy("doc", "kind").agg(F.sum(F.size(F.split("text", " "))).alias("words")),
+        f"WITH {_PARSED} SELECT doc, kind, CAST(sum(words) AS BIGINT) AS words FROM parsed GROUP BY ALL",
+    ),
     "section_histogram": (
         lambda s, d: _headed(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs")),
         f"WITH {_HEADED} SELECT kind, count(*) AS n, count(DISTINCT doc) AS docs FROM labelled GROUP BY kind",

@@ -359,3 +359,21 @@ def test_every_reference_is_resolved(spark):
     rows = spark.createDataFrame(list(enumerate(said)), "i int, x string").union(spark.createDataFrame([(-1, None)], "i int, x string"))
     got = {r["i"]: r["u"] for r in rows.select("i", text.unescaped(F.col("x")).alias("u")).collect()}
     assert got.pop(-1) is None and all(got[i] == html.unescape(x) for i, x in enumerate(said))
+
+
+def test_reports_are_parsed_as_surveyed(spark):
+    long = "Word after word of the report stands here and goes on for a good while. "
+    report = "\r\nA title\n\n" + long + "It was hyphen-\nated [1, 2-4] (see Doe et al., 1999a; Roe & Poe 2001) and seen (Figs. 2A, 3) .\n\n2. METHODS\n" + long + "\n\nIII. Results and discussion:\n\n"
+    report += "Table 2: what was measured (Doe 1999) in all of the many runs\n\nshort\n\n1.2 3.4 5.6 7.8 9.0 11.2 13.4 15.6 17.8 19.0 x\n\nIntroduction . . . . . . 12, and what follows in the rest\n\n" + long * 30 + "\n\nExperiments were made by many\n\n"
+    report += "References\n\n" + long + "\n\nConclusions\n\n" + long
+    rows = spark.createDataFrame([(1, report), (2, None), (3, ""), (4, "\n\n".join([long] * 4)), (5, "Background\n" + "\n\n".join([long] * 4)), (6, "References\n\n" + long + "\n\nSummary\n" + long), (7, "\n\n".join([long * 600] * 3))], "doc_id long, text string")
+    got = {}
+    for r in text.report_sections(rows).orderBy("doc", "pos").collect():
+        got.setdefault(r["doc"], []).append((r["kind"], r["block"]))
+    plain = long.strip()
+    assert got[1][0] == ("INTRO", plain + " It was hyphenated and seen.") and got[1][1] == ("METHODS", plain)
+    assert got[1][2] == ("FIG", "Table 2: what was measured (Doe 1999) in all of the many runs") and got[1][3:] == [("RESULTS", (long * 30).strip())]
+    assert [k for k, _ in got[4]] == ["DISCUSS"] * 4 and [k for k, _ in got[5]] == ["INTRO", "INTRO", "DISCUSS", "DISCUSS"]
+    assert got[6] == [("ABSTRACT", plain)] and len(got[7]) == 2 and set(got) == {1, 4, 5, 6, 7}
+    chunks = text.report_chunks(rows.where("doc_id = 1")).orderBy("n").collect()
+    assert [r["kind"] for r in chunks][:3] == ["INTRO", "METHODS", "FIG"] and all(len(r["text"].split()) <= 180 for r in chunks) and sum(len(r["text"].split()) for r in chunks) == sum(len(t.split()) for _, t in got[1])
