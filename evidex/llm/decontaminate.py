@@ -14,7 +14,8 @@ The same postings tell the length of each document: an empty term stands after i
 
 Cases: null texts have no words, no hits, and are still returned; items without words have no
 window; repeated rows are judged each; rows of one id with different texts are told apart
-by a hash of the text; ids may be null; a window that several items share counts for all of them;
+by a hash of the text; ids may be null, and windows of items without an id make
+hits but count for no item; a window that several items share counts for all of them;
 empty tables give an empty result or documents without hits; other columns are never read.
 """
 
