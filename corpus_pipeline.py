@@ -31,8 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays.
 
-    Groups link texts whose shingles of five words are alike to 0.8 or more, as several
-    fingerprints of each tell; the README says what share of such pairs is found.
+    Groups link texts whose sets of shingles of five words are alike to 0.8 or more: fingerprints
+    find the pairs, sets decide open ones; the README says what share of such pairs is found.
     """
     return simhash.keep_one_each(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
