@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html.entities
-import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -48,7 +47,8 @@ def unescaped(text: Column) -> Column:
 
     Of a name without a semicolon the longest beginning that is known counts, and the rest stays.
     """
-    known = F.from_json(F.lit(json.dumps(_names())), "map<string,string>")
+    # a map that is made of literals is made once, not for each row; no name or character has these two signs
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _names().items())), F.lit("\x01"), F.lit("\x02"))
 
     def resolved(ref: Column) -> Column:
         name = F.substr(ref, F.lit(2))
