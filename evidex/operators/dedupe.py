@@ -41,6 +41,11 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that are dealt out on both sides: what grows with the reports isn't sent through the driver, however small it seems."""
+    return df.hint("merge")
+
+
 def title_classes(reports: DataFrame) -> DataFrame:
     """(s, t, c): the distinct pairs of first author and sorted title; c is the least id that bears it.
 
@@ -79,8 +84,9 @@ def similar_titles(classes: DataFrame, least: float = 95.0) -> DataFrame:
     shorter = probes.select("s", "y", "m", F.explode(every).alias("k")).select("s", "y", "m", "k.*").withColumn("band", F.explode(bands))
     longer = longer.withColumn("band", band(F.col("at")))
     near = (F.col("m") <= F.col("l")) & (F.col("x") != F.col("y")) & (F.col("l") - F.col("m") <= off * (F.col("l") + F.col("m")) + 1e-9) & (F.abs(F.col("at") - F.col("from")) <= changes(F.col("l")))
-    met = longer.join(shorter, ["s", "part", "band"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    named = met.join(classes.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    met = longer.join(unsent(shorter), ["s", "part", "band"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    titles = lambda c, t: unsent(classes.select(F.col("c").alias(c), F.col("t").alias(t)))
+    named = met.join(titles("a", "ta"), "a").join(titles("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -103,7 +109,9 @@ def mark(reports: DataFrame, least: float = 95.0, order: Sequence[Column] = ())
     ``order=[~F.col("full_text"), -F.col("word_count")]``.
 
     Reports are alike by identifier, by an equal title or by similar titles of one first author;
-    titles are compared once per class of equal ones.  Each round keeps every open report that is
+    titles are compared once per class of equal ones.  Of reports with one class and identifier, or
+    none, only the first can be kept, as all are like the same reports: only it takes part in rounds.
+    Each round keeps every open report that is
     before all open reports it is like, and settles those like it.  At least the first open report
     is settled in a round, and rounds end when none is open; ids are taken to be unique.
     """
@@ -112,23 +120,24 @@ def mark(reports: DataFrame, least: float = 95.0, order: Sequence[Column] = ())
     near = similar.select(F.col("a").alias("c"), F.col("b").alias("n")).union(similar.select("b", "a"))
     empty = lambda name: F.coalesce(F.col(name), F.lit(""))
     place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("id").alias("id")).alias("id")
-    rows = cut(reports.select(place, "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(classes, ["s", "t"]).select("id", "c", "doi"))
-    still, kept, step = rows, rows.limit(0), 0
+    rows = cut(reports.select(place, "doi", surname(empty("author")).alias("s"), token_sort(empty("title")).alias("t")).join(unsent(classes), ["s", "t"]).select("id", "c", "doi"))
+    still = cut(rows.groupBy("c", "doi").agg(F.min("id").alias("id")).select("id", "c", "doi"))
+    kept, step = still.limit(0), 0
     while not still.isEmpty():
         step += 1
         first = still.groupBy("c").agg(F.min("id").alias("id"))
-        around = near.join(first.select(F.col("c").alias("n"), F.col("id").alias("g")), "n").groupBy("c").agg(F.min("g").alias("g"))
+        around = near.join(unsent(first.select(F.col("c").alias("n"), F.col("id").alias("g"))), "n").groupBy("c").agg(F.min("g").alias("g"))
         by_doi = still.where("doi is not null").groupBy("doi").agg(F.min("id").alias("h"))
-        new = cut(still.join(first, ["c", "id"]).join(around, "c", "left").where("g is null or id < g").join(by_doi, "doi", "left").where("h is null or id = h").select("id", "c", "doi"))
+        new = cut(still.join(unsent(first), ["c", "id"]).join(unsent(around), "c", "left").where("g is null or id < g").join(unsent(by_doi), "doi", "left").where("h is null or id = h").select("id", "c", "doi"))
         if new.isEmpty():
             raise RuntimeError("no open report could be settled")
-        gone = new.select("c").union(near.join(new, "c").select("n")).distinct()
-        still = cut(still.join(gone, "c", "left_anti").join(new.where("doi is not null").select("doi").distinct(), "doi", "left_anti").select("id", "c", "doi"))
+        gone = new.select("c").union(near.join(unsent(new), "c").select("n")).distinct()
+        still = cut(still.join(unsent(gone), "c", "left_anti").join(unsent(new.where("doi is not null").select("doi").distinct()), "doi", "left_anti").select("id", "c", "doi"))
         kept = kept.unionByName(new)
         if step % 10 == 0:
             kept = cut(kept)
     kept = cut(kept)
-    by_title = kept.select("c", "id").union(near.join(kept, "c").select("n", "id")).groupBy("c").agg(F.min("id").alias("x"))
+    by_title = kept.select("c", "id").union(near.join(unsent(kept), "c").select("n", "id")).groupBy("c").agg(F.min("id").alias("x"))
     by_doi = kept.where("doi is not null").groupBy("doi").agg(F.min("id").alias("y"))
-    told = rows.join(by_title, "c", "left").join(by_doi, "doi", "left").withColumn("to", F.least("x", "y"))
+    told = rows.join(unsent(by_title), "c", "left").join(unsent(by_doi), "doi", "left").withColumn("to", F.least("x", "y"))
     return told.select("id.id", F.when(F.col("to") != F.col("id"), F.col("to.id")).alias("duplicate_of"))
