@@ -8,7 +8,7 @@ A query goes to the groups that probing can reach and looks up every value that
 in at most ``reach`` bits, substring by substring.  By the pigeonhole principle this
 retrieves every code that differs in fewer than tables * (reach + 1) indexed bits, and
 by chance many more; what is retrieved is filtered by the Hamming distance of whole
-codes and reranked by exact cosine on the original vectors.  Reach, tables and radius
+codes, told once, by the first substring that finds it, and reranked by exact cosine on the original vectors.  Reach, tables and radius
 are fitted on the sample, to find a stated share of the sample's own neighbours.
 
 Equal vectors are searched once, as one entry with its smallest ids; groups with more
@@ -134,6 +134,12 @@ def probe(values: np.ndarray, codes: np.ndarray, asked: np.ndarray, asked_codes:
                 first = last
 
 
+def first_found(some: np.ndarray, others: np.ndarray, part: int, reach: int) -> np.ndarray:
+    """Whether no substring before ``part`` retrieves the pairs of codes, which rows of 64-bit words hold."""
+    before = np.bitwise_count(some.view(np.uint16)[:, :part] ^ others.view(np.uint16)[:, :part])
+    return (before > reach).all(axis=1)
+
+
 def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Cosine in double precision, each row by the same order of operations, so equal vectors tie exactly."""
     return (rows * query).sum(axis=-1) / (np.sqrt((rows * rows).sum(axis=-1)) * np.sqrt((query * query).sum(axis=-1)))
@@ -193,7 +199,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col
 
 
 def _candidates(entries: DataFrame, names: DataFrame, model: Codes, n: int, group_rows: int) -> DataFrame:
-    """Distinct (query, row) that probing finds within the radius."""
+    """(query, row) that probing finds within the radius, each once: pairs of near copies meet in nearly all substrings."""
     spark = entries.sparkSession
     codes = spark.sparkContext.broadcast(model)
     lead = min(12, max(0, -(-n // group_rows) - 1).bit_length())
@@ -232,14 +238,16 @@ def _candidates(entries: DataFrame, names: DataFrame, model: Codes, n: int, grou
             value = left.column("value").to_numpy().astype(np.uint16)
             order = np.argsort(value, kind="stable")
             ids, qids = left.column("id").to_numpy()[order], right.column("id").to_numpy()
-            near = probe(value[order], as_codes(left)[order], right.column("value").to_numpy().astype(np.uint16), as_codes(right), left.column("prefix")[0].as_py(), lead, codes.value.reach, codes.value.radius)
+            have, asked, part = as_codes(left)[order], as_codes(right), left.column("part")[0].as_py()
+            near = probe(value[order], have, right.column("value").to_numpy().astype(np.uint16), asked, left.column("prefix")[0].as_py(), lead, codes.value.reach, codes.value.radius)
             for q, r in near:
-                queries.append(qids[q])
-                found.append(ids[r])
+                new = first_found(have[r], asked[q], part, codes.value.reach)
+                queries.append(qids[q[new]])
+                found.append(ids[r[new]])
         return pa.table({"query": pa.array(np.concatenate(queries), pa.int64()), "row": pa.array(np.concatenate(found), pa.int64())})
 
     key = ("part", "prefix", "split")
-    return split_index.groupBy(*key).cogroup(split_probes.groupBy(*key)).applyInArrow(answer, "query bigint, row bigint").distinct()
+    return split_index.groupBy(*key).cogroup(split_probes.groupBy(*key)).applyInArrow(answer, "query bigint, row bigint")
 
 
 def _from_all(base: DataFrame, short: DataFrame, k: int, block: int = 4096) -> DataFrame | None:

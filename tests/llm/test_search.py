@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidex.llm import decontaminate, lexical, queries, whitening
+from evidex.llm import ann, decontaminate, lexical, queries, whitening
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, term string, pos int, win long, mark long, doc long, score long"
@@ -191,3 +191,21 @@ def test_large_entries_stay_exact(spark):
     assert got[got.component == 1].deviation.isna().all() and got.whitened.notna().all()
     x = whitening.exact(np.array([[1 << 61]]), 8)
     assert x.dtype == object and whitening.squared(whitening.deviations(np.array([[3], [5]]), 2, [8])) == [4, 4]
+
+
+def test_pairs_of_near_copies_leave_the_groups_once(spark):
+    """Near copies meet in nearly all substrings; what leaves the groups are the pairs that plain probing finds, each once."""
+    rng = np.random.default_rng(11)
+    copies = np.abs(rng.standard_normal(32)) + 0.01 * rng.standard_normal((60, 32))
+    vectors = np.vstack([copies, rng.standard_normal((240, 32))])
+    model = ann.fit_codes(vectors)
+    assert model.tables > 1
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "row long, v array<double>")
+    names = entries.where("row % 10 = 0").withColumnRenamed("row", "query")
+    pairs = ann._candidates(entries, names, model, len(vectors), 40)
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")[0]
+    got = [(r["query"], r["row"]) for r in pairs.collect()]
+    codes = model.encode(vectors)
+    apart = np.bitwise_count(codes[::10, None] ^ codes[None])
+    met = (apart[:, :, : model.tables] <= model.reach).any(axis=2) & (apart.sum(axis=2, dtype=int) <= model.radius)
+    assert sorted(got) == sorted((10 * int(q), int(r)) for q, r in np.argwhere(met))
