@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 def pair_papers(tagged: DataFrame) -> DataFrame:
     """(x, y, papers): reports in which two concepts of different kinds meet, both ways round.
 
-    ``tagged`` has (paper, kind, concept), each once per report.
+    ``tagged`` has (paper, kind, concept), each once per report, and is read once: concepts meet in their report's list.
     """
-    left, right = tagged.alias("l"), tagged.alias("r")
-    met = left.join(right, "paper").where("l.kind <> r.kind")
-    return met.groupBy(F.col("l.kind").alias("kind_x"), F.col("l.concept").alias("x"), F.col("r.kind").alias("kind_y"), F.col("r.concept").alias("y")).agg(F.count("*").alias("papers"))
+    lists = tagged.where("paper is not null").groupBy("paper").agg(F.collect_list(F.struct("kind", "concept")).alias("every"))
+    each = lists.select("every", F.explode("every").alias("l"))
+    met = each.select("l", F.explode(F.filter("every", lambda r: r["kind"] > F.col("l.kind"))).alias("r"))
+    counted = met.groupBy("l", "r").agg(F.count("*").alias("papers"))
+    way = lambda l, r: F.struct(F.col(f"{l}.kind").alias("kind_x"), F.col(f"{l}.concept").alias("x"), F.col(f"{r}.kind").alias("kind_y"), F.col(f"{r}.concept").alias("y"), "papers")
+    return counted.select(F.explode(F.array(way("l", "r"), way("r", "l"))).alias("p")).select("p.*")
 
 
 def hypotheses(pairs: DataFrame, from_kinds: Sequence[str], to_kinds: Sequence[str], least: int = 2, keep: int = 40) -> DataFrame:
