@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidex.functions.lineage import stored
 from evidex.operators import extract as X
 from evidex.operators import likeness as L
 from evidex.operators import predict, qa
@@ -165,7 +166,7 @@ def worth(s, d):
 def liked(s, d):
     """The scores of :func:`worth` with likeness: each ten documents answer the first user's turn of the dialogue of that number."""
     first = read(s, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query")).agg(F.min_by("text", "turn").alias("question"))
-    passages = worth(s, d).where("score is not null")
+    passages = stored(worth(s, d).where("score is not null"))  # five passes read the sentences
     axes = L.leading_axes(passages)
     alike = L.likeness(F.col("sentence"), F.coalesce("question", F.lit("")), axes)
     return passages.join(first, "query", "left").withColumn("likeness", F.round(alike, 4)).withColumn("score", F.round(F.col("score") + 6 * F.col("likeness"), 6)).drop("question")
