@@ -33,15 +33,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Keeps Arrow batches of texts small in the session of ``df``: whole texts may be long.
+def bounded_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """Keeps Arrow batches of texts small in the session of ``df``, by rows and by bytes: whole texts may be long.
 
     The setting stays lowered, as plans are run later; a session that wants larger batches
     sets it again after its plan is built, at the cost of memory.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, rows)
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, most)
     return df
 
 
@@ -51,13 +53,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Like :func:`checkpointed` for wide rows: a compressed Parquet table in the shared folder."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: For :func:`stored`: rows of megabytes.  Sizes are looked at after each row, not after the first hundred, so that
+#: a row group, which writers hold in memory and readers take at once, has some of them only, however many a task writes.
+HUGE_ROWS = {
+    "parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false",
+}
+
+
 def free_prefix(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` begins with it, in either case of letters."""
     names = [c.lower() for c in df.columns]

@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm.common import bounded_batches, stored, table
+from evidex.llm.common import HUGE_ROWS, bounded_batches, stored, table
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A shard is cut once it has so many documents or bytes of text.
-SHARD_DOCS, SHARD_BYTES = 8192, 8 << 20
+SHARD_DOCS, SHARD_BYTES = 8192, 4 << 20
 #: Items searched for at once, and terms that they may have together.
 BLOCK_ITEMS, BLOCK_TERMS = 1024, 1 << 18
 #: Groups of partitions whose best are merged first.
@@ -149,7 +149,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
                 names=[c.split()[0] for c in SHARDS.split(", ")],
             )
 
-    return Index(stored(rows.mapInArrow(shards, SHARDS)), n_docs, n_terms)
+    return Index(stored(rows.mapInArrow(shards, SHARDS), **HUGE_ROWS), n_docs, n_terms)
 
 
 class Shard:
